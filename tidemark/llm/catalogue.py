@@ -1,8 +1,10 @@
 """The queries of this subpackage, and the SQL of those that SQL can express."""
 
-from tidemark.llm import mixing, simhash
+from tidemark.llm import langid, mixing, simhash, tokens
 
 QUERIES = {
+    "op2_tokens": tokens.op2_tokens,
+    "op3_langid": langid.op3_langid,
     "op4_simhash": simhash.op4_simhash,
     "op10_mixing": mixing.op10_mixing,
 }
