@@ -87,7 +87,7 @@ class Encoder:
             base, tail = (w[:-1], w[-1]) if w[-1] in ".," else (w, "")
             # of Latin-1 letters the normal form is themselves and the lower case one letter each
             parts.append((w, base.lower(), tail) if base.isalpha() and max(base) < "Ā" else (w, w, ""))
-            new |= {x: None for x in (base, tail) if x and x not in known}
+            new |= {x: None for x in parts[-1][1:] if x and x not in known}
         known |= dict(zip(new, self.plain(list(new))))
         for w, base, tail in parts:
             known[w] = known[base] + (known[tail] if tail else b"")
