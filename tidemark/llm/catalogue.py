@@ -1,11 +1,12 @@
 """The queries of this subpackage, and the SQL of those that SQL can express."""
 
-from tidemark.llm import langid, mixing, simhash, tokens
+from tidemark.llm import chat, langid, mixing, simhash, tokens
 
 QUERIES = {
+    "op1_chat": chat.op1_chat,
     "op2_tokens": tokens.op2_tokens,
     "op3_langid": langid.op3_langid,
     "op4_simhash": simhash.op4_simhash,
     "op10_mixing": mixing.op10_mixing,
 }
-SQL = {"op10_mixing": mixing.OP10_SQL}
+SQL = {"op1_chat": chat.OP1_SQL, "op10_mixing": mixing.OP10_SQL}
