@@ -1,12 +1,13 @@
 """The queries of this subpackage, and the SQL of those that SQL can express."""
 
-from tidemark.llm import chat, decontam, langid, mixing, simhash, tokens
+from tidemark.llm import chat, decontam, langid, mixing, simhash, tokens, winnow
 
 QUERIES = {
     "op1_chat": chat.op1_chat,
     "op2_tokens": tokens.op2_tokens,
     "op3_langid": langid.op3_langid,
     "op4_simhash": simhash.op4_simhash,
+    "op5_winnowing": winnow.op5_winnowing,
     "op7_decontam": decontam.op7_decontam,
     "op10_mixing": mixing.op10_mixing,
 }
