@@ -1,6 +1,6 @@
 """The queries of this subpackage, and the SQL of those that SQL can express."""
 
-from tidemark.llm import chat, decontam, langid, mixing, simhash, tokens, winnow
+from tidemark.llm import chat, compaction, decontam, langid, mixing, sentences, simhash, tokens, winnow
 
 QUERIES = {
     "op1_chat": chat.op1_chat,
@@ -8,7 +8,9 @@ QUERIES = {
     "op3_langid": langid.op3_langid,
     "op4_simhash": simhash.op4_simhash,
     "op5_winnowing": winnow.op5_winnowing,
+    "op6_compaction": compaction.op6_compaction,
     "op7_decontam": decontam.op7_decontam,
+    "op8_sentences": sentences.op8_sentences,
     "op10_mixing": mixing.op10_mixing,
 }
-SQL = {"op1_chat": chat.OP1_SQL, "op10_mixing": mixing.OP10_SQL}
+SQL = {"op1_chat": chat.OP1_SQL, "op6_compaction": compaction.OP6_SQL, "op8_sentences": sentences.OP8_SQL, "op10_mixing": mixing.OP10_SQL}
