@@ -1,6 +1,6 @@
 """The queries of this subpackage, and the SQL of those that SQL can express."""
 
-from tidemark.llm import chat, compaction, decontam, langid, mixing, sentences, simhash, tokens, winnow
+from tidemark.llm import chat, compaction, decontam, langid, mixing, sentences, simhash, suffixes, tokens, winnow
 
 QUERIES = {
     "op1_chat": chat.op1_chat,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_compaction": compaction.op6_compaction,
     "op7_decontam": decontam.op7_decontam,
     "op8_sentences": sentences.op8_sentences,
+    "op9_suffixes": suffixes.op9_suffixes,
     "op10_mixing": mixing.op10_mixing,
 }
 SQL = {"op1_chat": chat.OP1_SQL, "op6_compaction": compaction.OP6_SQL, "op8_sentences": sentences.OP8_SQL, "op10_mixing": mixing.OP10_SQL}

@@ -74,11 +74,11 @@ WITH parts AS (
     flatten(list_transform(regexp_extract_all(coalesce(text, ''), '[^.!?\n]*[.!?\n]+[ \t\n\r]*|[^.!?\n]+'),
       lambda s: regexp_extract_all(s, '[ \t\n\r]*(?:[^ \t\n\r]+[ \t\n\r]*){1,15}|[ \t\n\r]+'))) AS parts
   FROM documents),
-placed AS (SELECT doc_id, unnest(range(1, len(parts) - 1)) AS at, parts FROM parts WHERE len(parts) >= 3),
-spans AS (SELECT doc_id, at, list_transform(parts[at:at + 2], lambda s: trim(s, chr(32) || chr(9) || chr(10) || chr(13))) AS run FROM placed),
-ranked AS (SELECT doc_id, at, row_number() OVER (PARTITION BY run ORDER BY doc_id NULLS FIRST, at) AS k FROM spans),
-covered AS (SELECT DISTINCT doc_id, unnest([at, at + 1, at + 2]) AS at FROM ranked WHERE k > 1),
-listed AS (SELECT doc_id, list(at) AS gone FROM covered GROUP BY doc_id),
+placed AS (SELECT doc_id, unnest(range(1, len(parts) - 1)) AS pos, parts FROM parts WHERE len(parts) >= 3),
+spans AS (SELECT doc_id, pos, list_transform(parts[pos:pos + 2], lambda s: trim(s, chr(32) || chr(9) || chr(10) || chr(13))) AS run FROM placed),
+ranked AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY run ORDER BY doc_id NULLS FIRST, pos) AS k FROM spans),
+covered AS (SELECT DISTINCT doc_id, unnest([pos, pos + 1, pos + 2]) AS pos FROM ranked WHERE k > 1),
+listed AS (SELECT doc_id, list(pos) AS gone FROM covered GROUP BY doc_id),
 cut AS (
   SELECT p.doc_id, len(parts) AS n,
     CASE WHEN gone IS NULL THEN parts ELSE list_filter(parts, lambda s, i: NOT list_contains(gone, i)) END AS kept
