@@ -67,43 +67,75 @@ class Encoder:
     """Ids of whole texts as bytes. With ``by_word``, for tokenizers that part words at white space and never join
     what it parts, words are looked up in a bounded memory of words met before and only new ones are encoded."""
 
-    MOST = 1_000_000
+    MOST = 700_000
     ODD = re.compile("[\x1c-\x1f]|<\\|")  # white space to Python alone; what may be a special token
 
     def __init__(self, path: str, by_word: bool):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.by_word, self.known = Tokenizer.from_file(path), by_word, {}
-        self.wide = self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.wide = max(vocabulary.values()) >= 1 << 16
         self.kind = "<u4" if self.wide else "<u2"
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def plain(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, self.kind).tobytes() for x in found]
 
+    def letters(self, words: list[str]) -> list[bytes]:
+        """Of words of lower-case Latin-1 letters: each ends with the one token that has the mark of an end."""
+        out = []
+        for at in range(0, len(words), 512):
+            some = words[at : at + 512]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, self.kind)
+            ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(ends) != len(some):
+                out += self.plain(some)
+                continue
+            data, size = ids.tobytes(), ids.itemsize
+            out += [data[size * a : size * z] for a, z in zip([0, *ends], ends)]
+        return out
+
     def learn(self, words: list[str]) -> None:
-        known, new, parts = self.known, {}, []
+        known, letters, other, parts = self.known, {}, {}, []
         for w in words:
             base, tail = (w[:-1], w[-1]) if w[-1] in ".," else (w, "")
             # of Latin-1 letters the normal form is themselves and the lower case one letter each
-            parts.append((w, base.lower(), tail) if base.isalpha() and max(base) < "Ā" else (w, w, ""))
-            new |= {x: None for x in parts[-1][1:] if x and x not in known}
-        known |= dict(zip(new, self.plain(list(new))))
+            if base.isalpha() and max(base) < "Ā":
+                base = base.lower()
+                if base not in known:
+                    letters[base] = None
+                if tail and tail not in known:
+                    other[tail] = None
+            else:
+                base, tail = w, ""
+                other[w] = None
+            parts.append((w, base, tail))
+        known |= dict(zip(letters, self.letters(list(letters))))
+        known |= dict(zip(other, self.plain(list(other))))
         for w, base, tail in parts:
             known[w] = known[base] + (known[tail] if tail else b"")
 
-    def __call__(self, text: str) -> bytes:
-        if not self.by_word or self.ODD.search(text):
-            return self.plain([text])[0]
-        words = text.split()
-        out = list(map(self.known.get, words))
-        if None in out:
-            if len(self.known) > self.MOST:
-                self.known.clear()
-                out = [None] * len(words)
-            self.learn(list({w for w, x in zip(words, out) if x is None}))
-            out = [self.known[w] for w in words]
-        return b"".join(out)
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        if not self.by_word:
+            return self.plain(texts)
+        split = [None if self.ODD.search(t) else t.split() for t in texts]
+        if len(self.known) > self.MOST:
+            self.known.clear()
+        get = self.known.get
+        found = [None if words is None else list(map(get, words)) for words in split]
+        new = {w for words, ids in zip(split, found) if words and None in ids for w, x in zip(words, ids) if x is None}
+        if new:
+            self.learn(list(new))
+        out = []
+        for text, words, ids in zip(texts, split, found):
+            if words is None:
+                out.append(self.plain([text])[0])
+            else:
+                out.append(b"".join([self.known[w] for w in words] if None in ids else ids))
+        return out
 
 
 ENCODERS: dict[tuple[str, bool], Encoder] = {}
@@ -129,8 +161,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 1,
         end = np.array([end_id], enc.kind).tobytes()
         for b in batches:
             ids, texts = b.column("doc_id").to_pylist(), b.column("text")
-            for at in range(0, len(ids), 256):
-                out = [frame(pack(i, enc(t.as_py()) + end, enc.wide)) for i, t in zip(ids[at : at + 256], texts[at : at + 256])]
+            for at in range(0, len(ids), 64):
+                found = enc(texts[at : at + 64].to_pylist())
+                out = [frame(pack(i, x + end, enc.wide)) for i, x in zip(ids[at : at + 64], found)]
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
     framed = dealt.mapInArrow(encode, "record binary")
