@@ -55,4 +55,4 @@ def load() -> None:
         importlib.import_module(f"tidemark.queries.{name}")
 
 
-MODULES = ("scalars", "selections")
+MODULES = ("scalars", "selections", "windows")
