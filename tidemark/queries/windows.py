@@ -7,8 +7,15 @@ from tidemark.operators import batching as B, dimension as D, selection as X, wi
 from tidemark.queries.scalars import RANK, SHARE
 from tidemark.registry import query
 
-BY_STEP = W.partitionBy("l_orderkey").orderBy("step")
-BY_USER = W.partitionBy("user_id").orderBy("ts")
+
+def by_step():
+    return W.partitionBy("l_orderkey").orderBy("step")
+
+
+def by_user():
+    return W.partitionBy("user_id").orderBy("ts")
+
+
 HOLED = "holed AS (SELECT l_orderkey, step, CASE WHEN (l_orderkey + step * 7) % 5 = 0 THEN NULL ELSE l_extendedprice::BIGINT END AS clock FROM (SELECT l_orderkey, step, floor(l_extendedprice) AS l_extendedprice FROM steps))"
 STORED = "stored AS (SELECT *, CASE WHEN clock IS NULL THEN NULL WHEN lag(clock, 2) OVER w IS NULL THEN clock ELSE lag(clock, 2) OVER w - clock END AS delta FROM holed WINDOW w AS (PARTITION BY l_orderkey ORDER BY step))"
 
@@ -20,18 +27,18 @@ def holed(t):
 
 @query("w_clock_delta", f"WITH {{STEPS}}, {HOLED}, {STORED} SELECT l_orderkey, step, delta FROM stored")
 def _(t):
-    return holed(t).select("l_orderkey", "step", O.delta(F.col("clock"), BY_STEP).alias("delta"))
+    return holed(t).select("l_orderkey", "step", O.delta(F.col("clock"), by_step()).alias("delta"))
 
 
 @query("w_clock_restore", f"WITH {{STEPS}}, {HOLED} SELECT l_orderkey, step, clock FROM holed")
 def _(t):
-    stored = holed(t).select("l_orderkey", "step", O.delta(F.col("clock"), BY_STEP).alias("delta"))
+    stored = holed(t).select("l_orderkey", "step", O.delta(F.col("clock"), by_step()).alias("delta"))
     return O.restored(stored, "l_orderkey", "step", "delta", "clock").select("l_orderkey", "step", "clock")
 
 
 @query("w_pre_step_clock", f"WITH {{STEPS}}, {HOLED} SELECT l_orderkey, step, CASE WHEN step <= 2 THEN 300000 ELSE lag(clock, 2) OVER w END AS own, CASE WHEN step <= 1 THEN 300000 ELSE lag(clock, 1) OVER w END AS other FROM holed WINDOW w AS (PARTITION BY l_orderkey ORDER BY step)")
 def _(t):
-    at = lambda back: O.clock_before(F.col("clock"), F.col("step"), F.lit(300000).cast("long"), BY_STEP, back)
+    at = lambda back: O.clock_before(F.col("clock"), F.col("step"), F.lit(300000).cast("long"), by_step(), back)
     return holed(t).select("l_orderkey", "step", at(2).alias("own"), at(1).alias("other"))
 
 
@@ -51,7 +58,7 @@ SEEN = "seen AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER B
 
 @query("w_first_recurrence", f"WITH {SEEN}, f AS (SELECT *, min(CASE WHEN seen = 1 THEN step END) OVER (PARTITION BY user_id) AS first FROM seen) SELECT user_id, min(first)::INT AS first_repeat, min(CASE WHEN seen = 2 THEN step END)::INT AS third, round(avg((seen > 0)::INT), 9) AS repeated, round(avg((coalesce(step >= first, false))::INT), 9) AS in_cycle FROM f GROUP BY 1")
 def _(t):
-    seen = t.events.select("user_id", F.row_number().over(BY_USER).alias("step"), O.recurrence(W.partitionBy("user_id", "event_type").orderBy("ts")).alias("seen"))
+    seen = t.events.select("user_id", F.row_number().over(by_user()).alias("step"), O.recurrence(W.partitionBy("user_id", "event_type").orderBy("ts")).alias("seen"))
     seen = seen.withColumn("first", F.min(F.when(F.col("seen") == 1, F.col("step"))).over(W.partitionBy("user_id")))
     share = lambda c: F.round(F.avg(F.coalesce(c, F.lit(False)).cast("int")), 9)
     return seen.groupBy("user_id").agg(F.min("first").alias("first_repeat"), F.min(F.when(F.col("seen") == 2, F.col("step"))).alias("third"), share(F.col("seen") > 0).alias("repeated"), share(F.col("step") >= F.col("first")).alias("in_cycle"))
@@ -65,7 +72,7 @@ def _(t):
 
 @query("w_prefix_strength", "SELECT event_id, CASE WHEN count(*) OVER w >= 3 THEN round(avg(value) OVER w, 10) END AS strength FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
 def _(t):
-    return t.events.select("event_id", F.round(O.earlier_mean(F.col("value"), BY_USER, 3), 10).alias("strength"))
+    return t.events.select("event_id", F.round(O.earlier_mean(F.col("value"), by_user(), 3), 10).alias("strength"))
 
 
 @query("w_first_in_order", "WITH r AS (SELECT doc_id, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS k FROM documents) SELECT doc_id, k = 1 AS kept FROM r")
@@ -89,7 +96,7 @@ def _(t):
 
 @query("w_clock_restart", "WITH s AS (SELECT *, lag(value) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events) SELECT event_id, user_id FROM s WHERE value < before AND value < 5")
 def _(t):
-    rows = t.events.withColumn("before", F.lag("value").over(BY_USER))
+    rows = t.events.withColumn("before", F.lag("value").over(by_user()))
     return rows.filter("value < before and value < 5").select("event_id", "user_id")
 
 
@@ -97,8 +104,8 @@ def _(t):
 def _(t):
     env = F.when(F.col("event_id") % 4 != 0, F.col("event_type"))
     rows = t.events.select("event_id", "user_id", "ts", env.alias("env"))
-    before = F.last("env", ignorenulls=True).over(BY_USER.rowsBetween(W.unboundedPreceding, -1))
-    return rows.withColumns({"before": before, "_c": O.changed(F.col("env"), BY_USER)}).filter("_c").select("event_id", "before", "env")
+    before = F.last("env", ignorenulls=True).over(by_user().rowsBetween(W.unboundedPreceding, -1))
+    return rows.withColumns({"before": before, "_c": O.changed(F.col("env"), by_user())}).filter("_c").select("event_id", "before", "env")
 
 
 @query("w_latest", "SELECT user_id, event_type, max_by(value, ts) AS value, max_by(event_id, ts) AS event_id FROM events GROUP BY 1, 2")
@@ -164,7 +171,7 @@ def _(t):
 @query("w_absorbing_dose", f"WITH {{STEPS}} SELECT l_orderkey, step, max(({SHARE.format('dose', chr(40) + 'l_orderkey * 100 + step' + chr(41))} < 0.1)::INT) OVER (PARTITION BY l_orderkey ORDER BY step) = 1 AS treated FROM steps")
 def _(t):
     draw = H.hash_fraction("dose", F.col("l_orderkey") * 100 + F.col("step"))
-    return t.steps.select("l_orderkey", "step", O.absorbing(draw, 0.1, BY_STEP).alias("treated"))
+    return t.steps.select("l_orderkey", "step", O.absorbing(draw, 0.1, by_step()).alias("treated"))
 
 
 @query("w_permute_column", f"WITH a AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS k FROM orders), b AS (SELECT o_totalprice, row_number() OVER (ORDER BY {RANK.format('deal', 'o_orderkey')}) AS k FROM orders) SELECT o_orderkey, o_totalprice FROM a JOIN b USING (k)")
