@@ -45,7 +45,7 @@ CHUNK = 1 << 24  # window starts looked at together
 class Plan:
     length: int = 400
     gram: int = 16  # a power of two
-    window: int = 192  # a multiple of block
+    window: int = 320  # a multiple of block; wider means fewer runs and shorter seeds
     block: int = 16
 
     @property
@@ -167,7 +167,7 @@ def find_runs(texts: Sequence[bytes], plan: Plan) -> Iterator[tuple[int, np.ndar
 
 def runs_of(texts: Sequence[bytes], cuts: list[tuple[int, int, int]], plan: Plan) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     data = np.frombuffer(b"".join(texts[i][a:b] for i, a, b in cuts), np.uint8)
-    h, step, times = BYTES[data], 1, MIX[6]
+    h, step, times = BYTES[data], 1, MIX[6:7]  # an array: products wrap
     while step < plan.gram:  # the hash of twice as many bytes from those of both halves
         h = h[:-step] * times + h[step:]
         step, times = 2 * step, times * times
@@ -204,8 +204,6 @@ RUN = "doc_id long, tie long, run long, seed long, stretch long"
 
 def runs_table(docs: DataFrame, plan: Plan) -> DataFrame:
     """A row for each run: its document, place, and hashes of its seed and of its stretch."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), F.coalesce("text", F.lit("")).alias("text"))
-
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
         for b in batches:
@@ -219,7 +217,7 @@ def runs_table(docs: DataFrame, plan: Plan) -> DataFrame:
                 runs = [packed(a, z, p) for a, z, p in zip(first, last, anchor)]
                 yield pa.RecordBatch.from_arrays([pa.array([ids[i]] * len(runs), pa.int64()), pa.array([ties[i]] * len(runs), pa.int64()), pa.array(runs, pa.int64()), pa.array(seeds), pa.array(stretches)], ["doc_id", "tie", "run", "seed", "stretch"])
 
-    return rows.mapInArrow(scan, RUN)
+    return keyed(docs).mapInArrow(scan, RUN)
 
 
 # stretches with one seed
@@ -278,6 +276,10 @@ def compare(entries: list[tuple[int, int, bytes, bytes, int]], plan: Plan) -> li
 INTERVALS = "doc_id long, tie long, start long, end long"
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), F.coalesce("text", F.lit("")).alias("text"))
+
+
 def intervals(docs: DataFrame, plan: Plan) -> DataFrame:
     """``(doc_id, tie, start, end)``: bytes to remove; the intervals of a document may overlap."""
     runs = keep(runs_table(docs, plan), "suffix-runs")
@@ -289,8 +291,7 @@ def intervals(docs: DataFrame, plan: Plan) -> DataFrame:
     )
     varied = stretches.groupBy("seed").agg(F.count("*").alias("kinds"), F.min("copies").alias("least")).filter("kinds > 1 and least = 1").select("seed")
     opened = stretches.join(varied, "seed", "left_semi").groupBy("doc_id", "tie").agg(F.collect_list(F.struct("seed", "run", "copies")).alias("runs"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), F.coalesce("text", F.lit("")).alias("text"))
-    cut_from = texts.alias("d").join(opened.alias("o"), F.expr("d.doc_id <=> o.doc_id and d.tie = o.tie")).select("d.doc_id", "d.tie", "d.text", "o.runs")
+    cut_from = keyed(docs).alias("d").join(opened.alias("o"), F.expr("d.doc_id <=> o.doc_id and d.tie = o.tie")).select("d.doc_id", "d.tie", "d.text", "o.runs")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
@@ -333,10 +334,14 @@ def intervals(docs: DataFrame, plan: Plan) -> DataFrame:
 def without_repeats(docs: DataFrame, plan: Plan = Plan(), columns: Sequence[str] | None = None) -> DataFrame:
     """``(row, n_bytes, n_removed, n_spans, kept)``: ``row`` a struct of ``columns`` (default all), ``kept`` the bytes left."""
     names = list(columns or docs.columns)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), F.coalesce("text", F.lit("")).alias("text"))
+    if names == ["doc_id"]:  # the same columns as the other join takes, so both read one shuffle
+        rows = keyed(docs)
+    else:
+        rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), F.coalesce("text", F.lit("")).alias("text"))
     gone = intervals(docs.select("doc_id", "text"), plan).groupBy("doc_id", "tie").agg(F.collect_list(F.struct("start", "end")).alias("gone"))
-    joined = rows.alias("r").join(gone.alias("g"), F.expr("r.doc_id <=> g.doc_id and r.tie = g.tie"), "left").select("row", "text", "gone")
-    schema = T.StructType([rows.schema["row"], *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.BinaryType())])
+    joined = rows.alias("r").join(gone.alias("g"), F.expr("r.doc_id <=> g.doc_id and r.tie = g.tie"), "left")
+    joined = joined.select(F.struct("r.doc_id").alias("row") if names == ["doc_id"] else F.col("row"), "text", "gone")
+    schema = T.StructType([joined.schema["row"], *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.BinaryType())])
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
