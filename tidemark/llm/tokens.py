@@ -67,13 +67,13 @@ class Encoder:
     """Ids of whole texts as bytes. With ``by_word``, for tokenizers that part words at white space and never join
     what it parts, words are looked up in a bounded memory of words met before and only new ones are encoded."""
 
-    MOST = 700_000
+    MOST = 150_000  # words in each of the two generations of the memory
     ODD = re.compile("[\x1c-\x1f]|<\\|")  # white space to Python alone; what may be a special token
 
     def __init__(self, path: str, by_word: bool):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.by_word, self.known = Tokenizer.from_file(path), by_word, {}
+        self.tokenizer, self.by_word, self.known, self.older = Tokenizer.from_file(path), by_word, {}, {}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.wide = max(vocabulary.values()) >= 1 << 16
         self.kind = "<u4" if self.wide else "<u2"
@@ -122,13 +122,15 @@ class Encoder:
         if not self.by_word:
             return self.plain(texts)
         split = [None if self.ODD.search(t) else t.split() for t in texts]
-        if len(self.known) > self.MOST:
-            self.known.clear()
+        if len(self.known) > self.MOST:  # words in use come over from the older generation, the rest goes with it
+            self.older, self.known = self.known, {}
         get = self.known.get
         found = [None if words is None else list(map(get, words)) for words in split]
         new = {w for words, ids in zip(split, found) if words and None in ids for w, x in zip(words, ids) if x is None}
         if new:
-            self.learn(list(new))
+            older = self.older
+            self.known |= {w: older[w] for w in new if w in older}
+            self.learn([w for w in new if w not in older])
         out = []
         for text, words, ids in zip(texts, split, found):
             if words is None:
