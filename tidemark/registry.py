@@ -55,4 +55,4 @@ def load() -> None:
         importlib.import_module(f"tidemark.queries.{name}")
 
 
-MODULES = ("scalars", "selections", "windows", "joins", "aggregates", "estimates", "sources")
+MODULES = ("scalars", "selections", "windows", "joins", "aggregates", "estimates", "sources", "streams")

@@ -25,7 +25,7 @@ def framed_records(spark: SparkSession, path: str, first_tag: str = "Event") ->
 def headers(record: Column, defaults: Mapping[str, str]) -> Column:
     """Tags as a map; a tag that is absent has its default, the last of repeated tags counts."""
     tags = lambda i: F.regexp_extract_all(record, F.lit(TAG), F.lit(i))
-    given = F.zip_with(tags(1), tags(2), lambda k, v: F.struct(k.alias("k"), v.alias("v")))
+    given = F.zip_with(tags(1), tags(2), lambda k, v: F.named_struct(F.lit("k"), k, F.lit("v"), v))
     base = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in defaults.items()])
     every = F.concat(base, given) if defaults else given
     last = F.filter(every, lambda z, i: ~F.exists(F.slice(every, i + 2, F.size(every)), lambda y: y["k"] == z["k"]))
