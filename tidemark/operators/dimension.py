@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from tidemark.functions.checks import must
+
 
 def destination(label: Column, reachable: Column) -> Column:
     """A label only where it is a choice: null while several labels are still reachable."""
@@ -18,7 +20,7 @@ def theory_share(depth: Column, available: Column) -> Column:
 def checked_dimension(rows: DataFrame, key: str) -> DataFrame:
     """The dimension, failing if a key comes twice."""
     n = F.count("*").over(W.partitionBy(key))
-    return rows.withColumn("_n", n).filter(F.coalesce(F.assert_true(F.col("_n") == 1, F.concat(F.lit("duplicate key: "), F.col(key).cast("string"))).cast("boolean"), F.lit(True))).drop("_n")
+    return rows.withColumn("_n", n).filter(must(F.col("_n") == 1, F.concat(F.lit("duplicate key: "), F.col(key).cast("string")))).drop("_n")
 
 
 def deepest(steps: DataFrame, book: DataFrame, sequence: str, step: str, key: str, entry: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidemark.functions import hashing
+from tidemark.functions.checks import must
 from tidemark.functions.parsing import first_reason
 
 
@@ -61,10 +62,9 @@ def lowest_of_stratum(rows: DataFrame, stratum: Sequence[str], seed: str, key: s
 def require(rows: DataFrame, **bad: Column) -> DataFrame:
     """One row of counts of what must not be; a count over zero fails the job under its name."""
     counted = rows.agg(F.count("*").alias("rows"), *[F.count_if(c).alias(k) for k, c in bad.items()])
-    held = F.assert_true(F.col("rows") > 0, F.lit("no rows"))
-    for k in bad:
-        held = F.coalesce(held, F.assert_true(F.col(k) == 0, F.lit(k)))
-    return counted.withColumn("ok", held.isNull())
+    for k, held in [("no rows", F.col("rows") > 0), *((k, F.col(k) == 0) for k in bad)]:
+        counted = counted.filter(must(held, k))
+    return counted.withColumn("ok", F.lit(True))
 
 
 def identity_digest(ids: DataFrame, column: str, buckets: int = 1024) -> DataFrame:

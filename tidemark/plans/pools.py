@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.functions import hashing as H
+from tidemark.functions.checks import must
 from tidemark.operators import dimension as D, metrics as M, selection as X
 from tidemark.sources.stores import manifest, write_bounded
 
@@ -31,8 +32,8 @@ def load_pool(spark: SparkSession, path: str, key: str) -> DataFrame:
     rows = spark.read.parquet(f"{path}/rows")
     recorded = spark.read.text(f"{path}/manifest").select(F.from_json("value", "rows long, identity string").alias("m")).select("m.*")
     found = X.identity_digest(rows, key).crossJoin(recorded)
-    same = F.assert_true((F.col("digest") == F.col("identity")) & (F.col("n") == F.col("rows")), F.lit("the pool is not the recorded one"))
-    return found.select("n", same.isNull().alias("sound"))
+    same = (F.col("digest") == F.col("identity")) & (F.col("n") == F.col("rows"))
+    return found.filter(must(same, "the pool is not the recorded one")).select("n", F.lit(True).alias("sound"))
 
 
 def pool_slices(t) -> DataFrame:

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F, types as T
 
 from tidemark.functions import hashing as H, parsing as P
+from tidemark.functions.checks import must
 from tidemark.functions.shared import shared_path
 from tidemark.operators import dimension as D, selection as X, windows as O
 from tidemark.queries.scalars import RANK, SHARE
@@ -120,7 +121,7 @@ def _(t):
     names = t.events.select(F.concat(F.lit("u"), "user_id", F.lit(" ")).alias("value")).distinct()
     names.union(t.region.select(F.lit("# a comment"))).union(t.region.select(F.lit(""))).write.text(path)
     lines = t.spark.read.text(path).select(F.trim("value").alias("name")).filter("name <> '' and not startswith(name, '#')")
-    return lines.filter(F.assert_true(P.is_account(F.col("name")), F.concat(F.lit("not a name: "), "name")).isNull())
+    return lines.filter(must(P.is_account(F.col("name")), F.concat(F.lit("not a name: "), "name")))
 
 
 @query("snapshot_write_read", "SELECT substr(sha256('snap' || chr(0) || lower(trim(c_name))), 1, 32) AS digest FROM customer WHERE c_custkey % 10 = 0")
@@ -162,8 +163,7 @@ def _(t):
     games = t.steps.groupBy("l_orderkey").agg(decisions.alias("decisions")).join(t.orders, F.col("o_orderkey") == F.col("l_orderkey"))
     games.select(F.col("o_orderkey").cast("string").alias("game_id"), seat(F.col("o_custkey")).alias("white"), seat(F.lit("house")).alias("black"), "decisions", F.struct(F.col("o_orderstatus").alias("result"), F.lit(False).alias("adjudicated")).alias("outcome")).write.json(path)
     rows = t.spark.read.schema(RECORD).json(path)
-    sound = F.assert_true(F.forall(F.transform("decisions", lambda d, i: d["ply"] == i + 1), lambda ok: ok), F.concat(F.lit("plies out of order: "), "game_id"))
-    rows = rows.filter(sound.isNull())
+    rows = rows.filter(must(F.forall(F.transform("decisions", lambda d, i: d["ply"] == i + 1), lambda ok: ok), F.concat(F.lit("plies out of order: "), "game_id")))
     return rows.select("game_id", F.col("white.label").alias("white"), F.explode("decisions").alias("d"), "outcome.result").select("game_id", "white", "d.ply", "d.action", "result")
 
 
@@ -217,7 +217,7 @@ def _(t):
     t.events.select(F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("12:00 info "), "event_type")).otherwise(F.concat(F.lit("12:00 info @event "), event)).alias("value")).write.text(path)
     lines = t.spark.read.text(path).filter(F.col("value").contains("@event "))
     read = lines.select(F.from_json(F.substring_index("value", "@event ", -1), "schema int, event_id long, k int, event_type string").alias("e")).select("e.*")
-    return read.filter(F.assert_true(F.coalesce(F.col("schema") == 1, F.lit(False)), F.lit("unreadable event")).isNull()).select("event_id", "k", "event_type")
+    return read.filter(must(F.col("schema") == 1, "unreadable event")).select("event_id", "k", "event_type")
 
 
 @query("src_dimension_book", "SELECT n_nationkey AS key, n_name AS name, r_name AS code FROM nation JOIN region ON r_regionkey = n_regionkey")

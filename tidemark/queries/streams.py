@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tidemark.functions import hashing as H
+from tidemark.functions.checks import must
 from tidemark.functions.shared import shared_path
 from tidemark.operators import batching as B, selection as X
 from tidemark.registry import SQL, query
@@ -63,8 +64,7 @@ def _(t):
 def _(t):
     ranked = B.global_rank(t.orders.select("o_orderkey"), [H.rank_key("pass", F.col("o_orderkey"))], "place")
     cursor = X.identity_digest(t.orders, "o_orderkey").select("digest", F.lit(500).cast("long").alias("cursor"))
-    same = F.assert_true(F.col("digest") == F.col("now"), F.lit("the cursor is of other data"))
-    held = cursor.crossJoin(X.identity_digest(t.orders, "o_orderkey").select(F.col("digest").alias("now"))).filter(same.isNull()).select("cursor")
+    held = cursor.crossJoin(X.identity_digest(t.orders, "o_orderkey").select(F.col("digest").alias("now"))).filter(must(F.col("digest") == F.col("now"), "the cursor is of other data")).select("cursor")
     return ranked.crossJoin(F.broadcast(held)).filter("place > cursor").select("o_orderkey", "place")
 
 

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from tidemark.functions.checks import must
+
 
 def write_normalized(rows: DataFrame, path: str, unique: Sequence[str] = (), partition: Sequence[str] = ()) -> DataFrame:
     """Zstandard Parquet, without dictionaries for columns whose values do not repeat; returns what was written."""
@@ -71,13 +73,13 @@ def read_with_header(spark: SparkSession, path: str, schema: T.StructType, total
     body = lines.filter(~F.col("value").startswith("#")).select(F.split("value", "\t").alias("p"))
     rows = body.select(*[F.get("p", F.lit(i)).cast(f.dataType).alias(f.name) for i, f in enumerate(schema)])
     found = rows.agg(F.struct(*[c.alias(f.name) for c, f in zip(checks, totals)]).alias("f")).crossJoin(head)
-    held = found.select(F.assert_true(F.col("f") == F.col("h"), F.lit("totals differ from the header")).isNull().alias("ok"))
-    return rows.crossJoin(F.broadcast(held.filter("ok"))).drop("ok")
+    held = found.filter(must(F.col("f") == F.col("h"), "totals differ from the header")).select(F.lit(True).alias("ok"))
+    return rows.crossJoin(F.broadcast(held)).drop("ok")
 
 
 def append_results(incoming: DataFrame, store: DataFrame, key: str, digest: str) -> DataFrame:
     """Rows of ``incoming`` that the store lacks; same key and same content is no row, other content fails the job."""
     held = store.select(key, F.col(digest).alias("_held"))
     both = incoming.join(held, key, "left")
-    same = F.assert_true(F.col("_held").isNull() | (F.col("_held") == F.col(digest)), F.concat(F.lit("conflicting record: "), F.col(key).cast("string")))
-    return both.withColumn("_ok", same.isNull()).filter(F.col("_ok") & F.col("_held").isNull()).drop("_ok", "_held")
+    same = must(F.col("_held").isNull() | (F.col("_held") == F.col(digest)), F.concat(F.lit("conflicting record: "), F.col(key).cast("string")))
+    return both.filter(F.col("_held").isNull() | ~same).drop("_held")
