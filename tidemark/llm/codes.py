@@ -7,6 +7,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 TOP = 0x110000
 MARK, LETTER, NUMBER = 1, 2, 3
@@ -36,7 +37,14 @@ def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out, at
 
 
-def portions(texts: list[str], most: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches in slices of some rows: what a task holds as Python objects stays small, however long the texts are."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
+def portions(texts: list[str], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Runs of texts of about ``most`` code points; a longer text is a run of its own."""
     start = size = 0
     for i, t in enumerate(texts):

@@ -34,6 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tidemark.functions.shared import keep
+from tidemark.llm.codes import pieces
 from tidemark.llm.decontam import MIX, scramble
 
 BYTES = scramble(np.arange(1, 257, dtype=np.uint64) * MIX[5])
@@ -206,7 +207,7 @@ def runs_table(docs: DataFrame, plan: Plan) -> DataFrame:
     """A row for each run: its document, place, and hashes of its seed and of its stretch."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
-        for b in batches:
+        for b in pieces(batches):
             ids, ties = b.column("doc_id").to_pylist(), b.column("tie").to_pylist()
             texts = [t.encode("utf-8", "surrogatepass") for t in b.column("text").to_pylist()]
             for i, first, last, anchor in find_runs(texts, plan):
@@ -296,7 +297,7 @@ def intervals(docs: DataFrame, plan: Plan) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
         names = ["doc_id", "tie", "seed", "run", "copies", "before", "behind"]
-        for b in batches:
+        for b in pieces(batches, 64):
             out = []
             for doc_id, tie, text, found in zip(*(b.column(c).to_pylist() for c in ("doc_id", "tie", "text", "runs"))):
                 data = text.encode("utf-8", "surrogatepass")
@@ -325,8 +326,8 @@ def intervals(docs: DataFrame, plan: Plan) -> DataFrame:
                 held.append(r)
         yield done()
 
-    pieces = cut_from.mapInArrow(cut, "doc_id long, tie long, seed long, run long, copies long, before binary, behind binary")
-    partial = pieces.repartition("seed").sortWithinPartitions("seed").mapInArrow(search, INTERVALS)
+    cut_out = cut_from.mapInArrow(cut, "doc_id long, tie long, seed long, run long, copies long, before binary, behind binary")
+    partial = cut_out.repartition("seed").sortWithinPartitions("seed").mapInArrow(search, INTERVALS)
     # a stretch that occurs once lies in one row, but rows may be repeated: then all of theirs occur more than once
     return settled.unionByName(partial)
 
@@ -344,7 +345,7 @@ def without_repeats(docs: DataFrame, plan: Plan = Plan(), columns: Sequence[str]
     schema = T.StructType([joined.schema["row"], *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.BinaryType())])
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             out = []
             for text, gone in zip(b.column("text").to_pylist(), b.column("gone")):
                 data = text.encode("utf-8", "surrogatepass")
