@@ -10,10 +10,10 @@ from tidemark.registry import query
 YEARS = f"{BY_YEAR}, s AS (SELECT l_partkey, avg(value) AS mean, stddev_samp(value) AS spread, count(*)::INT AS n, count(DISTINCT series) AS series FROM y GROUP BY 1)"
 
 
-@query("a_replicate_spread", f"WITH {YEARS} SELECT l_partkey, n, round(mean, 9) AS mean, round(spread, 9) AS spread, round(spread / sqrt(n), 9) AS error FROM s WHERE series = 1")
+@query("a_replicate_spread", f"WITH {YEARS} SELECT l_partkey, n, round(mean, 12) AS mean, round(spread, 9) AS spread, round(spread / sqrt(n), 9) AS error FROM s WHERE series = 1")
 def _(t):
     s = by_year(t).groupBy("l_partkey").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("spread"), F.count("*").cast("int").alias("n"), F.countDistinct("series").alias("series")).filter("series = 1")
-    return s.select("l_partkey", "n", F.round("mean", 9).alias("mean"), F.round("spread", 9).alias("spread"), F.round(F.col("spread") / F.sqrt("n"), 9).alias("error"))
+    return s.select("l_partkey", "n", F.round("mean", 12).alias("mean"), F.round("spread", 9).alias("spread"), F.round(F.col("spread") / F.sqrt("n"), 9).alias("error"))
 
 
 CHI = ", ".join(f"({i}, {q}::DOUBLE)" for i, q in enumerate(Y.CHI2_05, 1))
