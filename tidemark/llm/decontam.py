@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.functions.shared import keep
-from tidemark.llm.codes import code_points, portions, tables, word_starts
+from tidemark.llm.codes import code_points, pieces, portions, tables, word_starts
 
 MASKS = ("1101011", "1110101", "11111")
 BITMAP_BITS = 26
@@ -78,7 +78,7 @@ def items_table(benchmark: DataFrame, least_words: int) -> DataFrame:
 
     def hash_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hit = pa.list_(pa.struct([("hash", pa.int64()), ("pos", pa.int64())]))
-        for b in batches:
+        for b in pieces(batches):
             words, hits = [], []
             for w in word_hashes(b.column("text").to_pylist()):
                 words.append(w.view(np.int64))
@@ -110,7 +110,7 @@ def passing(docs: DataFrame, bits: np.ndarray, window: int) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
-        for b in batches:
+        for b in pieces(batches):
             out = []
             for doc_id, tie, words in zip(b.column("doc_id").to_pylist(), b.column("tie").to_pylist(), word_hashes(b.column("text").to_pylist())):
                 pos, hashes = [], []
@@ -159,7 +159,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, similar
     )
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             out = []
             for doc_id, tie, start, item_id, shift, doc, item in zip(*(b.column(c).to_pylist() for c in ("doc_id", "tie", "start", "item_id", "shift")), b.column("doc_words"), b.column("words")):
                 same, at, size = best_window(doc.values.to_numpy(), item.values.to_numpy(), shift, window)

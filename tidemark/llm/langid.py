@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from tidemark.llm.codes import NUMBER, TOP, code_points, portions, tables, word_starts
+from tidemark.llm.codes import NUMBER, TOP, code_points, pieces, portions, tables, word_starts
 
 BITS, ROWS_PER_LANGUAGE, MOST_LANGUAGES, PENALTY = 16, 2000, 512, 12.0
 SPAN = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("lang", T.StringType())])
@@ -174,7 +174,7 @@ def fit(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, penalty: fl
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trigrams, scripts = {}, {}
-        for b in batches:
+        for b in pieces(batches):
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
                 bucket, _, _, script, _ = features([text])
                 n = np.bincount(bucket, minlength=(1 << BITS) + 1)
@@ -211,7 +211,7 @@ def identify(docs: DataFrame, model: Model | None, columns: Sequence[str] | None
     spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             found = list(predict(shared.value, b.column("text").to_pylist()))
             yield pa.RecordBatch.from_arrays([b.column("row"), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array([x[2] for x in found], spans)], ["row", "lang_pred", "score", "spans"])
 

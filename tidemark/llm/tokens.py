@@ -18,7 +18,6 @@ columns are not read.
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -28,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from tidemark.functions.shared import shared_path
+from tidemark.llm.codes import pieces
 
 MASK_DELTA = 0xA282EAD8
 
@@ -67,8 +67,8 @@ class Encoder:
     """Ids of whole texts as bytes. With ``by_word``, for tokenizers that part words at white space and never join
     what it parts, words are looked up in a bounded memory of words met before and only new ones are encoded."""
 
-    MOST = 150_000  # words in each of the two generations of the memory
-    ODD = re.compile("[\x1c-\x1f]|<\\|")  # white space to Python alone; what may be a special token
+    MOST = 250_000  # words in each of the two generations of the memory
+    ODD = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")  # what may be a special token; white space to Python alone
 
     def __init__(self, path: str, by_word: bool):
         from tokenizers import Tokenizer
@@ -103,7 +103,7 @@ class Encoder:
         for w in words:
             base, tail = (w[:-1], w[-1]) if w[-1] in ".," else (w, "")
             # of Latin-1 letters the normal form is themselves and the lower case one letter each
-            if base.isalpha() and max(base) < "Ā":
+            if base.isalpha() and (base.isascii() or max(base) < "Ā"):
                 base = base.lower()
                 if base not in known:
                     letters[base] = None
@@ -121,7 +121,7 @@ class Encoder:
     def __call__(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
             return self.plain(texts)
-        split = [None if self.ODD.search(t) else t.split() for t in texts]
+        split = [None if any(x in t for x in self.ODD) else t.split() for t in texts]
         if len(self.known) > self.MOST:  # words in use come over from the older generation, the rest goes with it
             self.older, self.known = self.known, {}
         get = self.known.get
@@ -161,12 +161,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 1,
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer, by_word)
         end = np.array([end_id], enc.kind).tobytes()
-        for b in batches:
-            ids, texts = b.column("doc_id").to_pylist(), b.column("text")
-            for at in range(0, len(ids), 64):
-                found = enc(texts[at : at + 64].to_pylist())
-                out = [frame(pack(i, x + end, enc.wide)) for i, x in zip(ids[at : at + 64], found)]
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
+        for b in pieces(batches, 64):
+            found = enc(b.column("text").to_pylist())
+            out = [frame(pack(i, x + end, enc.wide)) for i, x in zip(b.column("doc_id").to_pylist(), found)]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
     framed = dealt.mapInArrow(encode, "record binary")
     framed.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\n").text(f"{path}/records")
