@@ -47,9 +47,10 @@ def pack(doc_id: int | None, ids: bytes, wide: bool) -> bytes:
     return struct.pack("<Bq", wide | (doc_id is None) << 1, doc_id or 0) + ids
 
 
-def records(data: bytes) -> Iterator[tuple[int, int, int | None, np.ndarray]]:
+def records(data: bytes | pa.Buffer) -> Iterator[tuple[int, int, int | None, np.ndarray]]:
     """``(offset, length, doc_id, ids)`` of each record; a wrong checksum or a torn record is an error."""
     at, view = 0, memoryview(data)
+    data = view
     while at < len(data):
         head = view[at : at + 8]
         if len(data) - at < 12 or masked_crc(head) != struct.unpack_from("<I", data, at + 8)[0]:
@@ -150,7 +151,7 @@ def encoder(path: str, by_word: bool) -> Encoder:
     return ENCODERS[path, by_word]
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 1, by_word: bool = False, shard_bytes: int = 32 << 20) -> str:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 1, by_word: bool = False, shard_bytes: int = 16 << 20) -> str:
     """Write records to ``path/records`` and their index to ``path/index``; returns ``path``."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -179,10 +180,11 @@ def read_records(spark: SparkSession, path: str, with_ids: bool = False) -> Data
     schema = "shard int, record long, offset long, length long, doc_id long, n_tokens long, start_in_shard long, ids_crc32 long" + ", ids array<int>" * with_ids
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        ENCODERS.clear()  # what was learnt for writing is not needed next to the files
+        for b in pieces(batches, 1):
             for shard, content in zip(b.column("shard").to_pylist(), b.column("content")):
                 start, out = 0, []
-                for k, (at, n, doc_id, ids) in enumerate(records(content.as_py())):
+                for k, (at, n, doc_id, ids) in enumerate(records(content.as_buffer())):
                     out.append((shard, k, at, n, doc_id, len(ids), start, zlib.crc32(ids.astype("<u4").tobytes()), *([ids.astype(np.int32)] if with_ids else [])))
                     start += len(ids)
                     if len(out) == 2048:
