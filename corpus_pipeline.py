@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.functions.shared import keep
-from tidemark.llm import decontam, langid, mixing, simhash, tokens
+from tidemark.llm import decontam, langid, mixing, shingles, tokens
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,8 +21,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SimHash near-dedup: of each group the document with the smallest id stays."""
-    return simhash.near_dedup(docs)
+    """Near-dedup on five-word shingles alike by 0.8 or more: of each group the document with the smallest id stays."""
+    return shingles.near_dedup(docs)
 
 
 def benchmark_overlap(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
