@@ -33,6 +33,18 @@ def test_viterbi_is_the_best_path():
         assert worth(got) == pytest.approx(max(map(worth, itertools.product(range(3), repeat=len(scores)))))
 
 
+def test_viterbi_without_the_best_sum():
+    assert langid.viterbi(np.array([[0.0, -30, -10], [-30, 0, -10]]), 12).tolist() == [0, 1]
+    rng = np.random.default_rng(2)
+    worth = lambda p, s: sum(s[i, x] for i, x in enumerate(p)) - 12 * sum(a != b for a, b in itertools.pairwise(p))
+    for _ in range(300):  # each word has a language of its own, and a third one is near all of them
+        n = rng.integers(2, 5)
+        scores = np.full((n, 4), -30.0) + rng.integers(-5, 6, (n, 4))
+        scores[np.arange(n), np.sort(rng.integers(0, 3, n))] = 0
+        scores[:, 3] = rng.integers(-12, -5, n)
+        assert worth(langid.viterbi(scores, 12), scores) == max(worth(p, scores) for p in itertools.product(range(4), repeat=n))
+
+
 def test_held_out_accuracy_and_columns(spark, model):
     rows = langid.identify(make(spark), model).select("row.doc_id", "lang_pred", "score").collect()
     right = [r.lang_pred == list(WORDS)[r.doc_id % 4] for r in rows]

@@ -4,8 +4,8 @@ A word is a run of letters and marks; its score for a language is the sum of log
 (hashed to ``2 ** BITS`` buckets, word ends included). The script of its first letter, by code point ranges, leaves
 only the languages that were learnt with that script as candidates. Viterbi over the words with a penalty for each
 switch gives every word a language, and runs of one language are the spans of the text. Where no language gains as
-much as the penalty over any stretch of words, staying in the best language is the best path, so only texts with such a stretch need
-the full recursion.
+much as the penalty over any stretch of words, nor two together over the first words and the last, staying in the best
+language is the best path, so only other texts need the full recursion.
 
 The model is fitted on a bounded sample of labelled rows: about ``ROWS_PER_LANGUAGE`` rows of each language, drawn by
 a hash of the id, and at most ``MOST_LANGUAGES`` languages (the most frequent). It is an array of ``2 ** BITS`` rows and a
@@ -116,7 +116,9 @@ def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
     gain = np.cumsum(scores - scores[:, best : best + 1], axis=0)
     low = np.minimum(np.minimum.accumulate(gain, axis=0), 0)
     low = np.vstack([np.zeros((1, scores.shape[1])), low[:-1]])
-    if (gain - low).max(initial=0.0) < penalty:
+    # where other languages have every word, k runs need only k - 1 switches, so first and last run must gain less than one
+    ends = gain.max(initial=0.0) + (gain[-1:] - gain).max(initial=0.0)
+    if (gain - low).max(initial=0.0) < penalty and ends < penalty:
         return np.full(len(scores), best)
     n, k = scores.shape
     came = np.empty((n, k), np.int64)
