@@ -161,3 +161,11 @@ def test_chain_lengths(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (1, 5), (5, 4), (8, 9)], "a long, b long")
     got = {r.node: r.hops for r in C.chain_length(edges, spark.createDataFrame([(1,)], "node long")).collect()}
     assert got == {1: 0, 2: 1, 5: 1, 3: 2, 4: 2}
+
+
+def test_chains_longer_than_32_hops(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(35)], "a long, b long")
+    start = spark.createDataFrame([(0,)], "node long")
+    assert {r.node: r.hops for r in C.chain_length(edges, start).collect()} == {i: i for i in range(36)}
+    with pytest.raises(RuntimeError):
+        C.chain_length(edges, start, 3)
