@@ -1,4 +1,5 @@
 import random
+import re
 import zlib
 
 import numpy as np
@@ -56,5 +57,62 @@ def test_files_against_plain_encoding(spark, tmp_path):
     assert [r.position for r in shuffled] == [r.position for r in tokens.read_shuffled(spark, path, 3).collect()]
 
 
+def test_reads_by_offset_alone(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"text {i} of many") for i in range(200)], "doc_id long, text string")
+    path = tokens.write_tokens(docs, f"file://{tmp_path}/t", PATH, by_word=True, shard_bytes=2000)
+    index = {r.doc_id: r for r in spark.read.parquet(f"{path}/index").collect()}
+    chosen = [3, 77, 150]
+    for f in (tmp_path / "t" / "records").rglob("part-*"):  # spoil every byte of every other record
+        data, place = bytearray(f.read_bytes()), tuple(int(x) for x in re.search(r"file=(\d+)/part-(\d+)", str(f)).groups())
+        hold = [(r.offset, r.offset + r.length) for i in chosen if ((r := index[i]).file, r.shard) == place]
+        keep = bytearray(b"\xff" * len(data))
+        for a, z in hold:
+            keep[a:z] = data[a:z]
+        f.write_bytes(keep)
+        (f.parent / f".{f.name}.crc").unlink(missing_ok=True)
+    wanted = spark.createDataFrame([(k, (r := index[i]).shard, r.file, r.offset, r.length) for k, i in enumerate(chosen)], "position long, shard int, file int, offset long, length long")
+    plain = Tokenizer.from_file(PATH)
+    for most in (10, 1):  # broadcast and joined
+        got = sorted(tokens.read_at(spark, path, wanted, most).collect())
+        assert [(r.position, r.doc_id, r.ids) for r in got] == [(k, i, plain.encode(f"text {i} of many", add_special_tokens=False).ids + [1]) for k, i in enumerate(chosen)]
+    assert tokens.read_at(spark, path, wanted.limit(0)).count() == 0
+    with pytest.raises(Exception, match="bad record"):
+        tokens.read_records(spark, path).collect()
+
+
+def test_part_of_a_seeded_order(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(60)], "doc_id long, text string")
+    path = tokens.write_tokens(docs, f"file://{tmp_path}/t", PATH, by_word=True)
+    whole = tokens.read_shuffled(spark, path, 5).collect()
+    assert len(whole) == 60
+    part = tokens.read_shuffled(spark, path, 5, whole[10].position, whole[29].position).collect()
+    assert part == whole[10:30]
+
+
+def test_one_id_and_long_texts_fall_into_several_shards_and_files(spark, tmp_path):
+    rows = [(None, "the same text again")] * 300 + [(5, "word " * 5000)] * 4
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    path = tokens.write_tokens(docs, f"file://{tmp_path}/t", PATH, by_word=True, shard_bytes=30000, file_bytes=15000)
+    index = spark.read.parquet(f"{path}/index").collect()
+    assert len({r.shard for r in index if r.doc_id is None}) > 1 and len({(r.shard, r.file) for r in index if r.doc_id == 5}) == 4
+    got = sorted(tokens.token_rows(spark, path).collect(), key=lambda r: r.start)
+    at = 0
+    for r in got:
+        assert (r.start, r.n_tokens) == (at, 5001 if r.doc_id else 5)
+        at += r.n_tokens
+    assert [r.doc_id for r in got] == [None] * 300 + [5] * 4
+
+
+def test_words_are_forgotten_in_time():
+    enc, plain = tokens.Encoder(PATH, True), Tokenizer.from_file(PATH)
+    enc.SLOTS, enc.MOST, enc.PORTION, enc.LONG = 1 << 10, 200, 400, 5
+    enc.forget()
+    rng = random.Random(4)
+    for _ in range(200):
+        text = " ".join("".join(rng.choice("abcdeÉß,.1") for _ in range(rng.choice([1, 3, 6, 15, 16, 40]))) for _ in range(60))
+        assert np.frombuffer(enc([text])[0], enc.kind).tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert enc.words <= 200 + 400
+
+
 def test_empty_table(spark):
     assert tokens.encoded_rows(spark.createDataFrame([], "doc_id long, text string")).count() == 0
