@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tidemark.functions.shared import keep
-from tidemark.llm.codes import pieces
+from tidemark.llm.codes import bounded, pieces
 from tidemark.operators.graph import connected_components
 
 
@@ -44,12 +44,17 @@ def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     spans = list(zip(starts[: max(1, len(words) - width + 1)].tolist(), ends[width - 1 :].tolist() or [len(line)]))
-    ones = np.zeros(64, np.int64)
     digest = xxhash.xxh64_intdigest
-    for at in range(0, len(spans), 1 << 15):
-        h = np.array([digest(line[s:e], seed) for s, e in spans[at : at + (1 << 15)]], np.uint64)
+    return majority(np.array([digest(line[s:e], seed) for s, e in spans], np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """As a signed number, the bits that over half of the hashes have set."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 15):
+        h = hashes[at : at + (1 << 15)]
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits((2 * ones > len(spans)).astype(np.uint8), bitorder="little")
+    bits = np.packbits((2 * ones > len(hashes)).astype(np.uint8), bitorder="little")
     return int(bits.view(np.int64)[0])
 
 
@@ -64,7 +69,7 @@ def fingerprinted(docs: DataFrame, columns: Sequence[str] | None = None, width:
             fp = pa.array([fingerprint(t, width) for t in b.column("text").to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("row"), b.column("tie"), fp], ["row", "tie", "fp"])
 
-    return rows.mapInArrow(add, schema)
+    return bounded(rows).mapInArrow(add, schema)
 
 
 def block_masks(blocks: int, radius: int) -> list[int]:
@@ -149,20 +154,35 @@ def links(prints: DataFrame, radius: int = 4, shard_size: int = 4096, shard_limi
     )
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = [b for b in batches if b.num_rows]
-        if not whole:
-            return
-        choice, value, i, j, fp = (np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in whole]) for c in range(5))
-        order = np.lexsort((fp, j, i, value, choice))
-        choice, value, i, j, fp = choice[order], value[order], i[order], j[order], fp[order]
-        new = np.r_[True, (choice[1:] != choice[:-1]) | (value[1:] != value[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]
-        forest = BKForest(np.cumsum(new), fp.view(np.uint64))
-        label = joined(len(fp), forest.within(radius))
-        linked = np.flatnonzero(label != np.arange(len(fp)))
-        edges = np.unique(np.stack([fp[linked], fp[label[linked]]], axis=1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["a", "b"])
-
-    return tiles.repartition("choice", "value", "i", "j").mapInArrow(search, "a long, b long")
+        for choice, value, i, j, fp in whole_tiles(batches, 16 * shard_limit):
+            order = np.lexsort((fp, j, i, value, choice))
+            choice, value, i, j, fp = choice[order], value[order], i[order], j[order], fp[order]
+            new = np.r_[True, (choice[1:] != choice[:-1]) | (value[1:] != value[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]
+            forest = BKForest(np.cumsum(new), fp.view(np.uint64))
+            label = joined(len(fp), forest.within(radius))
+            linked = np.flatnonzero(label != np.arange(len(fp)))
+            edges = np.unique(np.stack([fp[linked], fp[label[linked]]], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["a", "b"])
+
+    tile = ("choice", "value", "i", "j")
+    return tiles.repartition(*tile).sortWithinPartitions(*tile).mapInArrow(search, "a long, b long")
+
+
+def whole_tiles(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[np.ndarray]]:
+    """The columns of some whole tiles at a time, about ``most`` rows; tiles come sorted by their first four columns."""
+    held: list[list[np.ndarray]] = []
+    for b in batches:
+        held.append([b.column(c).to_numpy(zero_copy_only=False) for c in range(5)])
+        if sum(len(h[0]) for h in held) < most:
+            continue
+        columns = [np.concatenate(c) for c in zip(*held)]
+        cut = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns[:4]], axis=0))
+        if len(cut):
+            yield [c[: cut[-1] + 1] for c in columns]
+            columns = [c[cut[-1] + 1 :] for c in columns]
+        held = [columns]
+    if held and sum(len(h[0]) for h in held):
+        yield [np.concatenate(c) for c in zip(*held)]
 
 
 def groups(printed: DataFrame, radius: int = 4) -> DataFrame:
