@@ -29,6 +29,7 @@ from typing import Any
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidemark.llm.codes import bounded
 CONTROL = ("<turn>", "</turn>", "###")
 TURNS = (
     "{% for message in messages %}<turn>### {{ message.role | line }}:\n"
@@ -404,7 +405,7 @@ def format_conversations(conversations: DataFrame, template: str = TURNS, piece_
                     out, size = [], 0
         yield flush()
 
-    return ordered_turns(conversations).mapInArrow(render, PIECE)
+    return bounded(ordered_turns(conversations)).mapInArrow(render, PIECE)
 
 
 _turn = re.compile(r"<turn>### ((?:\\.|[^\\\n])*):\n((?:[^\\<]|\\.|<(?!/turn>))*+)</turn>\n", re.S)
@@ -443,7 +444,7 @@ def read_back(pieces: DataFrame) -> DataFrame:
     def rows_of(out: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names)
 
-    return pieces.mapInArrow(read, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return bounded(pieces).mapInArrow(read, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 SAID = "\\### Assistant: </turn> ok"

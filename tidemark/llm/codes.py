@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 TOP = 0x110000
 MARK, LETTER, NUMBER = 1, 2, 3
@@ -37,6 +38,13 @@ def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out, at
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """``df`` itself, in a session whose Arrow batches hold 4 MB (or one row): what lies between a task and its Python
+    worker stays small however long texts are."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+    return df
+
+
 def pieces(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Batches in slices of some rows: what a task holds as Python objects stays small, however long the texts are."""
     for b in batches:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.functions.shared import keep
-from tidemark.llm.codes import code_points, pieces, portions, tables, word_starts
+from tidemark.llm.codes import bounded, code_points, pieces, portions, tables, word_starts
 
 MASKS = ("1101011", "1110101", "11111")
 BITMAP_BITS = 26
@@ -86,7 +86,7 @@ def items_table(benchmark: DataFrame, least_words: int) -> DataFrame:
                 hits.append([{"hash": h, "pos": p} for s in found for p, h in enumerate(s.view(np.int64).tolist())])
             yield pa.RecordBatch.from_arrays([b.column("item_id"), pa.array(words, pa.list_(pa.int64())), pa.array(hits, hit)], ["item_id", "words", "hits"])
 
-    return rows.mapInArrow(hash_items, "item_id long, words array<long>, hits array<struct<hash:long,pos:long>>")
+    return bounded(rows).mapInArrow(hash_items, "item_id long, words array<long>, hits array<struct<hash:long,pos:long>>")
 
 
 def bitmap(hashes: DataFrame) -> np.ndarray:
@@ -130,7 +130,7 @@ def passing(docs: DataFrame, bits: np.ndarray, window: int) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), hit)
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["doc_id", "tie", "start", "words", "hits"])
 
-    return rows.mapInArrow(scan, "doc_id long, tie long, start long, words array<long>, hits array<struct<hash:long,pos:long>>")
+    return bounded(rows).mapInArrow(scan, "doc_id long, tie long, start long, words array<long>, hits array<struct<hash:long,pos:long>>")
 
 
 def best_window(doc: np.ndarray, item: np.ndarray, shift: int, window: int) -> tuple[int, int, int]:
@@ -167,7 +167,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, similar
                     out.append((doc_id, tie, item_id, start + at + shift, at, size, same))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(7)], ["doc_id", "tie", "item_id", "doc_word", "item_word", "n_words", "n_same"])
 
-    found = ready.mapInArrow(verify, "doc_id long, tie long, item_id long, doc_word long, item_word long, n_words long, n_same long")
+    found = bounded(ready).mapInArrow(verify, "doc_id long, tie long, item_id long, doc_word long, item_word long, n_words long, n_same long")
     best = F.max_by(F.struct("doc_word", "item_word", "n_words", "n_same"), F.struct("n_same", -F.col("doc_word"), -F.col("item_word")))
     return found.groupBy("doc_id", "tie", "item_id").agg(best.alias("best")).select("doc_id", "tie", "item_id", "best.*")
 

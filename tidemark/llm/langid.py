@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from tidemark.llm.codes import NUMBER, TOP, code_points, pieces, portions, tables, word_starts
+from tidemark.llm.codes import NUMBER, TOP, bounded, code_points, pieces, portions, tables, word_starts
 
 BITS, ROWS_PER_LANGUAGE, MOST_LANGUAGES, PENALTY = 16, 2000, 512, 12.0
 SPAN = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("lang", T.StringType())])
@@ -187,7 +187,7 @@ def fit(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, penalty: fl
                 at = np.flatnonzero(n)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(sign * (at + 1)), pa.array(n[at])], ["lang", "slot", "n"])
 
-    totals = sample.mapInArrow(count, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()
+    totals = bounded(sample).mapInArrow(count, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()
     n, scripts = np.zeros((1 << BITS, len(langs))), np.zeros((len(SCRIPTS) + 1, len(langs)))
     column = totals["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy()
     slot, value = totals["slot"].to_numpy(), totals["n"].to_numpy()
@@ -217,7 +217,7 @@ def identify(docs: DataFrame, model: Model | None, columns: Sequence[str] | None
             found = list(predict(shared.value, b.column("text").to_pylist()))
             yield pa.RecordBatch.from_arrays([b.column("row"), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array([x[2] for x in found], spans)], ["row", "lang_pred", "score", "spans"])
 
-    return rows.mapInArrow(label, schema)
+    return bounded(rows).mapInArrow(label, schema)
 
 
 def keep_identified(docs: DataFrame, least_score: float = 0.5) -> DataFrame:

@@ -1,11 +1,12 @@
-"""Near-duplicate groups by word shingles.
+"""SimHash near-dedup for the pipeline: fingerprints of word shingles, checked on the whole sets.
 
 A document's set is the hashes of its shingles, ``WIDTH`` words each. Two sets link if their exact Jaccard likeness is
 ``LEAST`` or more; groups are the components of the links.
 
-* Candidates come from min-hash bands: two sets at a likeness of 0.8 share one of 40 bands of 8 with a chance of
-  0.9994, and with more the more alike they are. (SimHash fingerprints of such pairs differ in eight bits or more on
-  average; at a radius wide enough for them the bit blocks no longer part the fingerprints.)
+* Candidates come from the BK-trees of ``simhash``, over fingerprints of the same shingles and within ``RADIUS`` bits.
+* Fingerprints of pairs at a likeness of 0.8 differ in eight bits or more on average, and at a radius wide enough for
+  them the bit blocks no longer part the fingerprints. So min-hash bands bring what the trees miss: two sets at 0.8
+  share one of 24 bands of 6 with a chance of 0.9993, and with more the more alike they are.
 * First each member of a bucket meets the smallest one only. What these links join need not meet again: after that,
   only members of different components do, so a bucket of copies of one text costs in proportion to its size.
 * Every candidate is checked on the whole sets; sets are fetched for members of buckets only.
@@ -26,15 +27,16 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.functions.shared import keep
-from tidemark.llm.codes import pieces
+from tidemark.llm.codes import bounded, pieces
+from tidemark.llm.simhash import links as links_of_prints, majority
 from tidemark.operators.graph import connected_components
 
-WIDTH, LEAST, BANDS, ROWS = 5, 0.8, 40, 8
+WIDTH, LEAST, RADIUS, BANDS, ROWS = 5, 0.8, 4, 24, 6
 FLIP, TIMES, FOLD = np.random.default_rng(5).integers(0, 1 << 64, (3, BANDS * ROWS), np.uint64) | np.array([[0], [1], [1]], np.uint64)
 
 
-def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
-    """Sorted distinct hashes of the text's shingles."""
+def shingle_hashes(text: str | None, width: int = WIDTH) -> np.ndarray:
+    """Hashes of the text's shingles in order, repeats included."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
@@ -43,7 +45,12 @@ def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     starts = np.concatenate(([0], ends[:-1] + 1))
     spans = zip(starts[: max(1, len(words) - width + 1)].tolist(), ends[width - 1 :].tolist() or [len(line)])
     digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(line[s:e], 42) for s, e in spans], np.uint64))
+    return np.array([digest(line[s:e], 42) for s, e in spans], np.uint64)
+
+
+def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
+    """Sorted distinct hashes of the text's shingles."""
+    return np.unique(shingle_hashes(text, width))
 
 
 def bands(hashes: np.ndarray) -> np.ndarray:
@@ -64,18 +71,21 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """``(doc_id, tie, set, n, bands)``: ``set`` names the set, ``n`` is its size; an empty set has no bands."""
+    """``(doc_id, tie, set, n, fp, bands)``: ``set`` names the set, ``n`` is its size; an empty set has no bands.
+
+    ``fp`` is the SimHash fingerprint. Texts of one set may repeat shingles differently and so have several."""
     rows = keyed(docs)
-    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, tie long, set long, n int, bands array<long>"
+    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, tie long, set long, n int, fp long, bands array<long>"
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
-            found = [shingles(t) for t in b.column("text").to_pylist()]
+            whole = [shingle_hashes(t) for t in b.column("text").to_pylist()]
+            found = [np.unique(h) for h in whole]
             names = np.array([xxhash.xxh3_64_intdigest(h.tobytes()) for h in found], np.uint64).view(np.int64)
             values = pa.array([bands(h) if len(h) else [] for h in found], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tie"), pa.array(names), pa.array([len(h) for h in found], pa.int32()), values], ["doc_id", "tie", "set", "n", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tie"), pa.array(names), pa.array([len(h) for h in found], pa.int32()), pa.array([majority(h) for h in whole], pa.int64()), values], ["doc_id", "tie", "set", "n", "fp", "bands"])
 
-    return rows.mapInArrow(add, schema)
+    return bounded(rows).mapInArrow(add, schema)
 
 
 def checked(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -89,11 +99,23 @@ def checked(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
             good = pa.array([likeness(p, q) >= least for p, q in zip(x, y)], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(good), b.column(1).filter(good)], ["a", "b"])
 
-    return both.mapInArrow(check, "a long, b long")
+    return bounded(both).mapInArrow(check, "a long, b long")
+
+
+def near_prints(distinct: DataFrame) -> DataFrame:
+    """Candidates ``(a, b)``: sets of one fingerprint with the smallest of them, and those of fingerprints that BK-trees link."""
+    heads = keep(distinct.filter("n > 0").groupBy("fp").agg(F.min(F.struct("set", "n")).alias("head")), "shingle-prints")
+    same = distinct.join(heads, "fp").filter(F.col("set") != F.col("head.set")).select("head", F.struct("set", "n").alias("other"))
+    side = lambda c: heads.select(F.col("fp").alias(c), F.col("head").alias(f"of_{c}"))
+    near = links_of_prints(heads.select("fp"), RADIUS).join(side("a"), "a").join(side("b"), "b").select(F.col("of_a").alias("head"), F.col("of_b").alias("other"))
+    return same.unionByName(near)
 
 
 def links(docs: DataFrame, distinct: DataFrame, least: float = LEAST) -> DataFrame:
     """Edges ``(a, b)`` between sets: enough links of each bucket to join what is linked there."""
+    fits = lambda n, m: F.least(n, m) >= F.lit(least - 1e-9) * F.greatest(n, m)  # noqa: E731  sets of other sizes cannot be so alike
+    prints = near_prints(distinct).filter(fits(F.col("head.n"), F.col("other.n"))).select(F.least("head.set", "other.set").alias("a"), F.greatest("head.set", "other.set").alias("b"))
+    prints = keep(prints.distinct(), "shingle-near-prints")
     placed = distinct.select(F.explode("bands").alias("band"), "set", "n")
     shared = placed.groupBy("band").agg(F.min(F.struct("set", "n")).alias("head"), F.max("set").alias("last")).filter("head.set <> last").select("band", "head")
     members = keep(placed.join(shared, "band"), "shingle-members")
@@ -102,11 +124,11 @@ def links(docs: DataFrame, distinct: DataFrame, least: float = LEAST) -> DataFra
         for b in pieces(batches):
             yield pa.RecordBatch.from_arrays([b.column("set"), pa.array([shingles(t).tobytes() for t in b.column("text").to_pylist()], pa.binary())], ["set", "hashes"])
 
-    wanted = distinct.join(members.select("set").distinct(), "set", "left_semi").select("set", "owner.doc_id", "owner.tie")
+    named = members.select("set").unionByName(prints.select(F.explode(F.array("a", "b")).alias("set"))).distinct()
+    wanted = distinct.join(named, "set", "left_semi").select("set", "owner.doc_id", "owner.tie")
     texts = keyed(docs).alias("d").join(wanted.alias("w"), F.expr("d.doc_id <=> w.doc_id and d.tie = w.tie")).select("w.set", "d.text")
-    sets = keep(texts.mapInArrow(fetch, "set long, hashes binary").dropDuplicates(["set"]), "shingle-sets")
-    fits = lambda n, m: F.least(n, m) >= F.lit(least - 1e-9) * F.greatest(n, m)  # noqa: E731  sets of other sizes cannot be so alike
-    stars = members.filter((F.col("set") != F.col("head.set")) & fits(F.col("n"), F.col("head.n"))).select(F.col("head.set").alias("a"), F.col("set").alias("b")).distinct()
+    sets = keep(bounded(texts).mapInArrow(fetch, "set long, hashes binary").dropDuplicates(["set"]), "shingle-sets")
+    stars = members.filter((F.col("set") != F.col("head.set")) & fits(F.col("n"), F.col("head.n"))).select(F.col("head.set").alias("a"), F.col("set").alias("b")).unionByName(prints).distinct()
     first = keep(checked(stars, sets, least), "shingle-links")
     parts = members.drop("head").join(connected_components(first).withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
     parts = keep(parts, "shingle-parts")
@@ -121,7 +143,7 @@ def near_dedup(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """One row of each near-duplicate group: the one with the smallest id."""
     sketches = keep(sketched(docs), "shingle-sketches")
     owner = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("owner")
-    distinct = keep(sketches.groupBy("set").agg(owner, F.first("n").alias("n"), F.first("bands").alias("bands")), "shingle-distinct")
+    distinct = keep(sketches.groupBy("set").agg(owner, F.first("n").alias("n"), F.min("fp").alias("fp"), F.first("bands").alias("bands")), "shingle-distinct")
     found = connected_components(links(docs, distinct, least)).withColumnRenamed("node", "set")
     rooted = distinct.select("set", "owner").join(found, "set", "left")
     kept = rooted.groupBy(F.coalesce("component", "set").alias("root")).agg(F.min("owner").alias("owner")).select("owner.doc_id", "owner.tie")

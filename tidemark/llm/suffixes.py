@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tidemark.functions.shared import keep
-from tidemark.llm.codes import pieces
+from tidemark.llm.codes import bounded, pieces
 from tidemark.llm.decontam import MIX, scramble
 
 BYTES = scramble(np.arange(1, 257, dtype=np.uint64) * MIX[5])
@@ -218,7 +218,7 @@ def runs_table(docs: DataFrame, plan: Plan) -> DataFrame:
                 runs = [packed(a, z, p) for a, z, p in zip(first, last, anchor)]
                 yield pa.RecordBatch.from_arrays([pa.array([ids[i]] * len(runs), pa.int64()), pa.array([ties[i]] * len(runs), pa.int64()), pa.array(runs, pa.int64()), pa.array(seeds), pa.array(stretches)], ["doc_id", "tie", "run", "seed", "stretch"])
 
-    return keyed(docs).mapInArrow(scan, RUN)
+    return bounded(keyed(docs)).mapInArrow(scan, RUN)
 
 
 # stretches with one seed
@@ -326,7 +326,7 @@ def intervals(docs: DataFrame, plan: Plan) -> DataFrame:
                 held.append(r)
         yield done()
 
-    cut_out = cut_from.mapInArrow(cut, "doc_id long, tie long, seed long, run long, copies long, before binary, behind binary")
+    cut_out = bounded(cut_from).mapInArrow(cut, "doc_id long, tie long, seed long, run long, copies long, before binary, behind binary")
     partial = cut_out.repartition("seed").sortWithinPartitions("seed").mapInArrow(search, INTERVALS)
     # a stretch that occurs once lies in one row, but rows may be repeated: then all of theirs occur more than once
     return settled.unionByName(partial)
@@ -365,7 +365,7 @@ def without_repeats(docs: DataFrame, plan: Plan = Plan(), columns: Sequence[str]
                 out.append((len(data), sum(z - a for a, z in spans), len(spans), b"".join(kept)))
             yield pa.RecordBatch.from_arrays([b.column("row"), *(pa.array([r[i] for r in out], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary())))], ["row", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return joined.mapInArrow(remove, schema)
+    return bounded(joined).mapInArrow(remove, schema)
 
 
 def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from tidemark.functions.shared import keep, shared_path
-from tidemark.llm.codes import pieces
+from tidemark.llm.codes import bounded, pieces
 from tidemark.llm.decontam import MIX, scramble
 
 MASK_DELTA = 0xA282EAD8
@@ -308,7 +308,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 1,
             yield pa.RecordBatch.from_arrays([pa.array(files, pa.int32()), pa.array(range(at, at + len(out)), pa.int64()), pa.array(out, pa.binary())], ["file", "at", "record"])
             at += len(out)
 
-    framed = dealt.mapInArrow(encode, "file int, at long, record binary").sortWithinPartitions("file", "at")
+    framed = bounded(dealt).mapInArrow(encode, "file int, at long, record binary").sortWithinPartitions("file", "at")
     framed.select("file", F.col("record").cast("string").alias("value")).write.partitionBy("file").option("lineSep", "\n").text(f"{path}/records")
     read_records(docs.sparkSession, path).select("shard", "file", "record", "offset", "length", "doc_id", "n_tokens", "start_in_file").write.parquet(f"{path}/index")
     return path
@@ -346,7 +346,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
                     out = []
             yield batch_of(out, schema)
 
-    return contents(spark, f"{path}/records").mapInArrow(parse, schema)
+    return bounded(contents(spark, f"{path}/records")).mapInArrow(parse, schema)
 
 
 def read_at(spark: SparkSession, path: str, wanted: DataFrame, most_broadcast: int = 200_000) -> DataFrame:
@@ -378,7 +378,7 @@ def read_at(spark: SparkSession, path: str, wanted: DataFrame, most_broadcast: i
                     out = []
             yield batch_of(out, schema)
 
-    return met.select("content", "found").mapInArrow(fetch, schema)
+    return bounded(met.select("content", "found")).mapInArrow(fetch, schema)
 
 
 def starts(index: DataFrame) -> DataFrame:
