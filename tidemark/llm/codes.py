@@ -39,9 +39,9 @@ def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def bounded(df: DataFrame) -> DataFrame:
-    """``df`` itself, in a session whose Arrow batches hold 4 MB (or one row): what lies between a task and its Python
+    """``df`` itself, in a session whose Arrow batches hold 1 MB (or one row): what lies between a task and its Python
     worker stays small however long texts are."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "1m")
     return df
 
 

@@ -75,8 +75,8 @@ class Encoder:
     the library. The key of a word is the word itself (15 bytes and its length in two numbers), so the table is exact;
     longer words are kept in a small dictionary, very long ones not at all."""
 
-    SLOTS, MOST, LONG = 1 << 21, 1_200_000, 20_000  # slots of the table; words at which it starts anew, and long ones
-    PORTION = 1 << 19  # bytes looked up together; they hold far fewer new words than the table has free slots
+    SLOTS, MOST, LONG = 1 << 20, 800_000, 20_000  # slots of the table; words at which it starts anew, and long ones
+    PORTION = 1 << 18  # bytes looked up together; they hold far fewer new words than the table has free slots
     ODD = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")  # what may be a special token; white space to Python alone
     SPACES = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
     BLANK = re.compile(rb"[ \t-\r]")
