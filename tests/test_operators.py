@@ -169,3 +169,117 @@ def test_chains_longer_than_32_hops(spark):
     assert {r.node: r.hops for r in C.chain_length(edges, start).collect()} == {i: i for i in range(36)}
     with pytest.raises(RuntimeError):
         C.chain_length(edges, start, 3)
+
+
+def test_strengths_by_joins_equal_those_in_one_task(spark):
+    rng = random.Random(3)
+    rows = [(rep, a, b, rng.randrange(6), rng.randrange(3), rng.randrange(6)) for rep in (1, 2) for a in range(7) for b in range(a + 1, 7)]
+    rows += [(1, 7, 8, 3, 0, 0), (2, 9, 9, 0, 0, 0)]
+    pairs = spark.createDataFrame([(*r, r[3] + 0.5 * r[4]) for r in rows], "rep int, a int, b int, wins int, draws int, losses int, points double")
+    for keys in (("rep",), ()):
+        one, other = ({(r[0], r.seat): r.strength for r in L.bradley_terry(pairs, 7, keys, most_pairs=m).collect()} for m in (1000, 0))
+        assert one.keys() == other.keys() and all(abs(one[k] / other[k] - 1) < 1e-9 for k in one)
+
+
+def test_rating_at_the_ends(spark):
+    fit = lambda scores: L.fitted_rating(spark.createDataFrame([(1500, s) for s in scores], "r int, s double"), "r", "s", -1000.0, 3000.0, 0.5).collect()
+    assert [r.rating for r in fit([0.0, 0.0])] == [-1000.0] and [r.rating for r in fit([1.0, 1.0])] == [3000.0]
+    assert abs(fit([1.0, 0.0])[0].rating - 1500) < 1e-6
+
+
+def test_header_block_alone_is_read(spark, tmp_path):
+    record = '[Event "a"]\n[Site "x"]\n[Event "b \\"q\\""]\n\ns1 { [Site "evil"] } s2'
+    (h,) = spark.createDataFrame([(record,)], "record string").select(A.headers(F.col("record"), {"Date": "?", "Site": "?"})).first()
+    assert h == {"Date": "?", "Site": "x", "Event": 'b \\"q\\"'}
+    (none,) = spark.createDataFrame([("no tags",)], "record string").select(A.headers(F.col("record"), {})).first()
+    assert none == {}
+
+
+def test_archives_of_every_suffix(spark, tmp_path):
+    import bz2
+    import gzip
+
+    import zstandard
+
+    (tmp_path / "a.txt").write_text("one\ntwo\n")
+    (tmp_path / "b.pgn.bz2").write_bytes(bz2.compress(b"three\n"))
+    (tmp_path / "c.gz").write_bytes(gzip.compress("vier é\n".encode()))
+    pack = zstandard.ZstdCompressor().compress
+    (tmp_path / "d.pgn.zst").write_bytes(pack("five\r\nsix é".encode()) + pack(b"\nseven\n"))
+    (tmp_path / "latest").write_text("eight")
+    got = sorted((r.archive, r.value) for r in A.text_lines(spark, f"file://{tmp_path}").collect())
+    assert got == [("a.txt", "one"), ("a.txt", "two"), ("b.pgn.bz2", "three"), ("c.gz", "vier é"), ("d.pgn.zst", "five"), ("d.pgn.zst", "seven"), ("d.pgn.zst", "six é"), ("latest", "eight")]
+
+
+def test_stream_goes_on_after_a_failure(spark, tmp_path):
+    from tidemark.streaming import streams as Z
+
+    drop, corpus, progress = (f"file://{tmp_path}/{n}" for n in ("drop", "corpus", "progress"))
+    add = lambda rows: spark.createDataFrame(rows, "id int, archive int").coalesce(1).write.mode("append").parquet(drop)
+    add([(i, 2017) for i in range(10)])
+    add([(i, 2017 + i % 2) for i in range(10, 20)])  # the archive goes on in another file
+    run = lambda prepare=lambda rows: rows: Z.incremental_archives(Z.files(spark, drop, spark.read.parquet(drop).schema), corpus, "archive", progress, prepare)
+    done = []
+
+    def fails_in_the_second(rows):
+        done.append(1)
+        if len(done) == 2:
+            raise ValueError("lost")
+        return rows
+
+    with pytest.raises(Exception, match="lost"):
+        run(fails_in_the_second)
+    assert spark.read.parquet(f"{corpus}/batch=*").count() == 10
+    want = sorted((i, 2017 if i < 10 else 2017 + i % 2) for i in range(20))
+    for _ in range(2):  # goes on, and then has nothing to do
+        assert sorted((r.id, r.archive) for r in run().collect()) == want
+    add([(20, 2017)])
+    assert sorted((r.id, r.archive) for r in run().collect()) == [*want, (20, 2017)]
+
+
+def test_cursor_of_other_rows_fails(spark, tmp_path):
+    from tidemark.streaming import streams as Z
+
+    path = f"file://{tmp_path}/cursor"
+    Z.write_cursor(spark.range(10), "id", 4, path)
+    assert Z.read_cursor(spark.range(10).orderBy(F.desc("id")), "id", path).first().cursor == 4
+    with pytest.raises(Exception, match="other data"):
+        Z.read_cursor(spark.range(11), "id", path).collect()
+
+
+def test_leakage_under_a_recorded_recipe(spark, tmp_path):
+    from tidemark.plans.pools import check_leakage, write_recipe
+
+    path = f"file://{tmp_path}/recipe"
+    write_recipe(spark, path, seed="s", validation=0.2, test=0.1)
+    same = check_leakage(spark.range(1000), "id", path, seed="s", validation=0.2, test=0.1).first()
+    assert same.state == "verified" and 600 < same.leaked < 800 and same.held == 1000
+    for other in ({"seed": "t"}, {"validation": 0.3}, {"test": 0.2}):
+        r = check_leakage(spark.range(10), "id", path, **{"seed": "s", "validation": 0.2, "test": 0.1} | other).first()
+        assert r.state == "unverified" and r.leaked is None
+
+
+def test_nested_settings_become_dotted_keys(spark):
+    from tidemark.functions.parsing import flattened
+
+    rows = [('{"b": {"y": 1, "x": {"z": [1, 2]}}, "a": "t", "n": null}',), (None,), ("{}",), ("no json",)]
+    got = [sorted(map(tuple, r[0])) for r in spark.createDataFrame(rows, "j string").select(flattened(F.col("j"))).collect()]
+    assert got == [[("a", "t"), ("b.x.z", "[1,2]"), ("b.y", "1")], [], [], []]
+
+
+def test_best_within_against_brute_force(spark):
+    rng = random.Random(5)
+    points = [(rng.randrange(20) * 1.0, rng.randrange(5), i) for i in range(200)]
+    budgets = [-1, 0, 3, 3, 8, 30]
+    out = C.best_within(spark.createDataFrame(points, "cost double, quality int, label int"), spark.createDataFrame([(b,) for b in budgets], "budget int"), "cost", "budget", "quality", "label")
+    want = {b: max(((q, -c, i) for c, q, i in points if c <= b), default=(None, None, None)) for b in budgets}
+    assert {r.budget: (r.quality, None if r.cost is None else -r.cost, r.label) for r in out.collect()} == want
+    assert out.count() == len(want)
+
+
+def test_rank_within_a_hot_group(spark):
+    from tidemark.operators.batching import rank_within
+
+    rows = [(1 if i < 90 else i % 3, (i * 37) % 100) for i in range(100)] + [(None, 5), (None, 1)]
+    got = {(r.g, r.k): r.n for r in rank_within(spark.createDataFrame(rows, "g int, k int"), ["g"], [F.col("k")], "n").collect()}
+    assert got == {(g, k): sorted(x for h, x in rows if h == g).index(k) + 1 for g, k in rows}

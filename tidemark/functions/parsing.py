@@ -19,6 +19,19 @@ def with_status(text: Column, value: Column) -> Column:
     return F.struct(F.when(~empty, value).alias("value"), F.when(empty, UNAVAILABLE).when(value.isNull(), REJECTED).otherwise(PRESENT).alias("status"))
 
 
+def flattened(value: Column, depth: int = 6, prefix: Column | None = None) -> Column:
+    """Entries ``(key, value)`` of a JSON object with dotted keys for objects in it, down to ``depth`` levels; what lies
+    deeper stays as JSON text. Nulls have no entry, arrays are kept as JSON text."""
+    entries = F.map_entries(F.from_json(value, "map<string,string>"))
+
+    def one(e: Column) -> Column:
+        name = e["key"] if prefix is None else F.concat(prefix, F.lit("."), e["key"])
+        leaf = F.array(F.named_struct(F.lit("key"), name, F.lit("value"), e["value"]))
+        return F.when(F.startswith(e["value"], F.lit("{")), flattened(e["value"], depth - 1, name)).otherwise(leaf) if depth > 1 else leaf
+
+    return F.filter(F.flatten(F.transform(F.coalesce(entries, F.array().cast("array<struct<key:string,value:string>>")), one)), lambda e: e["value"].isNotNull())
+
+
 def optional_int(text: Column) -> Column:
     return with_status(text, F.when(F.trim(text).rlike("^[0-9]{1,9}$"), F.trim(text).try_cast("int")))
 

@@ -42,10 +42,18 @@ def packed(rows: DataFrame, order: Sequence[Column], length: str, width: int) ->
     return cut.withColumns({"from_step": low - F.col("_start"), "to_step": high - F.col("_start")}).drop("_start", "_end")
 
 
+def rank_within(rows: DataFrame, group: Sequence[str], order: Sequence[Column], out: str) -> DataFrame:
+    """``out``: the row's rank in its group. A rank over all rows less the ranks of the groups before, so a group may be hot."""
+    ranked = global_rank(rows, [*map(F.col, group), *order], "_rank")
+    first = ranked.groupBy(*group).agg(F.min("_rank").alias("_first")).select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(group)], "_first")
+    same = [F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(group)]
+    return ranked.join(first, same).withColumn(out, F.col("_rank") - F.col("_first") + 1).drop("_rank", "_first", *[f"_g{i}" for i in range(len(group))])
+
+
 def bucket_batches(rows: DataFrame, length: Column, width: int, order: Sequence[Column], size: int) -> DataFrame:
     """Batches of ``size`` within buckets of similar length."""
     rows = rows.withColumn("bucket", F.floor((length - 1) / width))
-    return rows.withColumn("batch", F.floor((F.row_number().over(W.partitionBy("bucket").orderBy(*order)) - 1) / size))
+    return rank_within(rows, ["bucket"], order, "_n").withColumn("batch", F.floor((F.col("_n") - 1) / size)).drop("_n")
 
 
 def padded(sequences: DataFrame, batch: str, values: str, pad: Column) -> DataFrame:

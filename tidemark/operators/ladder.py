@@ -4,48 +4,71 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tidemark.functions import hashing
 from tidemark.functions.scores import expected_score
+from tidemark.functions.shared import checkpointed
 from tidemark.operators.metrics import seat_totals
 
 
-def bradley_terry(pairs: DataFrame, rounds: int, keys: tuple[str, ...] = ()) -> DataFrame:
+def bradley_terry(pairs: DataFrame, rounds: int, keys: tuple[str, ...] = (), most_pairs: int = 200_000) -> DataFrame:
     """``(*keys, seat, strength)`` by minorization and maximization, geometric mean 1; a fixed number of rounds.
 
     Seats that won all or nothing have no strength and are set aside with their games. ``keys`` fit many tables, for
-    instance one for each replicate, in parallel. One table has a row for each pair of seats, whatever the number of
-    games, so a table is fitted where its rows meet.
+    instance one for each replicate, in parallel. A table has a row for each pair of seats, whatever the number of
+    games. Tables of up to ``most_pairs`` pairs are fitted where their rows meet; if any has more, the rounds run as
+    joins and sums over all tables, and no task holds one.
     """
     k = list(keys)
+    n = F.col("wins") + F.col("draws") + F.col("losses")
+    rows = pairs.select(*k, "a", "b", n.cast("double").alias("g"), F.col("points").cast("double").alias("p")).filter("g > 0")
+    largest = rows.groupBy(*k).count().agg(F.max("count")).first()[0] or 0
+    return fitted_apart(rows, rounds, k) if largest <= most_pairs else fitted_by_joins(rows, rounds, k)
+
 
+def fitted_apart(rows: DataFrame, rounds: int, k: list[str]) -> DataFrame:
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        g = (rows.wins + rows.draws + rows.losses).to_numpy(float)
-        rows, g = rows[g > 0], g[g > 0]
         seats, at = np.unique(np.concatenate([rows.a, rows.b]), return_inverse=True)
-        a, b = at[: len(rows)], at[len(rows) :]
-        n = len(seats)
-        games, points = np.zeros((n, n)), np.zeros((n, n))
-        np.add.at(games, (np.r_[a, b], np.r_[b, a]), np.r_[g, g])
-        p = rows.points.to_numpy(float)
-        np.add.at(points, (np.r_[a, b], np.r_[b, a]), np.r_[p, g - p])
-        scored = (points.sum(1) > 0) & (points.sum(1) < games.sum(1))
-        games, points, seats = games[np.ix_(scored, scored)], points[np.ix_(scored, scored)].sum(1), seats[scored]
-        strength = np.ones(len(seats))
+        n, a, b = len(seats), at[: len(rows)], at[len(rows) :]
+        g, p = rows.g.to_numpy(), rows.p.to_numpy()
+        both = lambda x, y: np.bincount(a, x, n) + np.bincount(b, y, n)
+        won, played = both(p, g - p), both(g, g)
+        scored = (won > 0) & (won < played)
+        used = scored[a] & scored[b]
+        a, b, g, p = a[used], b[used], g[used], p[used]
+        points, strength = both(p, g - p)[scored], np.ones(n)
         for _ in range(rounds):
-            load = (games / (strength[:, None] + strength[None, :])).sum(1)
-            strength = np.maximum(points / np.maximum(load, 1e-12), 1e-9)
-            strength /= np.exp(np.log(strength).mean())
-        out = pd.DataFrame({"seat": seats, "strength": strength})
+            x = g / (strength[a] + strength[b])
+            strength[scored] = np.maximum(points / np.maximum(both(x, x)[scored], 1e-12), 1e-9)
+            strength[scored] /= np.exp(np.log(strength[scored]).mean())
+        out = pd.DataFrame({"seat": seats[scored], "strength": strength[scored]})
         return out.assign(**{c: rows[c].iloc[0] for c in k})[[*k, "seat", "strength"]] if len(out) else pd.DataFrame({c: [] for c in [*k, "seat", "strength"]})
 
-    kinds = dict(pairs.dtypes)
+    kinds = dict(rows.dtypes)
     schema = ", ".join([*[f"{c} {kinds[c]}" for c in k], f"seat {kinds['a']}", "strength double"])
-    rows = pairs.select(*k, "a", "b", "wins", "draws", "losses", "points")
     return rows.groupBy(*k).applyInPandas(fit, schema)
 
 
+def fitted_by_joins(rows: DataFrame, rounds: int, k: list[str], every: int = 5) -> DataFrame:
+    """The same rounds over all tables at once; lineage is cut after ``every`` rounds. A common factor of a table's
+    strengths cancels in a round, so it is taken out only then."""
+    sides = rows.select(*k, F.col("a").alias("seat"), F.col("b").alias("other"), "g", "p").unionByName(rows.select(*k, F.col("b").alias("seat"), F.col("a").alias("other"), "g", (F.col("g") - F.col("p")).alias("p")))
+    scored = sides.groupBy(*k, "seat").agg(F.sum("p").alias("won"), F.sum("g").alias("played")).filter("won > 0 and won < played").select(*k, "seat")
+    sides = checkpointed(sides.join(scored, [*k, "seat"]).join(scored.withColumnRenamed("seat", "other"), [*k, "other"]))
+    points = checkpointed(scored.join(sides.groupBy(*k, "seat").agg(F.sum("p").alias("points")), [*k, "seat"], "left").fillna(0.0, ["points"]))
+    found = points.select(*k, "seat", F.lit(1.0).alias("strength"))
+    for at in range(1, rounds + 1):
+        met = sides.join(found, [*k, "seat"]).join(found.select(*k, F.col("seat").alias("other"), F.col("strength").alias("against")), [*k, "other"])
+        load = met.groupBy(*k, "seat").agg(F.sum(F.col("g") / (F.col("strength") + F.col("against"))).alias("load"))
+        found = points.join(load, [*k, "seat"], "left").select(*k, "seat", F.greatest(F.col("points") / F.greatest(F.coalesce("load", F.lit(0.0)), F.lit(1e-12)), F.lit(1e-9)).alias("strength"))
+        if at % every == 0 or at == rounds:
+            found = checkpointed(found)
+            mean = found.groupBy(*k).agg(F.exp(F.avg(F.log("strength"))).alias("_m"))
+            found = (found.join(mean, k) if k else found.crossJoin(F.broadcast(mean))).select(*k, "seat", (F.col("strength") / F.col("_m")).alias("strength"))
+    return found
+
+
 def redrawn(pairs: DataFrame, replicates: int, seed: str) -> DataFrame:
     """Each pair's games drawn anew from its own shares of wins, draws and losses, by a hash for each game."""
     n = F.col("wins") + F.col("draws") + F.col("losses")
@@ -56,13 +79,16 @@ def redrawn(pairs: DataFrame, replicates: int, seed: str) -> DataFrame:
 
 
 def fitted_rating(results: DataFrame, rating: str, score: str, low: float, high: float, step: float) -> DataFrame:
-    """The rating whose expected scores sum to the observed ones: a grid over rating counts, then a line between points."""
+    """The rating whose expected scores sum to the observed ones: a grid over rating counts, then a line between points.
+
+    Where all or none of the results are won no rating fits, and the end of the grid is given."""
     counts = results.groupBy(F.col(rating).alias("_r")).agg(F.count("*").alias("_n"), F.sum(score).alias("_s"))
     points = results.sparkSession.range(int((high - low) / step) + 1).select((F.lit(low) + F.col("id") * step).alias("own"))
     sums = counts.join(F.broadcast(points)).groupBy("own").agg((F.sum(F.col("_n") * expected_score(F.col("own"), F.col("_r"))) - F.sum("_s")).alias("over"))
-    run = W.partitionBy().orderBy("own")
-    cross = sums.withColumns({"before": F.lag("over").over(run), "at": F.lag("own").over(run)}).filter("before < 0 and over >= 0")
-    return cross.select((F.col("at") + step * -F.col("before") / (F.col("over") - F.col("before"))).alias("rating"))
+    # expected scores rise with the own rating, so the last point below and the first above are neighbours
+    ends = sums.agg(F.max(F.when(F.col("over") < 0, F.struct("own", "over"))).alias("a"), F.min(F.when(F.col("over") >= 0, F.struct("own", "over"))).alias("b"), F.count("*").alias("n")).filter("n > 0")
+    line = F.col("a.own") + step * -F.col("a.over") / (F.col("b.over") - F.col("a.over"))
+    return ends.select(F.when(F.col("a").isNull(), F.lit(low)).when(F.col("b").isNull(), F.lit(high)).otherwise(line).alias("rating"))
 
 
 __all__ = ["bradley_terry", "fitted_rating", "redrawn", "seat_totals"]

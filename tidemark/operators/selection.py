@@ -67,9 +67,12 @@ def require(rows: DataFrame, **bad: Column) -> DataFrame:
     return counted.withColumn("ok", F.lit(True))
 
 
-def identity_digest(ids: DataFrame, column: str, buckets: int = 1024) -> DataFrame:
-    """Digest of a set of ids, whatever their order: of sorted ids in each hash bucket, then of the buckets in order."""
-    one = ids.select(F.col(column).cast("string").alias("id")).distinct().withColumn("bucket", F.conv(F.substring(F.sha2("id", 256), 1, 4), 16, 10).cast("int") % buckets)
-    parts = one.groupBy("bucket").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("id")), "\n"), 256).alias("part"), F.count("*").alias("n"))
-    ordered = F.array_sort(F.collect_list(F.struct("bucket", "part")))
-    return parts.agg(F.sha2(F.array_join(F.transform(ordered, lambda x: x["part"]), "\n"), 256).alias("digest"), F.sum("n").alias("n"))
+def identity_digest(ids: DataFrame, column: str) -> DataFrame:
+    """Digest of a set of ids, whatever their order: of their number and of the sums of eight 32-bit parts of their hashes.
+
+    Sums combine in every task, so what is shuffled after the ids are made distinct is a row for each task.
+    """
+    one = ids.select(F.sha2(F.col(column).cast("string"), 256).alias("h")).filter(F.col("h").isNotNull()).distinct()
+    part = lambda i: F.conv(F.substring("h", 8 * i + 1, 8), 16, 10).cast("decimal(20,0)")
+    sums = one.agg(F.count("*").alias("n"), *[F.coalesce(F.sum(part(i)), F.lit(0).cast("decimal(30,0)")).alias(f"_s{i}") for i in range(8)])
+    return sums.select(F.sha2(F.concat_ws("|", F.col("n").cast("string"), *[F.col(f"_s{i}").cast("string") for i in range(8)]), 256).alias("digest"), "n")

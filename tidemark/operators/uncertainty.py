@@ -57,8 +57,11 @@ def bootstrap(totals: DataFrame, cluster: str, keys: Sequence[str], replicates:
 
 def stratified_bootstrap(rows: DataFrame, stratum: str, key: str, value: str, replicates: int, seed: str) -> DataFrame:
     """Spread of the mean over strata when n - 1 of each stratum's n rows are drawn anew, scaled by n / (n - 1)."""
-    ranked = rows.select(stratum, value, (F.row_number().over(W.partitionBy(stratum).orderBy(key)) - 1).alias("_k"), F.count("*").over(W.partitionBy(stratum)).alias("_n"))
-    slots = ranked.select(stratum, "_n").distinct().filter("_n > 1").withColumn("_r", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("_s", F.explode(F.sequence(F.lit(1), (F.col("_n") - 1).cast("int"))))
+    from tidemark.operators.batching import rank_within
+
+    sizes = rows.groupBy(stratum).agg(F.count("*").alias("_n"))
+    ranked = rank_within(rows.select(stratum, key, value), [stratum], [F.col(key)], "_k").withColumn("_k", F.col("_k") - 1)
+    slots = sizes.filter("_n > 1").withColumn("_r", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("_s", F.explode(F.sequence(F.lit(1), (F.col("_n") - 1).cast("int"))))
     drawn = F.floor(hashing.hash_fraction(seed, F.concat_ws(":", stratum, "_r", "_s")) * F.col("_n"))
-    picks = slots.select(stratum, "_r", "_n", drawn.alias("_k")).join(ranked.drop("_n"), [stratum, "_k"])
+    picks = slots.select(stratum, "_r", "_n", drawn.alias("_k")).join(ranked, [stratum, "_k"])
     return picks.groupBy("_r").agg((F.sum(F.col(value) * F.col("_n") / (F.col("_n") - 1)) / F.sum(F.col("_n") / (F.col("_n") - 1))).alias("_v")).agg(F.stddev_samp("_v").alias("dispersion"), F.count("_v").alias("replicates"))

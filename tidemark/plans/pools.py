@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.functions import hashing as H
 from tidemark.functions.checks import must
+from tidemark.functions.shared import keep
 from tidemark.operators import dimension as D, metrics as M, selection as X
 from tidemark.sources.stores import manifest, write_bounded
 
@@ -27,6 +28,22 @@ def freeze_pool(rows: DataFrame, key: str, path: str, *, columns: Sequence[str],
     return written, path
 
 
+def write_recipe(spark: SparkSession, path: str, *, seed: str, validation: float, test: float) -> None:
+    """Record how rows were split, beside what was split by it."""
+    spark.range(1).select(F.to_json(F.struct(F.lit(seed).alias("seed"), F.lit(validation).alias("validation"), F.lit(test).alias("test"))).alias("value")).write.text(path)
+
+
+def check_leakage(held: DataFrame, key: str, recipe_path: str, *, seed: str, validation: float, test: float) -> DataFrame:
+    """``(state, leaked, held)``: held-out ids that the split of a training run put into its training part.
+
+    The run's split is given; the recorded one is read. Where they differ nothing can be recomputed: "unverified".
+    """
+    recorded = held.sparkSession.read.text(recipe_path).select(F.from_json("value", "seed string, validation double, test double").alias("r")).select("r.*")
+    same = recorded.agg((F.count_if((F.col("seed") == seed) & (F.col("validation") == validation) & (F.col("test") == test)) == 1).alias("same"))
+    found = held.agg(F.count_if(H.split_of(seed, F.col(key), validation, test) == "train").alias("leaked"), F.count("*").alias("held"))
+    return found.crossJoin(same).select(F.when(F.col("same"), "verified").otherwise("unverified").alias("state"), F.when(F.col("same"), F.col("leaked")).alias("leaked"), "held")
+
+
 def load_pool(spark: SparkSession, path: str, key: str) -> DataFrame:
     """One row: the pool's size, and whether its identity is the recorded one; another fails the job."""
     rows = spark.read.parquet(f"{path}/rows")
@@ -41,7 +58,9 @@ def pool_slices(t) -> DataFrame:
     screened = X.screened(t.orders, ("unsupported_variant", F.col("o_orderstatus") == "P"), ("speed_mismatch", F.col("o_totalprice") < 1000)).filter("reason is null")
     pool = held_out(screened, "o_orderkey", 0.3, 0.3, t.customer.filter("c_custkey % 10 = 0"), "c_custkey", ["o_custkey"])
     pool = pool.select("o_orderkey", F.floor(F.col("o_totalprice") / 1000 / 100).alias("band"))
-    steps = t.steps.join(pool, F.col("o_orderkey") == F.col("l_orderkey"))
+    # the lines of the pool's orders are taken before they are put in order, and kept for both uses
+    lines = t.lineitem.join(pool.select("o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
+    steps = keep(t.as_steps(lines).join(pool, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", "l_orderkey", "band", "step", "l_partkey", "l_quantity", "l_discount"), "pool-steps")
     book = t.part.select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("family"))
     named = D.deepest(steps, book, "l_orderkey", "step", "l_partkey", ["family"])
     rows = steps.join(named.select("l_orderkey", "family"), "l_orderkey").withColumn("speed", F.when(F.col("l_quantity") > 25, "slow").otherwise("fast"))

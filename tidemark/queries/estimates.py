@@ -64,7 +64,7 @@ def _(t):
 
 @query("a_fitted_rating", """WITH c AS (SELECT p_size * 20 AS r, count(*) AS n, sum((p_retailprice > 1000)::INT * 0.6) AS s FROM part GROUP BY 1), g AS (SELECT -1000 + i * 0.5::DOUBLE AS own FROM unnest(range(0, 8001)) x(i)),
 o AS (SELECT own, sum(n / (1 + exp(least(15.0, greatest(-15.0, (r - own) * ln(10.0::DOUBLE) / 400))))) - (SELECT sum(s) FROM c) AS over FROM g, c GROUP BY 1), l AS (SELECT own, over, lag(over) OVER (ORDER BY own) AS before FROM o)
-SELECT round(own - 0.5 + 0.5 * -before / (over - before), 5) AS rating FROM l WHERE before < 0 AND over >= 0""")
+SELECT round(coalesce(max(CASE WHEN before < 0 AND over >= 0 THEN own - 0.5 + 0.5 * -before / (over - before) END), CASE WHEN min(over) >= 0 THEN -1000.0 ELSE 3000.0 END), 5)::DOUBLE AS rating FROM l""")
 def _(t):
     rows = t.part.select((F.col("p_size") * 20).alias("rating"), F.when(F.col("p_retailprice") > 1000, 0.6).otherwise(0.0).alias("score"))
     return L.fitted_rating(rows, "rating", "score", -1000.0, 3000.0, 0.5).select(F.round("rating", 5).alias("rating"))

@@ -3,6 +3,7 @@
 from pyspark.sql import Window as W, functions as F
 
 from tidemark.functions import hashing as H
+from tidemark.functions.shared import shared_path
 from tidemark.operators import compare as C, dimension as D, selection as X
 from tidemark.queries.scalars import RANK, SHARE, SPLIT
 from tidemark.registry import query
@@ -29,13 +30,15 @@ def _(t):
     return missing.crossJoin(new.join(old, "o_orderkey", "left_anti").agg(F.count("*").alias("added")))
 
 
-@query("j_leakage_recipe", f"WITH held AS (SELECT o_orderkey, {SPLIT} AS split FROM orders WHERE {SHARE.format('gen', 'o_orderkey')} < 0.2) SELECT CASE WHEN count(*) > 0 THEN 'verified' END AS state, count(*) FILTER (WHERE split = 'train')::BIGINT AS leaked, count(*)::BIGINT AS held FROM held")
+@query("j_leakage_recipe", f"WITH held AS (SELECT o_orderkey, {SPLIT} AS split FROM orders WHERE {SHARE.format('gen', 'o_orderkey')} < 0.2) SELECT 'verified' AS state, count(*) FILTER (WHERE split = 'train')::BIGINT AS leaked, count(*)::BIGINT AS held FROM held UNION ALL SELECT 'unverified', NULL, count(*)::BIGINT FROM held")
 def _(t):
+    from tidemark.plans.pools import check_leakage, write_recipe
+
     held = t.orders.filter(H.hash_fraction("gen", F.col("o_orderkey")) < 0.2)
-    recipe = t.spark.createDataFrame([("split", 0.2, 0.1)], "seed string, validation double, test double")
-    same = recipe.join(recipe.alias("r"), ["seed", "validation", "test"], "left_semi").agg((F.count("*") == 1).alias("same"))
-    found = held.agg(F.count_if(H.split_of("split", F.col("o_orderkey"), 0.2, 0.1) == "train").alias("leaked"), F.count("*").alias("held"))
-    return found.crossJoin(same).select(F.when(F.col("same"), "verified").otherwise("unverified").alias("state"), "leaked", "held")
+    path = shared_path(t.spark, "recipe")
+    write_recipe(t.spark, path, seed="split", validation=0.2, test=0.1)
+    same = check_leakage(held, "o_orderkey", path, seed="split", validation=0.2, test=0.1)
+    return same.unionByName(check_leakage(held, "o_orderkey", path, seed="split", validation=0.2, test=0.2))
 
 
 @query("j_unanswered_queue", "SELECT user_id, count(*)::BIGINT AS games FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0) GROUP BY 1 ORDER BY user_id % 4 = 1 DESC, games DESC, user_id LIMIT 10")

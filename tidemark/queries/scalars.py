@@ -222,10 +222,13 @@ def _(t):
     return t.events.groupBy("event_type", H.content_digest(F.col("event_type"), F.lit("1"), F.lit("events"), workload).alias("series")).agg(F.count("*").alias("n"))
 
 
-@query("f_flatten_map")
+@query("f_flatten_map", """WITH k AS (SELECT event_id, event_type, user_id, (props::JSON ->> '$.k') AS k FROM events)
+SELECT event_id, 'k' AS key, k AS value FROM k UNION ALL SELECT event_id, 'run.user', user_id::VARCHAR FROM k UNION ALL SELECT event_id, 'run.source.type', event_type FROM k WHERE event_id % 3 = 0""")
 def _(t):
-    settings = F.map_concat(F.from_json("props", "map<string,string>"), F.create_map(F.lit("run.value"), F.format_number("value", 2)))
-    return t.events.select("event_id", F.explode(F.array_sort(F.map_entries(settings))).alias("e")).select("event_id", "e.key", "e.value")
+    source = F.when(F.col("event_id") % 3 == 0, F.struct(F.col("event_type").alias("type")))
+    run = F.to_json(F.struct(F.col("user_id").alias("user"), source.alias("source")))
+    settings = F.concat(F.regexp_replace("props", r"\}\s*$", ', "run": '), run, F.lit("}"))
+    return t.events.select("event_id", F.explode(F.array_sort(P.flattened(settings))).alias("e")).select("event_id", "e.key", "e.value")
 
 
 @query("f_waypoint_share", """WITH {STEPS}, path AS (SELECT l_orderkey, max(step) FILTER (WHERE p_size <= 10) AS depth, count(*) AS available, count(DISTINCT p_brand) FILTER (WHERE p_size <= 10) AS reachable, min(p_brand) FILTER (WHERE p_size <= 10) AS label FROM steps JOIN part ON p_partkey = l_partkey GROUP BY 1)

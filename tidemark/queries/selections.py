@@ -71,9 +71,9 @@ def _(t):
     return X.reason_counts(X.screened(rows, ("missing_rating", b.isNull() | (b < 0)), ("gap", F.abs(a - b) > 200), ("unreachable", F.col("n_regionkey") == 3)))
 
 
-@query("p_puzzle_candidate", "SELECT p_partkey, p_size FROM part WHERE p_size BETWEEN 5 AND 40 AND p_retailprice >= 950 AND p_brand <> 'Brand#11'")
+@query("p_puzzle_candidate", "SELECT p_partkey, p_size FROM part WHERE p_size BETWEEN 5 AND 40 AND p_retailprice >= 905 AND p_brand <> 'Brand#11'")
 def _(t):
-    return t.part.filter(F.col("p_size").between(5, 40) & (F.col("p_retailprice") >= 950) & (F.col("p_brand") != "Brand#11")).select("p_partkey", "p_size")
+    return t.part.filter(F.col("p_size").between(5, 40) & (F.col("p_retailprice") >= 905) & (F.col("p_brand") != "Brand#11")).select("p_partkey", "p_size")
 
 
 @query("p_hash_share", f"SELECT o_orderkey, {U.format(RANK.format('share', 'o_orderkey'))}::HUGEINT < (0.1::DOUBLE * 18446744073709551616.0::DOUBLE)::HUGEINT AS in_tenth FROM orders WHERE {U.format(RANK.format('share', 'o_orderkey'))}::HUGEINT < (0.3::DOUBLE * 18446744073709551616.0::DOUBLE)::HUGEINT")

@@ -3,52 +3,58 @@
 from pyspark.sql import functions as F
 
 from tidemark.functions import hashing as H
-from tidemark.functions.checks import must
 from tidemark.functions.shared import shared_path
-from tidemark.operators import batching as B, selection as X
+from tidemark.operators import batching as B
 from tidemark.registry import SQL, query
 from tidemark.streaming import streams as Z
 
 
+FILES = 4  # in each third
+
+
+def place(t, name):
+    return shared_path(t.spark, name)
+
+
 def dropped(t, rows, key, parts=3):
     """Rows as files that arrive one after the other, in order of a key."""
     path, at = shared_path(t.spark, "drop"), F.col(key).cast("double")
     bounds = rows.agg(F.percentile_approx(at, [i / parts for i in range(1, parts)]).alias("b")).first()["b"] or []
     for low, high in zip([None, *bounds], [*bounds, None]):
         part = rows.filter((F.lit(True) if low is None else at > low) & (F.lit(True) if high is None else at <= high))
-        part.coalesce(1).sortWithinPartitions(key).write.mode("append").parquet(path)
-    return Z.files(t.spark, path, rows.schema)
+        part.repartitionByRange(FILES, key).sortWithinPartitions(key).write.mode("append").parquet(path)
+    return Z.files(t.spark, path, rows.schema, FILES)
 
 
 @query("s_incremental_archives", "SELECT extract('year' FROM o_orderdate)::INT AS archive, count(*)::BIGINT AS n FROM orders GROUP BY 1")
 def _(t):
     rows = t.orders.select("o_orderkey", F.year("o_orderdate").alias("archive"))
-    return Z.incremental_archives(dropped(t, rows, "archive"), shared_path(t.spark, "stream-corpus"), "archive", "archives").groupBy("archive").agg(F.count("*").alias("n"))
+    return Z.incremental_archives(dropped(t, rows, "o_orderkey"), shared_path(t.spark, "stream-corpus"), "archive", place(t, "archives")).groupBy("archive").agg(F.count("*").alias("n"))
 
 
 @query("s_running_counts", "SELECT user_id, count(*)::BIGINT AS games FROM events GROUP BY 1")
 def _(t):
     counts = dropped(t, t.events.select("event_id", "user_id"), "event_id").groupBy("user_id").agg(F.count("*").alias("games"))
-    return Z.last_of(Z.state_table(counts, shared_path(t.spark, "counts"), "running", "update"), ["user_id"])
+    return Z.last_of(Z.state_table(counts, shared_path(t.spark, "counts"), place(t, "running"), "update"), ["user_id"])
 
 
 @query("s_latest_answer", "SELECT user_id, max_by(value, ts) AS value FROM events GROUP BY 1")
 def _(t):
     latest = dropped(t, t.events.select("event_id", "user_id", "ts", "value"), "event_id").groupBy("user_id").agg(F.max_by("value", "ts").alias("value"))
-    return Z.last_of(Z.state_table(latest, shared_path(t.spark, "answers"), "answers", "update"), ["user_id"])
+    return Z.last_of(Z.state_table(latest, shared_path(t.spark, "answers"), place(t, "answers-progress"), "update"), ["user_id"])
 
 
 @query("s_dedup_append", "SELECT event_id, md5(event_type || event_id) AS digest FROM events")
 def _(t):
     rows = t.events.select("event_id", F.md5(F.concat("event_type", "event_id")).alias("digest"))
-    return Z.append_once(dropped(t, rows.unionByName(rows), "event_id"), shared_path(t.spark, "once"), "event_id", "digest", "once")
+    return Z.append_once(dropped(t, rows.unionByName(rows), "event_id"), shared_path(t.spark, "once"), "event_id", "digest", place(t, "once-progress"))
 
 
 @query("s_interval_drain", "SELECT date_trunc('day', ts)::DATE AS day, count(*)::BIGINT AS n, round(sum(value), 4) AS total, max(value) AS most, max_by(value, ts) AS last FROM events GROUP BY 1")
 def _(t):
     stream = dropped(t, t.events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "value"), "ts").withWatermark("ts", "1 day")
     drained = stream.groupBy(F.window("ts", "1 day").alias("w")).agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.max("value").alias("most"), F.max_by("value", "ts").alias("last"))
-    rows = Z.state_table(drained.select(F.col("w.start").alias("start"), "n", "total", "most", "last"), shared_path(t.spark, "drain"), "drain", "update")
+    rows = Z.state_table(drained.select(F.col("w.start").alias("start"), "n", "total", "most", "last"), shared_path(t.spark, "drain"), place(t, "drain-progress"), "update")
     out = Z.last_of(rows, ["start"])
     return out.select(F.to_date("start").alias("day"), "n", F.round("total", 4).alias("total"), "most", "last")
 
@@ -56,16 +62,16 @@ def _(t):
 @query("s_session_fold", SQL["w_fold_log"])
 def _(t):
     stream = dropped(t, t.events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type"), "ts")
-    folded = Z.fold_sessions(stream, shared_path(t.spark, "fold"), "fold", "signup")
+    folded = Z.fold_sessions(stream, shared_path(t.spark, "fold"), place(t, "fold-progress"), "signup")
     return folded.select("event_id", "state", "since")
 
 
 @query("s_resume_cursor", "WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY sha256('pass' || chr(0) || o_orderkey)) AS place FROM orders) SELECT o_orderkey, place FROM r WHERE place > 500")
 def _(t):
     ranked = B.global_rank(t.orders.select("o_orderkey"), [H.rank_key("pass", F.col("o_orderkey"))], "place")
-    cursor = X.identity_digest(t.orders, "o_orderkey").select("digest", F.lit(500).cast("long").alias("cursor"))
-    held = cursor.crossJoin(X.identity_digest(t.orders, "o_orderkey").select(F.col("digest").alias("now"))).filter(must(F.col("digest") == F.col("now"), "the cursor is of other data")).select("cursor")
-    return ranked.crossJoin(F.broadcast(held)).filter("place > cursor").select("o_orderkey", "place")
+    path = place(t, "cursor")
+    Z.write_cursor(t.orders, "o_orderkey", 500, path)
+    return ranked.crossJoin(F.broadcast(Z.read_cursor(t.orders, "o_orderkey", path))).filter("place > cursor").select("o_orderkey", "place")
 
 
 @query("x_metric_registry", "SELECT event_type AS metric, CASE WHEN event_type IN ('click', 'view') THEN 'use' ELSE 'sale' END AS family, count(*)::BIGINT AS n FROM events WHERE event_type <> 'error' GROUP BY 1")

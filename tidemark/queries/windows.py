@@ -150,8 +150,8 @@ SELECT o_orderkey, span::BIGINT AS span, row_number() OVER (PARTITION BY span OR
 def _(t):
     rows = t.orders.select("o_orderkey", F.year("o_orderdate").alias("grp"))
     groups = B.global_rank(rows.select("grp").distinct(), [H.rank_key("1", F.col("grp"))], "place").select("grp", F.floor((F.col("place") - 1) / 2).alias("span"))
-    inside = F.row_number().over(W.partitionBy("span").orderBy(H.rank_key("1", F.col("o_orderkey"))))
-    return rows.join(groups, "grp").select("o_orderkey", "span", inside.cast("long").alias("place"))
+    placed = B.rank_within(rows.join(groups, "grp").select("o_orderkey", "span"), ["span"], [H.rank_key("1", F.col("o_orderkey"))], "place")
+    return placed.select("o_orderkey", "span", F.col("place").cast("long").alias("place"))
 
 
 @query("w_rank_stripe", f"SELECT o_orderkey, ((row_number() OVER (ORDER BY {RANK.format('stripe', 'o_orderkey')}) - 1) % 4)::INT AS worker FROM orders")

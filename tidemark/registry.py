@@ -21,10 +21,13 @@ class Tables:
 
     @property
     def steps(self) -> DataFrame:
+        return self.as_steps(self.lineitem)
+
+    def as_steps(self, lines: DataFrame) -> DataFrame:
         """Order lines as the steps of a sequence, in a total order; discount and tax without negative zeros."""
         order = W.partitionBy("l_orderkey").orderBy("l_shipdate", "l_linenumber", "l_partkey")
         plus = lambda c: (F.col(c) + F.lit(0.0)).alias(c)
-        return self.lineitem.select("l_orderkey", F.row_number().over(order).alias("step"), "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", plus("l_discount"), plus("l_tax"), "l_returnflag", "l_linestatus", F.to_date("l_shipdate").alias("l_shipdate"))
+        return lines.select("l_orderkey", F.row_number().over(order).alias("step"), "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", plus("l_discount"), plus("l_tax"), "l_returnflag", "l_linestatus", F.to_date("l_shipdate").alias("l_shipdate"))
 
 
 STEPS = """steps AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, l_partkey) AS step,

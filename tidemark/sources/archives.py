@@ -2,16 +2,35 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import io
+import itertools
+from collections.abc import Iterator, Mapping
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 TAG = r'\[([A-Za-z0-9_]+)\s+"((?:[^"\\]|\\.)*)"\]'
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of plain, ``.bz2``, ``.gz`` or ``.zst`` files, the codec by suffix, with the file they are from."""
-    return spark.read.text(path).select("value", F.col("_metadata.file_name").alias("archive"))
+    """Lines of plain, ``.bz2``, ``.gz`` or ``.zst`` files, the codec by suffix, with the file they are from.
+
+    Spark reads the first three itself. Zstandard files cannot be split; each is unpacked as a stream by one task.
+    """
+    plain = spark.read.option("pathGlobFilter", "{*[!t],*[!s]t,*[!z]st,*[!.]zst}").text(path)  # all but *.zst
+    packed = spark.read.format("binaryFile").option("pathGlobFilter", "*.zst").load(path).select("content", F.col("_metadata.file_name").alias("archive"))
+    return plain.select("value", F.col("_metadata.file_name").alias("archive")).unionByName(packed.mapInArrow(unpacked, "value string, archive string"))
+
+
+def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import zstandard
+
+    for b in batches:
+        for content, archive in zip(b.column("content"), b.column("archive").to_pylist()):
+            with zstandard.ZstdDecompressor().stream_reader(pa.BufferReader(content.as_buffer()), read_across_frames=True) as raw:
+                lines = io.TextIOWrapper(raw, "utf-8", newline="\n")
+                while some := list(itertools.islice(lines, 4096)):
+                    yield pa.RecordBatch.from_arrays([pa.array([x.removesuffix("\n").removesuffix("\r") for x in some], pa.string()), pa.array([archive] * len(some), pa.string())], ["value", "archive"])
 
 
 def framed_records(spark: SparkSession, path: str, first_tag: str = "Event") -> DataFrame:
@@ -23,13 +42,12 @@ def framed_records(spark: SparkSession, path: str, first_tag: str = "Event") ->
 
 
 def headers(record: Column, defaults: Mapping[str, str]) -> Column:
-    """Tags as a map; a tag that is absent has its default, the last of repeated tags counts."""
-    tags = lambda i: F.regexp_extract_all(record, F.lit(TAG), F.lit(i))
+    """Tags of the block before the first blank line as a map; an absent tag has its default, the last of repeated ones counts."""
+    block = F.substring_index(record, "\n\n", 1)
+    tags = lambda i: F.regexp_extract_all(block, F.lit(TAG), F.lit(i))
     given = F.zip_with(tags(1), tags(2), lambda k, v: F.named_struct(F.lit("k"), k, F.lit("v"), v))
-    base = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in defaults.items()])
-    every = F.concat(base, given) if defaults else given
-    last = F.filter(every, lambda z, i: ~F.exists(F.slice(every, i + 2, F.size(every)), lambda y: y["k"] == z["k"]))
-    return F.map_from_entries(last)
+    base = F.map_from_arrays(F.array(*map(F.lit, defaults)), F.array(*map(F.lit, defaults.values()))) if defaults else F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    return F.aggregate(given, base, lambda m, z: F.map_concat(F.map_filter(m, lambda k, _: k != z["k"]), F.create_map(z["k"], z["v"])))
 
 
 def annotations(record: Column, name: str) -> Column:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tidemark.functions.checks import must
@@ -53,6 +54,20 @@ def manifest(rows: DataFrame, key: str, **coverage: Column) -> DataFrame:
     return facts.crossJoin(identity_digest(rows, key).select(F.col("digest").alias("identity"))).select(F.to_json(F.struct(*sorted(["rows", "identity", *coverage]))).alias("value"))
 
 
+def cached_summary(rows: DataFrame, key: str, path: str, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``make(rows)``, kept under the identity of the rows: the same rows find it, other rows have one of their own."""
+    from tidemark.operators.selection import identity_digest
+
+    spark, place = rows.sparkSession, f"{path}/{identity_digest(rows, key).first()['digest']}"
+    try:
+        return spark.read.parquet(place)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+    make(rows).write.mode("overwrite").parquet(place)
+    return spark.read.parquet(place)
+
+
 def validate_shards(recorded: DataFrame, found: DataFrame) -> DataFrame:
     """Shards that differ from what a manifest says: missing, unknown, or with other rows."""
     both = recorded.select("shard", F.col("rows").alias("want")).join(found.select("shard", "rows"), "shard", "full")

@@ -8,12 +8,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tidemark.functions.shared import shared_path
+from tidemark.functions.checks import must
+from tidemark.operators.selection import identity_digest
 
 
-def drain(stream: DataFrame, handle, name: str, mode: str = "append") -> None:
-    """Run a stream over all there is, a batch at a time; progress is kept in the shared folder, so restarts go on."""
-    query = stream.writeStream.outputMode(mode).foreachBatch(handle).option("checkpointLocation", shared_path(stream.sparkSession, name)).trigger(availableNow=True).start()
+def drain(stream: DataFrame, handle, progress: str, mode: str = "append") -> None:
+    """Run a stream over all there is, a batch at a time. ``progress`` is the caller's folder: a run under the same one
+    goes on where the last ended, and a batch that was not finished runs again under its number."""
+    query = stream.writeStream.outputMode(mode).foreachBatch(handle).option("checkpointLocation", progress).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
@@ -21,25 +23,25 @@ def files(spark: SparkSession, path: str, schema: T.StructType, per_batch: int =
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch).parquet(path)
 
 
-def incremental_archives(stream: DataFrame, path: str, archive: str, name: str) -> DataFrame:
-    """New files become rows of the corpus once: a batch that runs again overwrites the archives it wrote."""
-    spark = stream.sparkSession
+def incremental_archives(stream: DataFrame, path: str, archive: str, progress: str, prepare=lambda rows: rows) -> DataFrame:
+    """New files become rows of the corpus once. Each batch has a folder of its own with its archives in it: an archive
+    whose files come in several batches keeps them all, and a batch that runs again replaces what it wrote."""
 
-    def write(rows: DataFrame, _: int) -> None:
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(archive).parquet(path)
+    def write(rows: DataFrame, batch: int) -> None:
+        prepare(rows).write.mode("overwrite").partitionBy(archive).parquet(f"{path}/batch={batch:06d}")
 
-    drain(stream, write, name)
-    return spark.read.parquet(path)
+    drain(stream, write, progress)
+    return stream.sparkSession.read.option("basePath", path).parquet(f"{path}/batch=*").drop("batch")
 
 
-def state_table(stream: DataFrame, path: str, name: str, mode: str = "complete") -> DataFrame:
+def state_table(stream: DataFrame, path: str, progress: str, mode: str = "complete") -> DataFrame:
     """The last state of a stateful aggregate, each batch in a folder of its own."""
     spark = stream.sparkSession
 
     def write(rows: DataFrame, batch: int) -> None:
         rows.withColumn("_batch", F.lit(batch)).write.mode("overwrite").parquet(f"{path}/batch={batch:06d}")
 
-    drain(stream, write, name, mode)
+    drain(stream, write, progress, mode)
     rows = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("_batch", T.IntegerType())])).parquet(f"{path}/batch=*")
     return rows
 
@@ -50,24 +52,24 @@ def last_of(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("_r")).select(*keys, "_r.*")
 
 
-def append_once(stream: DataFrame, path: str, key: str, digest: str, name: str) -> DataFrame:
+def append_once(stream: DataFrame, path: str, key: str, digest: str, progress: str) -> DataFrame:
     """Append by key, once; the same key with other content fails the batch and with it the stream."""
     from tidemark.sources.stores import append_results
 
     spark, schema = stream.sparkSession, stream.schema
-    spark.createDataFrame([], schema).write.parquet(path)
+    spark.createDataFrame([], schema).write.mode("append").parquet(path)
 
     def write(rows: DataFrame, _: int) -> None:
         append_results(rows.dropDuplicates([key, digest]), spark.read.schema(schema).parquet(path), key, digest).write.mode("append").parquet(path)
 
-    drain(stream, write, name)
+    drain(stream, write, progress)
     return spark.read.schema(schema).parquet(path)
 
 
 FOLDED = "user_id long, event_id long, state long, since long"
 
 
-def fold_sessions(stream: DataFrame, path: str, name: str, reset: str) -> DataFrame:
+def fold_sessions(stream: DataFrame, path: str, progress: str, reset: str) -> DataFrame:
     """The state set by the last reset event of a session and the events since, for each event of a live log."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -85,5 +87,16 @@ def fold_sessions(stream: DataFrame, path: str, name: str, reset: str) -> DataFr
     def write(rows: DataFrame, batch: int) -> None:
         rows.write.mode("overwrite").parquet(f"{path}/batch={batch:06d}")
 
-    drain(folded, write, name)
+    drain(folded, write, progress)
     return stream.sparkSession.read.schema(FOLDED).parquet(f"{path}/batch=*")
+
+
+def write_cursor(rows: DataFrame, key: str, cursor: int, path: str) -> None:
+    """How far a pass over these rows has come, with their identity."""
+    identity_digest(rows, key).select(F.to_json(F.struct("digest", F.lit(cursor).cast("long").alias("cursor"))).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_cursor(rows: DataFrame, key: str, path: str) -> DataFrame:
+    """One row with the stored ``cursor``; the job fails if it was stored for other rows."""
+    stored = rows.sparkSession.read.text(path).select(F.from_json("value", "digest string, cursor long").alias("c")).select("c.*")
+    return stored.crossJoin(identity_digest(rows, key).select(F.col("digest").alias("now"))).filter(must(F.col("digest") == F.col("now"), "the cursor is of other data")).select("cursor")
