@@ -73,3 +73,70 @@ def test_stage_and_empty_tables(spark):
     assert langid.fit(docs.limit(0)) is None
     assert langid.identify(docs.limit(0), None).count() == 0
     assert {r.lang_pred for r in langid.identify(docs.limit(5), None).collect()} == {"und"}
+
+
+def plain_prediction(model, text):
+    """Language and score by plain Python over characters: words, trigram scores, the full recursion."""
+    lower, kind = langid.tables()
+    low = [0 if kind[ord(c)] == langid.NUMBER else int(lower[ord(c)]) for c in text]
+    at = lambda i: low[i] if 0 <= i < len(low) else 0
+    full = 0xFFFFFFFF
+
+    def bucket(i):
+        h = low[i] * 0x9E3779B1 & full ^ at(i - 1) * 0x85EBCA77 & full
+        h = h + (at(i + 1) * 0xC2B2AE3D & full ^ at(i + 1) << 7 & full) & full
+        return ((h ^ h >> 15) * 0x27D4EB2F & full) >> 32 - model.bits
+
+    words, i = [], 0
+    while i < len(low):
+        j = i
+        while j < len(low) and low[j]:
+            j += 1
+        if j > i:
+            script = next((k for k, ranges in enumerate(langid.SCRIPTS.values(), 1) if any(a <= ord(text[i]) <= z for a, z in ranges)), 0)
+            words.append(sum(model.scores[bucket(p)].astype(float) for p in range(i, j)) + model.scripts[script] if model.known[script] else np.zeros(len(model.langs)))
+        i = j + 1
+    if not words or not any(map(str.isalpha, text)):
+        return "und", 0.0
+    state, came = words[0], []
+    for w in words[1:]:
+        top = int(np.argmax(state))
+        came.append([top if state[top] - model.penalty > state[x] else x for x in range(len(state))])
+        state = np.array([max(state[x], state[top] - model.penalty) for x in range(len(state))]) + w
+    path = [int(np.argmax(state))]
+    for step in reversed(came):
+        path.append(step[path[-1]])
+    says = [bool(np.any(w)) for w in reversed(words)]
+    count = [sum(s for p, s in zip(path, says) if p == x) for x in range(len(state))]
+    return model.langs[int(np.argmax(count))], max(count) / sum(says)
+
+
+def test_query_against_plain_python_and_held_out_rows(spark):
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "lang")
+    got = {r.doc_id: r for r in langid.op3_langid(spark, folder).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    model = langid.fit(docs)
+    right = total = 0
+    for r in rows:
+        found = got[r.doc_id]
+        assert found.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+        if len(r.text or "") < 4000:
+            lang, score = plain_prediction(model, r.text or "")
+            assert (found.lang_pred, found.score) == (lang, pytest.approx(score)), r.doc_id
+        if found.held_out and r.lang is not None and found.lang_pred != "und":
+            total += 1
+            right += found.lang_pred == r.lang
+    assert total > 20 and right / total > 0.95
+
+
+def test_many_languages_are_all_learnt(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_CELLS", 1 << 15)
+    rng = random.Random(8)
+    names = [f"l{k:02d}" for k in range(60)]
+    own = {n: ["".join(rng.choice("bcdfgklmnprstvz") + rng.choice("aeiou") for _ in range(4)) for _ in range(12)] for n in names}
+    rows = [(i, " ".join(rng.choices(own[names[i % 60]], k=20)), names[i % 60]) for i in range(1200)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.langs == names and model.bits == 9
+    assert np.mean([g[0] == r[2] for g, r in zip(langid.predict(model, [r[1] for r in rows]), rows)]) > 0.95

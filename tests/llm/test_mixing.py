@@ -51,3 +51,9 @@ def test_reruns_and_partitions_agree(spark):
 
 def test_empty_table(spark):
     assert mixing.mix(docs(spark).limit(0)).count() == 0
+
+
+def test_large_sizes_in_parts_and_long_texts(spark):
+    table = docs(spark).union(spark.createDataFrame([(8000, "word " * 200_000, "long", 0)], "doc_id long, text string, source string, size int"))
+    key = lambda rows: sorted(str((r.row.doc_id, r["size"], r.copies, r.target)) for r in rows.collect())
+    assert key(mixing.mix(table, most_ranked=3)) == key(mixing.mix(table))

@@ -37,5 +37,14 @@ def test_against_plain_python(spark):
     assert got.columns == frame.columns
     rows = [(r.doc_id, r.text or "") for r in got.collect()]
     assert sorted(map(str, rows)) == sorted(map(str, [(d[0], want[d]) for d in docs] + [(3, want[docs[3]])]))
+    parted = sentences.remove_repeats(frame, most_met=2)  # frequent spans fall into parts
+    assert sorted(map(str, ((r.doc_id, r.text or "") for r in parted.collect()))) == sorted(map(str, rows))
     assert sum(len(t) for _, t in rows) < sum(len(t or "") for _, t in docs)
     assert sentences.remove_repeats(frame.limit(0)).count() == 0
+
+
+def test_very_long_text(spark):
+    long = "".join(f"Sentence number {i} of a long text. " for i in range(30_000))
+    rows = [(1, "Own start of it. " + long), (2, long + "Own end of it.")]
+    got = {r.doc_id: r.text for r in sentences.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: "Own end of it."}

@@ -10,15 +10,21 @@ Before the join, a bitmap of the benchmark's hashes goes to every task. Its size
 8 MB) whatever the benchmark holds; it lets few other hashes pass, and those fall out in the join. Only the words
 around passing hashes are kept, once for each run of them. So the training text is read once and never shuffled.
 
-Defined cases: null and empty texts and texts without words match nothing; items with fewer than ``least_words``
-words are not looked for; repeated ids and rows of documents are matched one by one by the query's pair of id and
+No overlap is lost at the default similarity: for each number of words from 8 to 13, ``MASKS`` hit every choice of
+substituted words that 0.8 allows (a test goes through them all). Items of fewer than 8 words have masks of their
+whole length, one for each choice of the words that may differ; they are looked for only if the benchmark has such
+items. A hash that meets very many places is split by a salt.
+
+Defined cases: null and empty texts and texts without words match nothing, nor do items without words; repeated ids and rows of documents are matched one by one by the query's pair of id and
 text hash and reported once for each id and item; a null id is reported as null; repeated items give one row for each
 item id; an empty benchmark or table gives no rows. Extra columns are kept by the stage.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+import zlib
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +33,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tidemark.functions.shared import keep
 from tidemark.llm.codes import bounded, code_points, pieces, portions, tables, word_starts
 
-MASKS = ("1101011", "1110101", "11111")
+MASKS = ("111101", "110111", "11000111")
+SHORT = 8  # items of fewer words have masks of their own
 BITMAP_BITS = 26
 #: Odd multipliers, from the fractional parts of square roots of primes.
 MIX = np.array([0x9E3779B97F4A7C15, 0xBB67AE8584CAA73B, 0x3C6EF372FE94F82B, 0xA54FF53A5F1D36F1, 0x510E527FADE682D1, 0x9B05688C2B3E6C1F, 0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179], np.uint64)
@@ -59,12 +66,18 @@ def word_hashes(texts: list[str]) -> Iterator[np.ndarray]:
             yield words[cut[i] : cut[i + 1]]
 
 
-def seed_hashes(words: np.ndarray) -> list[np.ndarray]:
+def short_masks(n: int, similarity: float) -> list[str]:
+    """Masks as long as an item of ``n`` words, one for each choice of the words that may differ."""
+    free = int(n * (1 - similarity) + 1e-9)
+    return ["".join("0" if i in c else "1" for i in range(n)) for c in itertools.combinations(range(n), free)]
+
+
+def seed_hashes(words: np.ndarray, masks: Sequence[str] = MASKS) -> list[np.ndarray]:
     """For each mask, the hash at each position where the whole mask fits."""
     out = []
-    for k, mask in enumerate(MASKS):
+    for mask in masks:
         n = max(0, len(words) - len(mask) + 1)
-        h = np.full(n, k + 1, np.uint64) * MIX[7]
+        h = np.full(n, zlib.crc32(mask.encode()) | 1, np.uint64) * MIX[7]
         for j, bit in enumerate(mask):
             if bit == "1":
                 h = h + (words[j : j + n] ^ MIX[4]) * MIX[j % 8] + (words[j : j + n] >> np.uint64(31)) * MIX[(j + 3) % 8]
@@ -72,7 +85,7 @@ def seed_hashes(words: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def items_table(benchmark: DataFrame, least_words: int) -> DataFrame:
+def items_table(benchmark: DataFrame, similarity: float) -> DataFrame:
     """``(item_id, words, hits array<struct<hash, pos>>)``."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
 
@@ -82,7 +95,7 @@ def items_table(benchmark: DataFrame, least_words: int) -> DataFrame:
             words, hits = [], []
             for w in word_hashes(b.column("text").to_pylist()):
                 words.append(w.view(np.int64))
-                found = seed_hashes(w) if len(w) >= least_words else []
+                found = seed_hashes(w, MASKS if len(w) >= SHORT else short_masks(len(w), similarity)) if len(w) else []
                 hits.append([{"hash": h, "pos": p} for s in found for p, h in enumerate(s.view(np.int64).tolist())])
             yield pa.RecordBatch.from_arrays([b.column("item_id"), pa.array(words, pa.list_(pa.int64())), pa.array(hits, hit)], ["item_id", "words", "hits"])
 
@@ -101,12 +114,12 @@ def bitmap(hashes: DataFrame) -> np.ndarray:
     return np.packbits(out, bitorder="little")
 
 
-def passing(docs: DataFrame, bits: np.ndarray, window: int) -> DataFrame:
+def passing(docs: DataFrame, bits: np.ndarray, window: int, masks: Sequence[str] = MASKS) -> DataFrame:
     """``(doc_id, tie, start, words, hits)``: stretches of documents around hashes that the bitmap lets pass."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), F.coalesce("text", F.lit("")).alias("text"))
     hit = pa.list_(pa.struct([("hash", pa.int64()), ("pos", pa.int64())]))
-    reach = window + max(map(len, MASKS))
+    reach = window + max(map(len, masks))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
@@ -114,7 +127,7 @@ def passing(docs: DataFrame, bits: np.ndarray, window: int) -> DataFrame:
             out = []
             for doc_id, tie, words in zip(b.column("doc_id").to_pylist(), b.column("tie").to_pylist(), word_hashes(b.column("text").to_pylist())):
                 pos, hashes = [], []
-                for h in seed_hashes(words):
+                for h in seed_hashes(words, masks):
                     slot = h >> np.uint64(64 - BITMAP_BITS)
                     p = np.flatnonzero(table[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1)
                     pos.append(p)
@@ -146,13 +159,19 @@ def best_window(doc: np.ndarray, item: np.ndarray, shift: int, window: int) -> t
     return int(agree[at]), at, size
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, similarity: float = 0.8, least_words: int = 8) -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, similarity: float = 0.8, most_met: int = 100_000) -> DataFrame:
     """``(doc_id, tie, item_id, doc_word, item_word, n_words, n_same)``: the best overlap of each document and item."""
-    items = keep(items_table(benchmark, least_words), "benchmark-items")
+    items = keep(items_table(benchmark, similarity), "benchmark-items")
     seeds = items.select("item_id", F.explode("hits").alias("hit")).select("item_id", F.col("hit.hash").alias("hash"), F.col("hit.pos").alias("item_pos"))
-    near = keep(passing(docs, bitmap(seeds), window), "benchmark-near")
+    lengths = sorted(r[0] for r in items.select(F.size("words")).filter(F.size("words").between(1, SHORT - 1)).distinct().collect())  # at most 7
+    masks = [*MASKS, *(m for n in lengths for m in short_masks(n, similarity))]
+    near = keep(passing(docs, bitmap(seeds), window, masks), "benchmark-near")
     met = near.select("doc_id", "tie", "start", F.explode("hits").alias("hit")).select("doc_id", "tie", "start", F.col("hit.hash").alias("hash"), F.col("hit.pos").alias("pos"))
-    aligned = met.join(seeds, "hash").select("doc_id", "tie", "start", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct()
+    hot = met.groupBy("hash").agg(F.count("*").alias("n")).filter(F.col("n") > most_met).select("hash", F.ceil(F.col("n") / most_met).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("doc_id", "tie", "start", "pos"), F.coalesce("parts", F.lit(1))).cast("int")
+    met = met.join(hot, "hash", "left").withColumn("part", part).drop("parts")
+    parted = seeds.join(hot, "hash", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    aligned = met.join(parted, ["hash", "part"]).select("doc_id", "tie", "start", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct()
     ready = (
         aligned.alias("a").join(near.alias("n"), F.expr("a.doc_id <=> n.doc_id and a.tie = n.tie and a.start = n.start"))
         .select("a.*", F.col("words").alias("doc_words")).join(items.dropDuplicates(["item_id", "words"]).select("item_id", "words"), "item_id")

@@ -8,8 +8,9 @@ much as the penalty over any stretch of words, nor two together over the first w
 language is the best path, so only other texts need the full recursion.
 
 The model is fitted on a bounded sample of labelled rows: about ``ROWS_PER_LANGUAGE`` rows of each language, drawn by
-a hash of the id, and at most ``MOST_LANGUAGES`` languages (the most frequent). It is an array of ``2 ** BITS`` rows and a
-column for each language, so its size does not depend on the input.
+a hash of the id; no language is left out. It is an array of ``2 ** bits`` rows and a column for each language, and has
+``MOST_CELLS`` cells (128 MB) at most: with more than 512 languages trigrams share buckets, so its size does not depend
+on the input.
 
 Defined cases: null text and text without a letter give ``und`` with score 0, as does any text when no row is
 labelled; a word in a script that no language was learnt with has no say, and a text of such words only is given to
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from tidemark.llm.codes import NUMBER, TOP, bounded, code_points, pieces, portions, tables, word_starts
 
-BITS, ROWS_PER_LANGUAGE, MOST_LANGUAGES, PENALTY = 16, 2000, 512, 12.0
+BITS, ROWS_PER_LANGUAGE, MOST_CELLS, PENALTY = 16, 2000, 1 << 25, 12.0
 SPAN = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("lang", T.StringType())])
 
 #: First and last code point of the blocks of a script.
@@ -72,8 +73,8 @@ def script_table() -> np.ndarray:
     return out
 
 
-def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets of the trigrams around each letter (``2 ** BITS`` elsewhere), starts of words, their ends, their scripts, starts of texts."""
+def features(texts: list[str], bits: int = BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets of the trigrams around each letter (``2 ** bits`` elsewhere), starts of words, their ends, their scripts, starts of texts."""
     lower, kind = tables()
     points, at = code_points(texts)
     x = lower[points]
@@ -84,7 +85,7 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     h ^= h >> np.uint32(15)
     h *= np.uint32(0x27D4EB2F)
     inside = x != 0
-    bucket = np.where(inside, h >> np.uint32(32 - BITS), np.uint32(1 << BITS))
+    bucket = np.where(inside, h >> np.uint32(32 - bits), np.uint32(1 << bits))
     starts = word_starts(inside)
     ends = np.flatnonzero(inside[:-1] & ~inside[1:]) + 1
     return bucket, starts, ends, script_table()[points[starts]], at
@@ -93,15 +94,16 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 @dataclass
 class Model:
     langs: list[str]
-    scores: np.ndarray  # (2 ** BITS + 1, languages), the last row zero
+    scores: np.ndarray  # (2 ** bits + 1, languages), the last row zero
     scripts: np.ndarray  # (scripts + 1, languages), added to a word's scores; rows of zeros leave all candidates
     known: np.ndarray  # (scripts + 1,), whether any language was learnt with the script
     penalty: float = PENALTY
+    bits: int = BITS
 
     def words(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """For each text: scores of its words, and their starts and ends in it."""
         for a, b in portions(texts):
-            bucket, starts, ends, script, at = features(texts[a:b])
+            bucket, starts, ends, script, at = features(texts[a:b], self.bits)
             scored = np.add.reduceat(self.scores[bucket], starts, axis=0) if len(starts) else np.zeros((0, len(self.langs)), np.float32)
             scored = np.where(self.known[script][:, None], scored + self.scripts[script], 0)
             cut = np.searchsorted(starts, at)
@@ -166,20 +168,23 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, penalty: float = PENALTY) -> Model | None:
     """Learn from the labelled rows of ``docs(doc_id, text, lang)`` that are not held out."""
     labelled = docs.select("doc_id", "text", "lang").filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    counted = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    counted = labelled.groupBy("lang").count().collect()  # a row for each language
     if not counted:
         return None
     langs = sorted(r["lang"] for r in counted)
-    share = F.create_map(*[F.lit(x) for r in counted for x in (r["lang"], min(1.0, rows_per_language / r["count"]))])
+    bits = BITS
+    while bits > 8 and len(langs) << bits > MOST_CELLS:
+        bits -= 1
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, rows_per_language / r["count"])) for r in counted], "lang string, share double")
     drawn = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    sample = labelled.filter(drawn < share[F.col("lang")]).select("lang", "text")
+    sample = labelled.join(F.broadcast(shares), "lang").filter(drawn < F.col("share")).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trigrams, scripts = {}, {}
         for b in pieces(batches):
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
-                bucket, _, _, script, _ = features([text])
-                n = np.bincount(bucket, minlength=(1 << BITS) + 1)
+                bucket, _, _, script, _ = features([text], bits)
+                n = np.bincount(bucket, minlength=(1 << bits) + 1)
                 trigrams[lang] = trigrams.get(lang, 0) + n[:-1]
                 scripts[lang] = scripts.get(lang, 0) + np.bincount(script, minlength=len(SCRIPTS) + 1)
         for lang in trigrams:
@@ -188,7 +193,7 @@ def fit(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, penalty: fl
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(sign * (at + 1)), pa.array(n[at])], ["lang", "slot", "n"])
 
     totals = bounded(sample).mapInArrow(count, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()
-    n, scripts = np.zeros((1 << BITS, len(langs))), np.zeros((len(SCRIPTS) + 1, len(langs)))
+    n, scripts = np.zeros((1 << bits, len(langs))), np.zeros((len(SCRIPTS) + 1, len(langs)))
     column = totals["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy()
     slot, value = totals["slot"].to_numpy(), totals["n"].to_numpy()
     n[slot[slot > 0] - 1, column[slot > 0]] = value[slot > 0]
@@ -201,7 +206,7 @@ def fit(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, penalty: fl
     narrowed = np.where(candidate, 0.0, -1e3)
     frequency = {r["lang"]: r["count"] for r in counted}
     narrowed[0], known[0] = [frequency[x] / 1e12 for x in langs], False  # row 0 orders the languages by frequency
-    return Model(langs, np.vstack([logs, np.zeros(len(langs))]).astype(np.float32), narrowed, known, penalty)
+    return Model(langs, np.vstack([logs, np.zeros(len(langs))]).astype(np.float32), narrowed, known, penalty, bits)
 
 
 def identify(docs: DataFrame, model: Model | None, columns: Sequence[str] | None = None) -> DataFrame:

@@ -7,7 +7,8 @@ The first is the one in the document with the smallest id, at the smallest place
 white space around them; the rest of a text stays as it was.
 
 The aggregation combines counts and minima before its shuffle, so a line in a third of all documents is one row from
-each task; only spans that occur more than once come back to their documents, in a join that Spark can split.
+each task. Spans that occur more than once come back to their documents in a join; frequent ones are dealt to many
+parts there, so one line's places are no task's alone.
 
 Defined cases: null text is empty; a text with fewer sentences than a span keeps them all; texts of one id are apart
 by their hash, and repeated rows (same id and text) count as one document, so they lose the same sentences; a null id
@@ -18,6 +19,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tidemark.functions.shared import keep
+
 SPAN, MOST_WORDS = 3, 15
 SENTENCE = r"[^.!?\n]*[.!?\n]+[ \t\n\r]*|[^.!?\n]+"
 PIECE = r"[ \t\n\r]*(?:[^ \t\n\r]+[ \t\n\r]*){1,%d}|[ \t\n\r]+"
@@ -29,7 +32,7 @@ def sentences(text: Column, most_words: int = MOST_WORDS) -> Column:
     return F.flatten(F.transform(F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0)), lambda s: F.regexp_extract_all(s, F.lit(PIECE % most_words), F.lit(0))))
 
 
-def repeated(docs: DataFrame, span: int = SPAN, most_words: int = MOST_WORDS) -> DataFrame:
+def repeated(docs: DataFrame, span: int = SPAN, most_words: int = MOST_WORDS, most_met: int = 10_000) -> DataFrame:
     """``(doc_id, tie, starts)``: where spans start that repeat an earlier one, for the documents that have any."""
     keys = F.transform(sentences(F.coalesce("text", F.lit("")), most_words), lambda s: F.btrim(s, F.lit(BLANK)))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), keys.alias("keys")).filter(F.size("keys") >= span)
@@ -39,19 +42,26 @@ def repeated(docs: DataFrame, span: int = SPAN, most_words: int = MOST_WORDS) ->
     place = F.coalesce(F.col("doc_id").cast("decimal(38,0)"), F.lit("-9223372036854775809").cast("decimal(38,0)")) * F.lit(1 << 62).cast("decimal(19,0)")
     place = (place + (F.shiftleft(F.col("tie").bitwiseAND(F.lit((1 << 22) - 1)), 40) + F.col("at")).cast("decimal(19,0)")).cast("decimal(38,0)")
     spans = spans.withColumn("place", place)
-    several = spans.groupBy("h", "g").agg(F.count("*").alias("n"), F.min("place").alias("first")).filter("n > 1").select("h", "g", "first")
-    later = spans.join(several, ["h", "g"]).filter(F.col("place") > F.col("first"))
+    several = keep(spans.groupBy("h", "g").agg(F.count("*").alias("n"), F.min("place").alias("first")).filter("n > 1"), "repeated-spans")
+    # frequent spans are dealt to parts of about most_met; at most spans / most_met hashes are frequent
+    parts = F.ceil(F.col("n") / F.lit(most_met)).cast("int")
+    frequent = several.filter(F.col("n") > most_met).select("h", "g", parts.alias("parts"))
+    part = F.pmod(F.xxhash64("doc_id", "tie", "at"), F.coalesce("parts", F.lit(1))).cast("int")
+    dealt = spans.join(frequent, ["h", "g"], "left").withColumn("part", part).drop("parts")
+    held = several.select("h", "g", "first", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    later = dealt.join(held, ["h", "g", "part"]).filter(F.col("place") > F.col("first"))
     return later.groupBy("doc_id", "tie").agg(F.collect_set("at").alias("starts"))
 
 
-def deduplicated(docs: DataFrame, span: int = SPAN, most_words: int = MOST_WORDS) -> DataFrame:
+def deduplicated(docs: DataFrame, span: int = SPAN, most_words: int = MOST_WORDS, **options) -> DataFrame:
     """``(row, parts, kept)``: each row with its sentences and those that stay."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), F.coalesce("text", F.lit("")).alias("text"))
-    found = repeated(docs, span, most_words)
+    found = repeated(docs, span, most_words, **options)
     joined = rows.alias("r").join(found.alias("f"), F.expr("r.doc_id <=> f.doc_id and r.tie = f.tie"), "left").select("row", "text", "starts")
     covered = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + span - 1))))
     parts = joined.select("row", sentences(F.col("text"), most_words).alias("parts"), covered.alias("covered"))
-    kept = F.when(F.col("covered").isNull(), F.col("parts")).otherwise(F.filter("parts", lambda s, i: ~F.array_contains("covered", i)))
+    staying = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), "covered")  # by a hash set, so long texts cost in proportion
+    kept = F.when(F.col("covered").isNull(), F.col("parts")).otherwise(F.transform(staying, lambda i: F.get("parts", i)))
     return parts.select("row", "parts", kept.alias("kept"))
 
 
