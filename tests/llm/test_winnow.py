@@ -63,8 +63,7 @@ def test_against_plain_python(spark, tmp_path, buckets):
         got = winnow.op5_winnowing(spark, str(tmp_path)).collect()
     else:
         found = winnow.fingerprints(spark.read.parquet(f"{tmp_path}/documents.parquet").select("doc_id", "text"), buckets=buckets)
-        assert found.count() == len(table)
-        return
+        got = winnow.digested(found).collect()
     order = sorted(((i is not None, i or 0, t or "") for i, t in table))
     want = []
     for k, (some, i, t) in enumerate(order):

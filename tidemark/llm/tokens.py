@@ -20,6 +20,7 @@ an empty table gives an empty folder and empty results. Extra columns are not re
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
@@ -83,6 +84,7 @@ class Encoder:
     PROBES = ("a", "été", "the", "zyxwvutsrqponmlkjihgfedcba", "ÿþýüûú", "straße", "µªº", "øåæð")
 
     def __init__(self, path: str, by_word: bool):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are parallel; threads of its own only cost memory
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.by_word = Tokenizer.from_file(path), by_word

@@ -99,10 +99,11 @@ def bucketed(docs: DataFrame, buckets: int) -> DataFrame:
 def fingerprints(docs: DataFrame, *, gram: int = GRAM, window: int = WINDOW, unit: int = UNIT, buckets: int | None = None) -> DataFrame:
     """``(doc_id, n_chars, text, edited, chosen, edited_chosen, next_chosen)`` of every row of ``docs(doc_id, text)``.
 
-    The heads are one row for each bucket, at most 4,096, so they may be broadcast.
+    Buckets follow the shuffle partitions, eight to each, so a bucket is small where there are partitions enough for
+    the table. The heads are one id for each bucket, so they may be broadcast.
     """
     spark = docs.sparkSession
-    buckets = buckets or max(64, min(4096, 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    buckets = buckets or max(64, 8 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     by_id = W.partitionBy("bucket").orderBy("copied", F.col("doc_id").asc_nulls_first(), "text")
     run = (
@@ -115,9 +116,12 @@ def fingerprints(docs: DataFrame, *, gram: int = GRAM, window: int = WINDOW, uni
     return run.withColumn("edited", edited).withColumn("edited_chosen", selections(F.col("edited"), gram, window, unit))
 
 
-def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+def digested(found: DataFrame) -> DataFrame:
     return found.select(
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), digest(F.col("chosen")).alias("fingerprint"), digest(F.col("edited_chosen")).alias("edited_fingerprint"),
         likeness(F.col("chosen"), F.col("edited_chosen")).alias("near_edited"), likeness(F.col("chosen"), F.col("next_chosen")).alias("near_next"),
     )
+
+
+def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digested(fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))
