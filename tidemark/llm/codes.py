@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import unicodedata
 from collections.abc import Iterator
@@ -50,6 +51,14 @@ def pieces(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system, so that a worker between tasks holds no more than it uses."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
 
 
 def portions(texts: list[str], most: int = 1 << 20) -> Iterator[tuple[int, int]]:

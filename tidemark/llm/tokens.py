@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from tidemark.functions.shared import keep, shared_path
-from tidemark.llm.codes import bounded, pieces
+from tidemark.llm.codes import bounded, give_back, pieces
 from tidemark.llm.decontam import MIX, scramble
 
 MASK_DELTA = 0xA282EAD8
@@ -99,6 +99,7 @@ class Encoder:
         self.forget()
         # the model alone must give what the whole chain gives for lower-case letters; else every word takes the chain
         self.direct = by_word and all(self.model_ids(w) == self.chain_ids(w) for w in self.PROBES)
+        give_back()
 
     def forget(self) -> None:
         self.low, self.high = np.zeros(self.SLOTS, np.uint64), np.zeros(self.SLOTS, np.uint64)
@@ -285,7 +286,7 @@ def encoder(path: str, by_word: bool) -> Encoder:
     return ENCODERS[path, by_word]
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 1, by_word: bool = False, shard_bytes: int = 16 << 20, file_bytes: int = 256 << 20) -> str:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 1, by_word: bool = False, shard_bytes: int = 8 << 20, file_bytes: int = 256 << 20) -> str:
     """Write records to ``path/records`` and their index to ``path/index``; returns ``path``."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -337,6 +338,8 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     schema = "shard int, file int, record long, offset long, length long, doc_id long, n_tokens long, start_in_file long, ids_crc32 long"
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ENCODERS.clear()  # what was learnt for writing is not needed next to the files
+        give_back()
         for b in pieces(batches, 1):
             start, out = 0, []
             place = b.column("shard")[0].as_py(), b.column("file")[0].as_py()
