@@ -43,9 +43,10 @@ def repeated(docs: DataFrame, span: int = SPAN, most_words: int = MOST_WORDS, mo
     place = (place + (F.shiftleft(F.col("tie").bitwiseAND(F.lit((1 << 22) - 1)), 40) + F.col("at")).cast("decimal(19,0)")).cast("decimal(38,0)")
     spans = spans.withColumn("place", place)
     several = keep(spans.groupBy("h", "g").agg(F.count("*").alias("n"), F.min("place").alias("first")).filter("n > 1"), "repeated-spans")
-    # frequent spans are dealt to parts of about most_met; at most spans / most_met hashes are frequent
+    # frequent spans are dealt to parts; as each has over a 10,000th of all repeated places, they are under 10,000 and go to every task
+    most_met = max(most_met, (several.agg(F.sum("n")).first()[0] or 0) // 10_000)
     parts = F.ceil(F.col("n") / F.lit(most_met)).cast("int")
-    frequent = several.filter(F.col("n") > most_met).select("h", "g", parts.alias("parts"))
+    frequent = F.broadcast(several.filter(F.col("n") > most_met).select("h", "g", parts.alias("parts")))
     part = F.pmod(F.xxhash64("doc_id", "tie", "at"), F.coalesce("parts", F.lit(1))).cast("int")
     dealt = spans.join(frequent, ["h", "g"], "left").withColumn("part", part).drop("parts")
     held = several.select("h", "g", "first", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
