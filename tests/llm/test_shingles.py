@@ -71,3 +71,22 @@ def test_defined_cases(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, set int")
     assert sorted((r.doc_id or -1, r.set) for r in shingles.near_dedup(docs).collect()) == [(-1, 5), (3, 2), (7, 6)]
     assert shingles.near_dedup(docs.limit(0)).count() == 0
+
+
+def test_across_finds_all_alike_pairs_of_different_components(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 64, 120, np.uint64)
+    sets = {}
+    for i in range(1, 120):  # edits take shingles away, put own or shared ones in, and change the size
+        part = rng.permutation(base)[: 120 - rng.integers(0, 25)]
+        own = rng.integers(0, 1 << 64, rng.integers(0, 20), np.uint64)
+        sets[i] = np.unique(np.concatenate([part, own, base[:5] + np.uint64(rng.integers(0, 3))]))
+    component = {i: int(rng.choice([1, 1, 1, 1, i])) for i in sets}
+    want = {(i, j) for i in sets for j in sets if i < j and component[i] != component[j] and shingles.likeness(sets[i], sets[j]) >= 0.8}
+    frame = spark.createDataFrame([(i, component[i], len(h), h.tobytes()) for i, h in sets.items()], "set long, component long, n int, hashes binary")
+    assert len(want) > 50
+    for many in (1 << 16, 16):  # few slots make the order less sharp only
+        monkeypatch.setattr(shingles, "SLOTS", many)
+        got = {(min(r), max(r)) for r in shingles.across(frame, 0.8).collect()}
+        assert got >= want and all(component[i] != component[j] for i, j in got)
+    assert shingles.across(frame.limit(0), 0.8).count() == 0

@@ -7,8 +7,13 @@ A document's set is the hashes of its shingles, ``WIDTH`` words each. Two sets l
 * Fingerprints of pairs at a likeness of 0.8 differ in eight bits or more on average, and at a radius wide enough for
   them the bit blocks no longer part the fingerprints. So min-hash bands bring what the trees miss: two sets at 0.8
   share one of 24 bands of 6 with a chance of 0.9993, and with more the more alike they are.
-* First each member of a bucket meets the smallest one only. What these links join need not meet again: after that,
-  only members of different components do, so a bucket of copies of one text costs in proportion to its size.
+* First each member of a bucket meets one only: the member that its bands bring together with the most others, which in
+  a group of edited copies is the one nearest to all. What these links join need not meet again.
+* In buckets that still hold several components, sets are ordered rarest shingle first. Two sets at 0.8 share one of
+  the first fifth of the larger set, and one of the first ninth of the smaller set; so only sets of different
+  components that do, and that can reach 0.8 from these places on, meet. This loses no pair, and what a group has in
+  common comes last in the order, so its members do not meet through it. ``SLOTS`` counters give the order; sharing one
+  makes it less sharp, never wrong.
 * Every candidate is checked on the whole sets; sets are fetched for members of buckets only.
 
 Defined cases: words and their case are those of ``simhash.fingerprint``; texts without words have an empty set and
@@ -31,7 +36,7 @@ from tidemark.llm.codes import bounded, pieces
 from tidemark.llm.simhash import links as links_of_prints, majority
 from tidemark.operators.graph import connected_components
 
-WIDTH, LEAST, RADIUS, BANDS, ROWS = 5, 0.8, 4, 24, 6
+WIDTH, LEAST, RADIUS, BANDS, ROWS, SLOTS = 5, 0.8, 4, 24, 6, 1 << 20
 FLIP, TIMES, FOLD = np.random.default_rng(5).integers(0, 1 << 64, (3, BANDS * ROWS), np.uint64) | np.array([[0], [1], [1]], np.uint64)
 
 
@@ -111,14 +116,69 @@ def near_prints(distinct: DataFrame) -> DataFrame:
     return same.unionByName(near)
 
 
+def slots(hashes: np.ndarray) -> np.ndarray:
+    return (hashes % np.uint64(SLOTS)).astype(np.int32)
+
+
+def rarity(sets: DataFrame) -> np.ndarray:
+    """How many shingles of the sets fall on each slot."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches):
+            at, n = np.unique(slots(np.frombuffer(b"".join(b.column("hashes").to_pylist()), np.uint64)), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n)], ["slot", "n"])
+
+    found = bounded(sets.select("hashes")).mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros(SLOTS, np.int64)
+    table[found["slot"].to_numpy()] = found["n"].to_numpy()
+    return table
+
+
+def rare_first(sets: DataFrame, least: float) -> DataFrame:
+    """``(set, component, n, at, h)``: the first shingles of each set in order of rarity that another set may have too."""
+    order = sets.sparkSession.sparkContext.broadcast(rarity(sets))
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches):
+            which, at, h = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.uint64)]
+            for i, v in enumerate(b.column("hashes").to_pylist()):
+                own = np.frombuffer(v, np.uint64)
+                n = order.value[slots(own)]
+                places = np.lexsort((own, n))[: int((1 - least) * len(own) + 1e-9) + 1]
+                met = np.flatnonzero(n[places] > 1).astype(np.int32)
+                which.append(np.full(len(met), i))
+                at.append(met)
+                h.append(own[places[met]])
+            rows = b.select(["set", "component", "n"]).take(pa.array(np.concatenate(which)))
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.concatenate(at)), pa.array(np.concatenate(h).view(np.int64))], ["set", "component", "n", "at", "h"])
+
+    return bounded(sets).mapInArrow(first, "set long, component long, n int, at int, h long")
+
+
+def across(sets: DataFrame, least: float) -> DataFrame:
+    """Pairs ``(a, b)`` of sets of different components, all those among them that are alike; ``sets`` has ``(set, component, n, hashes)``."""
+    rows = keep(rare_first(sets, least), "shingle-rare")
+    sizes = rows.groupBy("h", "component").agg(F.count("*").alias("m")).groupBy("h")
+    mixed = sizes.agg(F.max(F.struct("m", "component")).alias("top"), F.count("*").alias("components")).filter("components > 1").select("h", F.col("top.component").alias("main"))
+    rows = rows.join(mixed, "h").withColumn("out", F.col("component") != F.col("main"))
+    # of two components one is not the main one of a shingle, so the main one's sets do not meet each other
+    larger = rows.withColumn("part", F.when(F.col("out"), 0).otherwise(1))
+    smaller = rows.filter(F.col("at") <= F.lit((1 - least) / (1 + least)) * F.col("n") + 1e-9).withColumn("part", F.explode(F.when(F.col("out"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    reach = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) >= F.lit(least / (1 + least)) * (F.col("x.n") + F.col("y.n")) - 1e-9
+    order = F.expr("x.h = y.h and x.part = y.part and x.component <> y.component and (x.n > y.n or x.n = y.n and x.set > y.set)")
+    return larger.alias("x").join(smaller.alias("y"), order & (F.col("y.n") >= F.lit(least - 1e-9) * F.col("x.n")) & reach).select(F.col("x.set").alias("a"), F.col("y.set").alias("b")).distinct()
+
+
 def links(docs: DataFrame, distinct: DataFrame, least: float = LEAST) -> DataFrame:
     """Edges ``(a, b)`` between sets: enough links of each bucket to join what is linked there."""
     fits = lambda n, m: F.least(n, m) >= F.lit(least - 1e-9) * F.greatest(n, m)  # noqa: E731  sets of other sizes cannot be so alike
     prints = near_prints(distinct).filter(fits(F.col("head.n"), F.col("other.n"))).select(F.least("head.set", "other.set").alias("a"), F.greatest("head.set", "other.set").alias("b"))
     prints = keep(prints.distinct(), "shingle-near-prints")
     placed = distinct.select(F.explode("bands").alias("band"), "set", "n")
-    shared = placed.groupBy("band").agg(F.min(F.struct("set", "n")).alias("head"), F.max("set").alias("last")).filter("head.set <> last").select("band", "head")
+    shared = placed.groupBy("band").agg(F.count("*").alias("met")).filter("met > 1")
     members = keep(placed.join(shared, "band"), "shingle-members")
+    central = members.join(members.groupBy("set").agg(F.sum("met").alias("met_in_all")), "set")
+    heads = central.groupBy("band").agg(F.max(F.struct("met_in_all", "set", "n")).alias("head"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
@@ -128,14 +188,13 @@ def links(docs: DataFrame, distinct: DataFrame, least: float = LEAST) -> DataFra
     wanted = distinct.join(named, "set", "left_semi").select("set", "owner.doc_id", "owner.tie")
     texts = keyed(docs).alias("d").join(wanted.alias("w"), F.expr("d.doc_id <=> w.doc_id and d.tie = w.tie")).select("w.set", "d.text")
     sets = keep(bounded(texts).mapInArrow(fetch, "set long, hashes binary").dropDuplicates(["set"]), "shingle-sets")
-    stars = members.filter((F.col("set") != F.col("head.set")) & fits(F.col("n"), F.col("head.n"))).select(F.col("head.set").alias("a"), F.col("set").alias("b")).unionByName(prints).distinct()
+    stars = members.join(heads, "band").filter((F.col("set") != F.col("head.set")) & fits(F.col("n"), F.col("head.n"))).select(F.col("head.set").alias("a"), F.col("set").alias("b")).unionByName(prints).distinct()
     first = keep(checked(stars, sets, least), "shingle-links")
-    parts = members.drop("head").join(connected_components(first).withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
+    parts = members.select("band", "set", "n").join(connected_components(first).withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
     parts = keep(parts, "shingle-parts")
     open_ = parts.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("band")
-    left = parts.join(open_, "band", "left_semi")
-    across = left.alias("x").join(left.alias("y"), F.expr("x.band = y.band and x.set < y.set and x.component <> y.component") & fits(F.col("x.n"), F.col("y.n")))
-    rest = across.select(F.col("x.set").alias("a"), F.col("y.set").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    left = parts.join(open_, "band", "left_semi").select("set", "component", "n").distinct()
+    rest = across(left.join(sets, "set").select("set", "component", "n", "hashes"), least)
     return first.unionByName(keep(checked(rest, sets, least), "shingle-links"))
 
 
