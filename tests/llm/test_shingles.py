@@ -73,7 +73,7 @@ def test_defined_cases(spark):
     assert shingles.near_dedup(docs.limit(0)).count() == 0
 
 
-def test_across_finds_all_alike_pairs_of_different_components(spark, monkeypatch):
+def test_across_finds_all_alike_pairs_of_different_components(spark):
     rng = np.random.default_rng(4)
     base = rng.integers(0, 1 << 64, 120, np.uint64)
     sets = {}
@@ -86,7 +86,6 @@ def test_across_finds_all_alike_pairs_of_different_components(spark, monkeypatch
     frame = spark.createDataFrame([(i, component[i], len(h), h.tobytes()) for i, h in sets.items()], "set long, component long, n int, hashes binary")
     assert len(want) > 50
     for many in (1 << 16, 16):  # few slots make the order less sharp only
-        monkeypatch.setattr(shingles, "SLOTS", many)
-        got = {(min(r), max(r)) for r in shingles.across(frame, 0.8).collect()}
+        got = {(min(r), max(r)) for r in shingles.across(frame, 0.8, many).collect()}
         assert got >= want and all(component[i] != component[j] for i, j in got)
     assert shingles.across(frame.limit(0), 0.8).count() == 0

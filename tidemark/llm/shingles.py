@@ -116,34 +116,34 @@ def near_prints(distinct: DataFrame) -> DataFrame:
     return same.unionByName(near)
 
 
-def slots(hashes: np.ndarray) -> np.ndarray:
-    return (hashes % np.uint64(SLOTS)).astype(np.int32)
+def slots(hashes: np.ndarray, size: int) -> np.ndarray:
+    return (hashes % np.uint64(size)).astype(np.int32)
 
 
-def rarity(sets: DataFrame) -> np.ndarray:
+def rarity(sets: DataFrame, size: int) -> np.ndarray:
     """How many shingles of the sets fall on each slot."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
-            at, n = np.unique(slots(np.frombuffer(b"".join(b.column("hashes").to_pylist()), np.uint64)), return_counts=True)
+            at, n = np.unique(slots(np.frombuffer(b"".join(b.column("hashes").to_pylist()), np.uint64), size), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n)], ["slot", "n"])
 
     found = bounded(sets.select("hashes")).mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    table = np.zeros(SLOTS, np.int64)
+    table = np.zeros(size, np.int64)
     table[found["slot"].to_numpy()] = found["n"].to_numpy()
     return table
 
 
-def rare_first(sets: DataFrame, least: float) -> DataFrame:
+def rare_first(sets: DataFrame, least: float, size: int) -> DataFrame:
     """``(set, component, n, at, h)``: the first shingles of each set in order of rarity that another set may have too."""
-    order = sets.sparkSession.sparkContext.broadcast(rarity(sets))
+    order = sets.sparkSession.sparkContext.broadcast(rarity(sets, size))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
             which, at, h = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.uint64)]
             for i, v in enumerate(b.column("hashes").to_pylist()):
                 own = np.frombuffer(v, np.uint64)
-                n = order.value[slots(own)]
+                n = order.value[slots(own, size)]
                 places = np.lexsort((own, n))[: int((1 - least) * len(own) + 1e-9) + 1]
                 met = np.flatnonzero(n[places] > 1).astype(np.int32)
                 which.append(np.full(len(met), i))
@@ -155,9 +155,9 @@ def rare_first(sets: DataFrame, least: float) -> DataFrame:
     return bounded(sets).mapInArrow(first, "set long, component long, n int, at int, h long")
 
 
-def across(sets: DataFrame, least: float) -> DataFrame:
+def across(sets: DataFrame, least: float, size: int = SLOTS) -> DataFrame:
     """Pairs ``(a, b)`` of sets of different components, all those among them that are alike; ``sets`` has ``(set, component, n, hashes)``."""
-    rows = keep(rare_first(sets, least), "shingle-rare")
+    rows = keep(rare_first(sets, least, size), "shingle-rare")
     sizes = rows.groupBy("h", "component").agg(F.count("*").alias("m")).groupBy("h")
     mixed = sizes.agg(F.max(F.struct("m", "component")).alias("top"), F.count("*").alias("components")).filter("components > 1").select("h", F.col("top.component").alias("main"))
     rows = rows.join(mixed, "h").withColumn("out", F.col("component") != F.col("main"))
