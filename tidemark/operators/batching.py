@@ -43,11 +43,20 @@ def packed(rows: DataFrame, order: Sequence[Column], length: str, width: int) ->
 
 
 def rank_within(rows: DataFrame, group: Sequence[str], order: Sequence[Column], out: str) -> DataFrame:
-    """``out``: the row's rank in its group. A rank over all rows less the ranks of the groups before, so a group may be hot."""
-    ranked = global_rank(rows, [*map(F.col, group), *order], "_rank")
-    first = ranked.groupBy(*group).agg(F.min("_rank").alias("_first")).select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(group)], "_first")
-    same = [F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(group)]
-    return ranked.join(first, same).withColumn(out, F.col("_rank") - F.col("_first") + 1).drop("_rank", "_first", *[f"_g{i}" for i in range(len(group))])
+    """``out``: the row's rank in its group, from 1.
+
+    Rows are dealt to ranges of (group, order) and numbered in each; a small table of (range, group) says where a group
+    starts in a range and how many of its rows lie before. So a group may be hot: no join is on a group alone.
+    """
+    spark = rows.sparkSession
+    ranged = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *map(F.col, group), *order).sortWithinPartitions(*map(F.col, group), *order)
+    at = F.monotonically_increasing_id()  # partition and place in it, held by the checkpoint
+    ranged = checkpointed(ranged.withColumn("_at", at)).withColumn("_range", F.shiftright("_at", 33))
+    cells = ranged.groupBy("_range", *group).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy(*group).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    cells = cells.select(F.col("_range").alias("_r"), "_first", before.alias("_before"), *[F.col(c).alias(f"_g{i}") for i, c in enumerate(group)])
+    same = [F.col("_range") == F.col("_r"), *[F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(group)]]
+    return ranged.join(cells, same).withColumn(out, F.col("_before") + F.col("_at") - F.col("_first") + 1).drop("_at", "_range", "_r", "_first", "_before", *[f"_g{i}" for i in range(len(group))])
 
 
 def bucket_batches(rows: DataFrame, length: Column, width: int, order: Sequence[Column], size: int) -> DataFrame:
