@@ -1,6 +1,6 @@
 """The queries of this subpackage, and the SQL of those that SQL can express."""
 
-from tidemark.llm import chat, compaction, decontam, langid, mixing, sentences, simhash, suffixes, tokens, winnow
+from tidemark.llm import chat, compaction, decontam, langid, merkle, mixing, sentences, simhash, suffixes, tokens, winnow
 
 QUERIES = {
     "op1_chat": chat.op1_chat,
@@ -13,5 +13,6 @@ QUERIES = {
     "op8_sentences": sentences.op8_sentences,
     "op9_suffixes": suffixes.op9_suffixes,
     "op10_mixing": mixing.op10_mixing,
+    "op11_merkle": merkle.op11_merkle,
 }
-SQL = {"op1_chat": chat.OP1_SQL, "op6_compaction": compaction.OP6_SQL, "op8_sentences": sentences.OP8_SQL, "op10_mixing": mixing.OP10_SQL}
+SQL = {"op1_chat": chat.OP1_SQL, "op6_compaction": compaction.OP6_SQL, "op8_sentences": sentences.OP8_SQL, "op10_mixing": mixing.OP10_SQL, "op11_merkle": merkle.OP11_SQL}
