@@ -51,12 +51,12 @@ def rank_within(rows: DataFrame, group: Sequence[str], order: Sequence[Column],
     spark = rows.sparkSession
     ranged = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *map(F.col, group), *order).sortWithinPartitions(*map(F.col, group), *order)
     at = F.monotonically_increasing_id()  # partition and place in it, held by the checkpoint
-    ranged = checkpointed(ranged.withColumn("_at", at)).withColumn("_range", F.shiftright("_at", 33))
-    cells = ranged.groupBy("_range", *group).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
-    before = F.coalesce(F.sum("_n").over(W.partitionBy(*group).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    cells = cells.select(F.col("_range").alias("_r"), "_first", before.alias("_before"), *[F.col(c).alias(f"_g{i}") for i, c in enumerate(group)])
-    same = [F.col("_range") == F.col("_r"), *[F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(group)]]
-    return ranged.join(cells, same).withColumn(out, F.col("_before") + F.col("_at") - F.col("_first") + 1).drop("_at", "_range", "_r", "_first", "_before", *[f"_g{i}" for i in range(len(group))])
+    ranged = checkpointed(ranged.withColumn("_rank_at", at)).withColumn("_rank_range", F.shiftright("_rank_at", 33))
+    cells = ranged.groupBy("_rank_range", *group).agg(F.count("*").alias("_rank_n"), F.min("_rank_at").alias("_rank_first"))
+    before = F.coalesce(F.sum("_rank_n").over(W.partitionBy(*group).orderBy("_rank_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    cells = cells.select(F.col("_rank_range").alias("_rank_r"), "_rank_first", before.alias("_rank_before"), *[F.col(c).alias(f"_rank_g{i}") for i, c in enumerate(group)])
+    same = [F.col("_rank_range") == F.col("_rank_r"), *[F.col(c).eqNullSafe(F.col(f"_rank_g{i}")) for i, c in enumerate(group)]]
+    return ranged.join(cells, same).withColumn(out, F.col("_rank_before") + F.col("_rank_at") - F.col("_rank_first") + 1).drop("_rank_at", "_rank_range", "_rank_r", "_rank_first", "_rank_before", *[f"_rank_g{i}" for i in range(len(group))])
 
 
 def bucket_batches(rows: DataFrame, length: Column, width: int, order: Sequence[Column], size: int) -> DataFrame:

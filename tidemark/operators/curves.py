@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidemark.functions import hashing
-from tidemark.operators.compare import within_radius
+from tidemark.functions.shared import keep
+from tidemark.operators.compare import radii, within, within_radius
 from tidemark.operators.uncertainty import poisson_weight
 
 
@@ -24,20 +25,111 @@ def local_curve(observations: DataFrame, grid: DataFrame, axis: str, value: str,
     return sums.select("point", *keys, F.when(some, F.col("wx") / F.col("w")).otherwise(F.col("plain")).alias("value"), F.when(some, F.col("w") * F.col("w") / F.col("ww")).otherwise(F.col("n")).alias("effective"), F.when(some, F.col("inside")).otherwise(F.col("n")).alias("games"))
 
 
-def compare_curves(left: DataFrame, right: DataFrame, grid: DataFrame, axis: str, value: str, k: int, least: float) -> DataFrame:
-    """Point-wise distance of two local curves; points with too little behind either are not supported."""
-    a, b = (local_curve(d, grid, axis, value, k).select("point", F.col("value").alias(n), F.col("effective").alias(f"{n}_n")) for d, n in ((left, "left"), (right, "right")))
+def side_at(observations: DataFrame, reach: DataFrame, axis: str) -> DataFrame:
+    """Observations within the radius of each point, with their kernel weight ``_w``."""
+    return within(observations, reach, axis).withColumn("_w", tricube(F.col("distance"), F.col("radius")))
+
+
+def local_means(near: DataFrame, value: str, *keys: str, count: Column | None = None) -> DataFrame:
+    """``(*keys, value, effective)`` of weighted rows, each ``count`` times; where all weights are zero a plain mean."""
+    c = F.lit(1.0) if count is None else count
+    w, plain = c * F.col("_w"), c.cast("double")
+    sums = near.groupBy(*keys).agg(F.sum(w).alias("w"), F.sum(w * F.col(value)).alias("wx"), F.sum(w * w).alias("ww"), F.sum(plain).alias("n"), F.sum(plain * F.col(value)).alias("x"))
+    some = F.col("w") > 0
+    return sums.select(*keys, F.when(some, F.col("wx") / F.col("w")).when(F.col("n") > 0, F.col("x") / F.col("n")).alias("value"), F.when(some, F.col("w") * F.col("w") / F.col("ww")).otherwise(F.col("n")).alias("effective"))
+
+
+def joined_sides(left: DataFrame, right: DataFrame, value: str, least: float) -> DataFrame:
+    a, b = (local_means(near, value, "point").select("point", F.col("value").alias(n), F.col("effective").alias(f"{n}_n")) for near, n in ((left, "left"), (right, "right")))
     return a.join(b, "point").select("point", "left", "right", F.abs(F.col("left") - F.col("right")).alias("distance"), (F.least("left_n", "right_n") >= least).alias("supported"))
 
 
-def curve_replicates(observations: DataFrame, grid: DataFrame, axis: str, value: str, stream: str, k: int, replicates: int, seed: str) -> DataFrame:
-    """Spread of the curve at each point when streams are drawn anew; the windows are those of the data as it is."""
-    near = within_radius(observations, grid, axis, k).withColumn("_k", tricube(F.col("distance"), F.col("radius")))
-    per = near.groupBy("point", stream).agg(F.sum("_k").alias("w"), F.sum(F.col("_k") * F.col(value)).alias("wx"))
+def compare_curves(left: DataFrame, right: DataFrame, grid: DataFrame, axis: str, value: str, k: int, least: float) -> DataFrame:
+    """Point-wise distance of two local curves; points with too little behind either are not supported.
+
+    Both sides are read within the radii of ``left``, the reference, so smoothing is the same and cancels.
+    """
+    reach = radii(left, grid, axis, k, clip=True)
+    return joined_sides(side_at(left, reach, axis), side_at(right, reach, axis), value, least)
+
+
+def curve_summary(points: DataFrame, *keys: str) -> DataFrame:
+    """Over the supported points of each of ``keys``: ``conditional``, the mean distance; ``pooled``, the distance of the
+    curves' means, which no spread of either side over the axis moves; and each curve's variation about its own mean."""
+    whole = W.partitionBy(*keys)
+    rows = points.filter("supported").withColumns({"_l": F.avg("left").over(whole), "_r": F.avg("right").over(whole)})
+    return rows.groupBy(*keys).agg(
+        F.avg(F.abs(F.col("left") - F.col("right"))).alias("conditional"), F.abs(F.avg("left") - F.avg("right")).alias("pooled"),
+        F.avg(F.abs(F.col("left") - F.col("_l"))).alias("left_variation"), F.avg(F.abs(F.col("right") - F.col("_r"))).alias("right_variation"),
+    )
+
+
+def redrawn_curve(near: DataFrame, value: str, stream: str, replicates: int, seed: str) -> DataFrame:
+    """``(point, _r, value)``: the curve when whole streams are drawn anew, each a Poisson number of times by a hash.
+
+    Rows are combined to one for each point and stream first, so what is repeated is streams and not observations.
+    """
+    per = near.groupBy("point", stream).agg(F.sum("_w").alias("w"), F.sum(F.col("_w") * F.col(value)).alias("wx"), F.count("*").alias("n"), F.sum(value).alias("x"))
     rep = per.withColumn("_r", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    count = poisson_weight(hashing.hash_fraction(seed, F.concat_ws(":", F.col(stream), "_r")))
-    curve = rep.withColumn("_c", count).groupBy("point", "_r").agg((F.sum(F.col("wx") * F.col("_c")) / F.nullif(F.sum(F.col("w") * F.col("_c")), F.lit(0.0))).alias("_v"))
-    return curve.groupBy("point").agg(F.stddev_samp("_v").alias("dispersion"), F.count("_v").alias("replicates"))
+    c = poisson_weight(hashing.hash_fraction(seed, F.concat_ws(":", F.col(stream), "_r")))
+    sums = rep.withColumn("_c", c).groupBy("point", "_r").agg(*[F.sum(F.col(x) * F.col("_c")).alias(x) for x in ("w", "wx", "n", "x")])
+    return sums.select("point", "_r", F.when(F.col("w") > 0, F.col("wx") / F.col("w")).when(F.col("n") > 0, F.col("x") / F.col("n")).alias("value"))
+
+
+def dealt_curve(near: DataFrame, observations: DataFrame, key: str, value: str, replicates: int, seed: str) -> DataFrame:
+    """``(point, _r, value)``: the curve when the values of all observations are dealt anew over the axis.
+
+    In a replicate the value of the i-th observation in the order of a hash goes to the place of the i-th one in the
+    order of keys. Ranks come from ranges, and values meet places by rank, so nothing is held as a whole.
+    """
+    from tidemark.operators.batching import global_rank, rank_within
+
+    places = global_rank(observations.select(F.col(key).alias("_key")), [F.col("_key")], "_i")
+    rows = observations.select(F.col(key).alias("_key"), F.col(value).alias("_v")).withColumn("_r", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    dealt = rank_within(rows, ["_r"], [hashing.rank_key(seed, F.concat_ws(":", "_key", "_r")), F.col("_key")], "_i").select("_r", "_i", "_v")
+    met = near.select("point", "_w", F.col(key).alias("_key")).join(places, "_key").join(dealt, "_i")
+    return local_means(met, "_v", "point", "_r").select("point", "_r", "value")
+
+
+def curve_levels(left: DataFrame, right: DataFrame, grid: DataFrame, axis: str, value: str, stream: str, key: str, k: int, replicates: int, seed: str, coverage: float = 2.0, least: float = 0.0) -> DataFrame:
+    """``(kind, point, value, dispersion, level, flat)``: the readings of ``right`` against the reference ``left``, how far
+    they move, and what they would be with nothing to find.
+
+    Kinds: ``point``, the distance at a point; ``conditional`` and ``pooled`` as in ``curve_summary``; ``variation`` of
+    ``right``. ``dispersion`` is the spread over replicates that draw the streams of ``right`` anew, the reference held
+    fixed. ``level`` is the null level, the mean and ``coverage`` spreads of the distance between the two sides' own
+    sampling errors, drawn anew independently: what curves of one behaviour differ by. ``flat`` is that of the variation
+    (at a point: of the distance from the curve's mean) when the values of ``right`` are dealt anew over the axis, so
+    that nothing depends on it. Errors are scaled by sqrt(n / (n - 1)) for n streams, which a redraw falls short by.
+    Windows are those of the data as it is. ``key`` names an observation.
+    """
+    reach = keep(radii(left, grid, axis, k, clip=True), "radii")
+    sides = [keep(side_at(d, reach, axis).select("point", "_w", F.col(value).alias("_v"), F.col(stream).alias("_s"), F.col(key).alias("_key")), "near") for d in (left, right)]
+    points = keep(joined_sides(*sides, "_v", least), "curves")
+    reps = []
+    for d, near, name in zip((left, right), sides, ("left", "right")):
+        n = F.broadcast(d.agg(F.countDistinct(stream).alias("_n")))
+        scale = F.when(F.col("_n") > 1, F.sqrt(F.col("_n") / (F.col("_n") - 1))).otherwise(1.0)
+        drawn = redrawn_curve(near, "_v", "_s", replicates, f"{seed}:{name}").withColumnRenamed("value", f"_{name}")
+        reps.append(drawn.crossJoin(n).withColumn(f"_{name}_s", scale).drop("_n"))
+    rows = keep(points.join(reps[0], "point").join(reps[1], ["point", "_r"]), "replicates")
+    spread = lambda c: F.stddev_samp(c)
+    above = lambda c: F.avg(c) + F.lit(coverage) * F.stddev_samp(c)
+    model = rows.select("point", "_r", "left", F.col("_right").alias("right"), "supported", "_right_s")
+    error = rows.select("point", "_r", "supported", ((F.col("_left") - F.col("left")) * F.col("_left_s")).alias("left"), ((F.col("_right") - F.col("right")) * F.col("_right_s")).alias("right"))
+    flat = keep(dealt_curve(sides[1].withColumnRenamed("_key", key), right, key, value, replicates, f"{seed}:deal").join(points.select("point", "supported"), "point").withColumnRenamed("value", "right").withColumn("left", F.lit(0.0)), "dealt")
+    per = points.select("point", F.col("distance").alias("value"))
+    per = per.join(model.groupBy("point").agg((spread(F.abs(F.col("left") - F.col("right"))) * F.max("_right_s")).alias("dispersion")), "point")
+    per = per.join(error.groupBy("point").agg(above(F.abs(F.col("left") - F.col("right"))).alias("level")), "point")
+    centred = flat.filter("supported").withColumn("_c", F.avg("right").over(W.partitionBy("_r")))
+    per = per.join(centred.groupBy("point").agg(above(F.abs(F.col("right") - F.col("_c"))).alias("flat")), "point", "left").withColumn("kind", F.lit("point"))
+    now, drawn, null, dealt = curve_summary(points), curve_summary(model, "_r"), curve_summary(error, "_r"), curve_summary(flat, "_r")
+    scale = model.agg(F.max("_right_s").alias("_s"))
+    facts = now.crossJoin(drawn.agg(*[spread(c).alias(f"{c}_d") for c in ("conditional", "pooled", "right_variation")])).crossJoin(null.agg(*[above(c).alias(f"{c}_l") for c in ("conditional", "pooled")])).crossJoin(dealt.agg(above("right_variation").alias("_flat"))).crossJoin(scale)
+    none = F.lit(None).cast("double")
+    kinds = [("conditional", "conditional", F.col("conditional_l"), none), ("pooled", "pooled", F.col("pooled_l"), none), ("variation", "right_variation", none, F.col("_flat"))]
+    made = F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), none.alias("point"), F.col(c).alias("value"), (F.col(f"{c}_d") * F.col("_s")).alias("dispersion"), level.alias("level"), f.alias("flat")) for kind, c, level, f in kinds])).alias("m")
+    return facts.select(made).select("m.*").unionByName(per.select("kind", F.col("point").cast("double"), "value", "dispersion", "level", "flat"))
 
 
 def leave_one_out(observations: DataFrame, order: Sequence[str], value: str, candidates: Sequence[int]) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidemark.functions.checks import must
+from tidemark.functions.shared import keep
 
 
 def destination(label: Column, reachable: Column) -> Column:
@@ -43,12 +46,52 @@ def continuations(paths: DataFrame, path: str, key: str, depth: str, levels: lis
     return seen.groupBy(key).agg(F.max("_deep").alias("available"), *[F.countDistinct(c).alias(f"n_{c}") for c in levels])
 
 
-def path_mass(transitions: DataFrame, start: DataFrame, plies: int, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """Expand ``start(state, mass)`` by ``transitions(state, next, p)``; settled states after ``plies``, and pruned mass."""
-    frontier, pruned = start, None
+#: How far above 1 the shares of one state's continuations may sum.
+MASS_SLACK = 1e-6
+
+
+def expanded(frontier: DataFrame, transitions: DataFrame) -> DataFrame:
+    """``(state, next, p)`` of the frontier's states, from a table of transitions; states without one have no row."""
+    return transitions.join(frontier.select("state").distinct(), "state", "left_semi").select("state", "next", "p")
+
+
+def mass_ledger(start: DataFrame, expand: Callable[[DataFrame], DataFrame], plies: int, threshold: float, committed: DataFrame | None = None) -> DataFrame:
+    """``(kind, state, mass)``: where the mass of ``start(state, mass)`` is after a number of plies; all of it, once.
+
+    ``expand(frontier)`` gives ``(state, next, p)`` for the states of a frontier; what a state's shares leave over ends
+    there. Kinds: ``settled``, in a state after the last ply; ``terminal``, ended in its state; ``pruned``, under the
+    threshold in a ``committed(state)`` one, whose label can't change any more; ``unsettled``, under it elsewhere. The
+    frontier is one row for each state at every ply, whatever the number of paths, and is written once.
+    """
+    if plies < 1 or not 0 < threshold <= 1:
+        raise ValueError("a walk needs a ply and a threshold over 0 and up to 1")
+    kinds = start.schema["state"].dataType
+    known = committed.select("state").distinct() if committed is not None else None
+    frontier, ledger = keep(start.groupBy("state").agg(F.sum("mass").alias("mass")), "frontier"), None
+
+    def book(rows: DataFrame, kind: Column) -> None:
+        nonlocal ledger
+        rows = rows.select(kind.alias("kind"), F.col("state").cast(kinds).alias("state"), "mass")
+        ledger = rows if ledger is None else ledger.unionByName(rows)
+
     for _ in range(plies):
-        grown = frontier.join(transitions, "state").select(F.col("next").alias("state"), (F.col("mass") * F.col("p")).alias("mass"))
-        small = grown.filter(F.col("mass") < threshold)
-        pruned = small if pruned is None else pruned.unionByName(small)
-        frontier = grown.filter(F.col("mass") >= threshold)
-    return frontier.groupBy("state").agg(F.sum("mass").alias("mass")), pruned
+        small = frontier.filter(F.col("mass") < threshold)
+        if known is None:
+            book(small, F.lit("unsettled"))
+        else:
+            book(small.join(known, "state", "left_semi"), F.lit("pruned"))
+            book(small.join(known, "state", "left_anti"), F.lit("unsettled"))
+        large = frontier.filter(F.col("mass") >= threshold)
+        moves = keep(expand(large).filter(F.col("p") > 0).select(F.col("state").alias("_from"), F.col("next").cast(kinds).alias("next"), "p"), "moves")
+        spent = moves.groupBy("_from").agg(F.sum("p").alias("_spent")).filter(must(F.col("_spent") <= 1 + MASS_SLACK, "a state's shares sum to more than 1"))
+        rest = large.join(spent, F.col("state").eqNullSafe(F.col("_from")), "left").select("state", (F.col("mass") * F.greatest(F.lit(0.0), 1 - F.coalesce("_spent", F.lit(0.0)))).alias("mass"))
+        book(rest.filter("mass > 0"), F.lit("terminal"))
+        grown = large.join(moves, F.col("state").eqNullSafe(F.col("_from"))).select(F.col("next").alias("state"), (F.col("mass") * F.col("p")).alias("mass"))
+        frontier = keep(grown.groupBy("state").agg(F.sum("mass").alias("mass")), "frontier")
+    book(frontier, F.lit("settled"))
+    return ledger.groupBy("kind", "state").agg(F.sum("mass").alias("mass"))
+
+
+def path_mass(transitions: DataFrame, start: DataFrame, plies: int, threshold: float, committed: DataFrame | None = None) -> DataFrame:
+    """The ledger of a walk by a table of transitions ``(state, next, p)``."""
+    return mass_ledger(start, lambda frontier: expanded(frontier, transitions), plies, threshold, committed)

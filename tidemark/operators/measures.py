@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import math
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+
+from tidemark.operators.dimension import MASS_SLACK
 
 
 class Registry:
@@ -43,9 +47,33 @@ def compared(rows: DataFrame, quantity: Column, side: str) -> DataFrame:
     return said.groupBy("side").agg(F.count("*").alias("games"), F.avg("q").alias("value"))
 
 
-def walked(start: DataFrame, policy: Callable[[DataFrame], DataFrame], steps: int) -> DataFrame:
-    """Mass of states after a number of steps of any policy from frontier to frontier."""
-    frontier = start
-    for _ in range(steps):
-        frontier = policy(frontier).groupBy("state").agg(F.sum("mass").alias("mass"))
-    return frontier
+Policy = Callable[[list], list[dict]]
+
+
+def played(policy: Policy, rows: int = 1024) -> Callable[[DataFrame], DataFrame]:
+    """An ``expand`` for ``mass_ledger`` from a function of a batch of states to a distribution ``{next: share}`` for each.
+
+    The function is called in the tasks that hold the frontier, on up to ``rows`` states at a time. The job fails if a
+    batch comes back with another number of distributions, or with a share below 0 or not finite, or over 1 in sum.
+    """
+
+    def expand(frontier: DataFrame) -> DataFrame:
+        kind = frontier.schema["state"].dataType
+
+        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                arrow = b.schema.field("state").type
+                for at in range(0, b.num_rows, rows):
+                    states = b.slice(at, rows).column("state").to_pylist()
+                    given = list(policy(states))
+                    if len(given) != len(states):
+                        raise ValueError(f"the policy gave {len(given)} distributions for {len(states)} states")
+                    for state, d in zip(states, given):
+                        if any(not (math.isfinite(p) and p >= 0) for p in d.values()) or sum(d.values()) > 1 + MASS_SLACK:
+                            raise ValueError(f"not a distribution for state {state!r}")
+                    flat = [(s, n, float(p)) for s, d in zip(states, given) for n, p in d.items()]
+                    yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in flat], arrow), pa.array([f[1] for f in flat], arrow), pa.array([f[2] for f in flat], pa.float64())], ["state", "next", "p"])
+
+        return frontier.select("state").mapInArrow(ask, T.StructType().add("state", kind).add("next", kind).add("p", T.DoubleType()))
+
+    return expand

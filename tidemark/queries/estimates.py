@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tidemark.functions.shared import keep
 from tidemark.operators import curves as V, dimension as D, ladder as L, uncertainty as Y
 from tidemark.queries.joins import BY_YEAR, by_year, pairs
 from tidemark.queries.scalars import SHARE
@@ -103,17 +104,55 @@ def _(t):
     return out.select("point", F.round("value", 8).alias("value"), F.round("effective", 6).alias("effective"), "games")
 
 
-@query("a_compare_curves", f"""WITH {OBS}, {curve_sql('a', "o_orderpriority = '1-URGENT'", 50)}, {curve_sql('b', "o_orderpriority <> '1-URGENT'", 50)} SELECT point, round(abs(a.value - b.value), 8) AS distance, least(a.effective, b.effective) >= 20 AS supported FROM a JOIN b USING (point)""")
-def _(t):
+URGENT = "o_orderpriority = '1-URGENT'"
+
+
+def both_curves(k=50):
+    """Curves ``a`` (the reference) and ``b``, both within the radii of ``a``, and their points."""
+    near = lambda name, where: f"""{name}_w AS (SELECT point, o_orderkey, o_custkey, plies, (1 - least(1.0, abs(o_totalprice - point) / radius) ** 3) ** 3 AS w FROM obs, a_k WHERE {where} AND abs(o_totalprice - point) <= radius + 1e-9),
+ {name} AS (SELECT point, sum(w * plies) / sum(w) AS value, sum(w) ** 2 / sum(w * w) AS effective FROM {name}_w GROUP BY 1)"""
+    return f"""{OBS}, a_k AS (SELECT point, dist AS radius FROM (SELECT point, abs(o_totalprice - point) AS dist FROM obs, (SELECT unnest([50000.0, 150000.0, 250000.0])::DOUBLE AS point) WHERE {URGENT}) QUALIFY row_number() OVER (PARTITION BY point ORDER BY dist) = {k}),
+ {near('a', URGENT)}, {near('b', f'NOT ({URGENT})')}, pts AS (SELECT point, a.value AS l, b.value AS r, abs(a.value - b.value) AS distance, least(a.effective, b.effective) >= 20 AS supported FROM a JOIN b USING (point))"""
+
+
+def two_sides(t):
+    rows = observed(t).join(t.orders.select("o_orderkey", "o_orderpriority"), "o_orderkey")
     urgent = F.col("o_orderpriority") == "1-URGENT"
-    out = V.compare_curves(observed(t, urgent), observed(t, ~urgent), grid(t), "o_totalprice", "plies", 50, 20.0)
-    return out.select("point", F.round("distance", 8).alias("distance"), "supported")
+    return rows.filter(urgent), rows.filter(~urgent)
+
+
+@query("a_compare_curves", f"""WITH {both_curves()}, s AS (SELECT avg(distance) AS conditional, abs(avg(l) - avg(r)) AS pooled, avg(abs(l - ml)) AS lv, avg(abs(r - mr)) AS rv FROM (SELECT *, avg(l) OVER () AS ml, avg(r) OVER () AS mr FROM pts WHERE supported))
+SELECT point, round(distance, 8) AS distance, supported, round(conditional, 8) AS conditional, round(pooled, 8) AS pooled, round(lv, 8) AS left_variation, round(rv, 8) AS right_variation FROM pts, s""")
+def _(t):
+    points = V.compare_curves(*two_sides(t), grid(t), "o_totalprice", "plies", 50, 20.0)
+    summary = V.curve_summary(points).select(*[F.round(c, 8).alias(c) for c in ("conditional", "pooled", "left_variation", "right_variation")])
+    return points.select("point", F.round("distance", 8).alias("distance"), "supported").crossJoin(F.broadcast(summary))
+
 
+def redraw_sql(name, side, streams):
+    u = SHARE.format(f"curve:{side}", "(o_custkey || ':' || rep)")
+    return f"""{name}_r AS (SELECT point, rep, sum(w * c * plies) / nullif(sum(w * c), 0) AS v FROM (SELECT point, w, plies, rep, {POISSON} AS c FROM (SELECT *, {u} AS u FROM {name}_w, unnest(range(1, 21)) x(rep))) GROUP BY 1, 2),
+ {name}_s AS (SELECT sqrt(n / (n - 1)) AS s FROM (SELECT count(DISTINCT o_custkey)::DOUBLE AS n FROM obs WHERE {streams}))"""
 
-@query("a_curve_resample")
+
+@query("a_curve_resample", f"""WITH {both_curves()}, {redraw_sql('a', 'left', URGENT)}, {redraw_sql('b', 'right', f'NOT ({URGENT})')},
+ reps AS (SELECT p.*, a_r.rep, a_r.v AS lv, b_r.v AS rv, a_s.s AS ls, b_s.s AS rs FROM pts p JOIN a_r USING (point) JOIN b_r ON b_r.point = p.point AND b_r.rep = a_r.rep, a_s, b_s),
+ own AS (SELECT o_orderkey, plies, row_number() OVER (ORDER BY o_orderkey) AS i FROM obs WHERE NOT ({URGENT})),
+ dealt AS (SELECT rep, plies, row_number() OVER (PARTITION BY rep ORDER BY sha256('curve:deal' || chr(0) || o_orderkey || ':' || rep), o_orderkey) AS i FROM own, unnest(range(1, 21)) x(rep)),
+ flat AS (SELECT point, rep, sum(w * d.plies) / sum(w) AS v FROM b_w JOIN own USING (o_orderkey) JOIN dealt d ON d.i = own.i GROUP BY 1, 2),
+ centred AS (SELECT point, rep, abs(v - avg(v) OVER (PARTITION BY rep)) AS x FROM flat JOIN pts USING (point) WHERE supported),
+ m AS (SELECT *, avg(rv) FILTER (WHERE supported) OVER (PARTITION BY rep) AS mid, (lv - l) * ls AS el, (rv - r) * rs AS er FROM reps),
+ per AS (SELECT rep, avg(abs(l - rv)) AS c, abs(avg(l) - avg(rv)) AS p, avg(abs(rv - mid)) AS v, avg(abs(el - er)) AS nc, abs(avg(el) - avg(er)) AS np, max(rs) AS rs FROM m WHERE supported GROUP BY 1),
+ s AS (SELECT avg(distance) AS c, abs(avg(l) - avg(r)) AS p, avg(abs(r - mr)) AS v FROM (SELECT *, avg(r) OVER () AS mr FROM pts WHERE supported)),
+ f AS (SELECT avg(v) + 2 * stddev_samp(v) AS flat FROM (SELECT rep, avg(x) AS v FROM centred GROUP BY 1)),
+ sums AS (SELECT stddev_samp(c) * max(rs) AS cd, stddev_samp(p) * max(rs) AS pd, stddev_samp(v) * max(rs) AS vd, avg(nc) + 2 * stddev_samp(nc) AS cl, avg(np) + 2 * stddev_samp(np) AS pl FROM per),
+ points AS (SELECT point, max(distance) AS value, stddev_samp(abs(l - rv)) * max(rs) AS dispersion, avg(abs(el - er)) + 2 * stddev_samp(abs(el - er)) AS level FROM m GROUP BY 1),
+ pf AS (SELECT point, avg(x) + 2 * stddev_samp(x) AS flat FROM centred GROUP BY 1),
+ everything AS (SELECT 'point' AS kind, point, value, dispersion, level, flat FROM points LEFT JOIN pf USING (point) UNION ALL SELECT 'conditional', NULL, c, cd, cl, NULL FROM s, sums UNION ALL SELECT 'pooled', NULL, p, pd, pl, NULL FROM s, sums UNION ALL SELECT 'variation', NULL, v, vd, NULL, flat FROM s, sums, f)
+SELECT kind, point, round(value, 7) AS value, round(dispersion, 7) AS dispersion, round(level, 7) AS level, round(flat, 7) AS flat FROM everything""")
 def _(t):
-    out = V.curve_replicates(observed(t), grid(t), "o_totalprice", "plies", "o_custkey", 100, 20, "curve")
-    return out.withColumn("dispersion", F.round("dispersion", 9))
+    out = V.curve_levels(*two_sides(t), grid(t), "o_totalprice", "plies", "o_custkey", "o_orderkey", 50, 20, "curve", least=20.0)
+    return out.select("kind", "point", *[F.round(c, 7).alias(c) for c in ("value", "dispersion", "level", "flat")])
 
 
 @query("a_bandwidth_cv", f"WITH {OBS}, r AS (SELECT *, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS n FROM obs) " + " UNION ALL ".join(f"SELECT {k} AS k, round(avg((plies - (coalesce(b, 0) + coalesce(a, 0)) / (nb + na)) ** 2), 7) AS error FROM (SELECT plies, sum(plies) OVER (ORDER BY n ROWS BETWEEN {k} PRECEDING AND 1 PRECEDING) AS b, sum(plies) OVER (ORDER BY n ROWS BETWEEN 1 FOLLOWING AND {k} FOLLOWING) AS a, count(*) OVER (ORDER BY n ROWS BETWEEN {k} PRECEDING AND 1 PRECEDING) AS nb, count(*) OVER (ORDER BY n ROWS BETWEEN 1 FOLLOWING AND {k} FOLLOWING) AS na FROM r)" for k in (5, 20)))
@@ -133,31 +172,43 @@ def _(t):
     return wide.groupBy("depth").agg(F.round(F.sum(F.abs(F.col("s0") - F.col("s1"))) / 2, 9).alias("distance"))
 
 
-TRANSITIONS = "n AS (SELECT l_returnflag || l_linestatus AS state, lead(l_returnflag || l_linestatus) OVER (PARTITION BY l_orderkey ORDER BY step) AS nxt FROM steps), tr AS (SELECT state, nxt, count(*) / sum(count(*)) OVER (PARTITION BY state)::DOUBLE AS p FROM n WHERE nxt IS NOT NULL GROUP BY 1, 2)"
+PLIES, THRESHOLD = 4, 0.004
+TRANSITIONS = "n AS (SELECT l_returnflag || l_suppkey % 20 AS state, lead(l_returnflag || l_suppkey % 20) OVER (PARTITION BY l_orderkey ORDER BY step) AS nxt FROM steps), tr AS (SELECT state, nxt, n / sum(n) OVER (PARTITION BY state)::DOUBLE AS p FROM (SELECT state, nxt, count(*) AS n FROM n GROUP BY 1, 2)), moves AS (FROM tr WHERE nxt IS NOT NULL)"
+
+
+def ledger_sql(moves, known, plies=PLIES, threshold=THRESHOLD):
+    """The walk level by level: ``f0`` is given, each next frontier is merged by state."""
+    known = f"state IN ({known})" if known else "false"
+    parts = []
+    for i in range(plies):
+        parts.append(f"f{i + 1} AS (SELECT m.nxt AS state, sum(f.mass * m.p) AS mass FROM f{i} f JOIN {moves} m USING (state) WHERE f.mass >= {threshold} AND m.p > 0 GROUP BY 1)")
+    rows = " UNION ALL ".join(
+        f"SELECT CASE WHEN {known} THEN 'pruned' ELSE 'unsettled' END AS kind, state, mass FROM f{i} WHERE mass < {threshold} UNION ALL SELECT 'terminal', f.state, mass * greatest(0, 1 - coalesce(q.spent, 0)) FROM f{i} f LEFT JOIN (SELECT state, sum(p) AS spent FROM {moves} GROUP BY 1) q USING (state) WHERE f.mass >= {threshold}"
+        for i in range(plies)
+    )
+    return f"{', '.join(parts)}, ledger AS ({rows} UNION ALL SELECT 'settled', state, mass FROM f{plies}) SELECT kind, state, round(sum(mass), 9) AS mass FROM ledger WHERE mass > 0 GROUP BY 1, 2"
 
 
 def transitions(t):
+    """Shares of what follows a state; the ends of orders are what the shares leave over."""
     from pyspark.sql import Window as W
 
-    state = F.concat("l_returnflag", "l_linestatus")
-    rows = t.steps.select(state.alias("state"), F.lead(state).over(W.partitionBy("l_orderkey").orderBy("step")).alias("next")).filter("next is not null")
+    state = F.concat("l_returnflag", (F.col("l_suppkey") % 20).cast("string"))
+    rows = t.steps.select(state.alias("state"), F.lead(state).over(W.partitionBy("l_orderkey").orderBy("step")).alias("next"))
     counted = rows.groupBy("state", "next").agg(F.count("*").alias("n"))
-    return counted.select("state", "next", (F.col("n") / F.sum("n").over(W.partitionBy("state"))).alias("p"))
+    return counted.select("state", "next", (F.col("n") / F.sum("n").over(W.partitionBy("state"))).alias("p")).filter("next is not null")
 
 
-@query("a_path_mass", f"WITH RECURSIVE {{STEPS}}, {TRANSITIONS}, w(depth, state, mass) AS (SELECT 0, (SELECT min(state) FROM tr), 1.0::DOUBLE UNION ALL SELECT depth + 1, nxt, mass * p FROM w JOIN tr USING (state) WHERE depth < 4 AND mass >= 0.0005) SELECT state, round(sum(mass), 9) AS mass, 'settled' AS kind FROM w WHERE depth = 4 AND mass >= 0.0005 GROUP BY 1 UNION ALL SELECT NULL, round(sum(mass), 9), 'pruned' FROM w WHERE mass < 0.0005")
+@query("a_path_mass", f"WITH {{STEPS}}, {TRANSITIONS}, f0 AS (SELECT min(state) AS state, 1.0::DOUBLE AS mass FROM moves), {ledger_sql('moves', 'SELECT state FROM tr WHERE left(state, 1) = chr(82)')}")
 def _(t):
-    tr = transitions(t)
+    tr = keep(transitions(t), "transitions")
     start = tr.agg(F.min("state").alias("state")).withColumn("mass", F.lit(1.0))
-    settled, pruned = D.path_mass(tr, start, 4, 0.0005)
-    rows = settled.select("state", F.round("mass", 9).alias("mass"), F.lit("settled").alias("kind"))
-    return rows.unionByName(pruned.agg(F.round(F.sum("mass"), 9).alias("mass")).select(F.lit(None).cast("string").alias("state"), "mass", F.lit("pruned").alias("kind")))
+    ledger = D.path_mass(tr, start, PLIES, THRESHOLD, tr.select("state").filter("startswith(state, 'R')"))
+    return ledger.select("kind", "state", F.round("mass", 9).alias("mass"))
 
 
-@query("f_response_verdict", f"""WITH {OBS}, {curve_sql('a', "o_orderpriority = '1-URGENT'", 50)}, {curve_sql('b', "o_orderpriority <> '1-URGENT'", 50)}, r AS (SELECT point, abs(a.value - b.value) AS d FROM a JOIN b USING (point)) SELECT point, CASE WHEN d > 2 THEN 'mismatch' WHEN d <= 0.2 THEN 'matches' WHEN d <= 0.5 THEN 'average' ELSE 'divergent' END AS verdict FROM r""")
+@query("f_response_verdict", f"""WITH {both_curves()} SELECT point, CASE WHEN distance > 2 THEN 'mismatch' WHEN distance <= 0.2 THEN 'matches' WHEN distance <= 0.5 THEN 'average' ELSE 'divergent' END AS verdict FROM pts""")
 def _(t):
-    urgent = F.col("o_orderpriority") == "1-URGENT"
-    out = V.compare_curves(observed(t, urgent), observed(t, ~urgent), grid(t), "o_totalprice", "plies", 50, 20.0)
+    out = V.compare_curves(*two_sides(t), grid(t), "o_totalprice", "plies", 50, 20.0)
     d = F.col("distance")
     return out.select("point", F.when(d > 2, "mismatch").when(d <= 0.2, "matches").when(d <= 0.5, "average").otherwise("divergent").alias("verdict"))
-

@@ -3,7 +3,7 @@
 from pyspark.sql import Window as W, functions as F
 
 from tidemark.functions import hashing as H
-from tidemark.functions.shared import shared_path
+from tidemark.functions.shared import keep, shared_path
 from tidemark.operators import compare as C, dimension as D, selection as X
 from tidemark.queries.scalars import RANK, SHARE, SPLIT
 from tidemark.registry import query
@@ -148,23 +148,30 @@ def _(t):
     return C.map_differences(rows, ["event_id"], "left", "right")
 
 
-EDGES = "e AS (SELECT DISTINCT l_suppkey AS a, 100000 + l_partkey AS b FROM lineitem WHERE l_orderkey % 40 = 0)"
+PARTS = 1_000_000_000  # added to part numbers, which would clash with those of suppliers
+EDGES = f"e AS (SELECT DISTINCT l_suppkey AS a, {PARTS} + l_partkey AS b FROM lineitem)"
 
 
 def edges(t):
-    return t.lineitem.filter("l_orderkey % 40 = 0").select(F.col("l_suppkey").alias("a"), (100000 + F.col("l_partkey")).alias("b")).distinct()
+    return t.lineitem.select(F.col("l_suppkey").alias("a"), (PARTS + F.col("l_partkey")).alias("b")).distinct()
 
 
-COMPONENTS = f"WITH RECURSIVE {EDGES}, s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(node, seen) AS (SELECT a, a FROM s UNION SELECT s.b, r.seen FROM r JOIN s ON s.a = r.node), c AS (SELECT node, min(seen) AS component FROM r GROUP BY 1)"
+# each round a node takes the least label around it; DuckDB says so if some label still moves after the last one
+ROUNDS = 12
+COMPONENTS = (
+    f"WITH {EDGES}, s AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), c0 AS (SELECT DISTINCT a AS node, a AS label FROM s), "
+    + ", ".join(f"c{i + 1} AS (SELECT node, least(any_value(label), min(o)) AS label FROM (SELECT c.node, c.label, d.label AS o FROM c{i} c JOIN s ON s.a = c.node JOIN c{i} d ON d.node = s.b) GROUP BY 1)" for i in range(ROUNDS))
+    + f", c AS (SELECT node, label AS component, CASE WHEN (SELECT count(*) FROM c{ROUNDS} JOIN c{ROUNDS - 1} p USING (node) WHERE p.label <> c{ROUNDS}.label) > 0 THEN error('labels still move') END AS settled FROM c{ROUNDS})"
+)
 
 
-@query("j_components", f"{COMPONENTS} SELECT node, component FROM c")
+@query("j_components", f"{COMPONENTS} SELECT node, component FROM c WHERE settled IS NULL")
 def _(t):
     e = edges(t)
     return C.classes(e, e.select(F.col("a").alias("node")).union(e.select("b")))
 
 
-@query("j_overlay_groups", f"{COMPONENTS} SELECT component, l_returnflag AS label, min(l_orderkey * 100 + l_linenumber) AS first_trace, count(*)::BIGINT AS n FROM c JOIN lineitem ON node = l_suppkey GROUP BY 1, 2")
+@query("j_overlay_groups", f"{COMPONENTS} SELECT component, l_returnflag AS label, min(l_orderkey * 100 + l_linenumber) AS first_trace, count(*)::BIGINT AS n FROM c JOIN lineitem ON node = l_suppkey WHERE settled IS NULL GROUP BY 1, 2")
 def _(t):
     e = edges(t)
     found = C.classes(e, e.select(F.col("a").alias("node")))
@@ -172,10 +179,17 @@ def _(t):
     return traces.groupBy("component", "label").agg(F.min("trace").alias("first_trace"), F.count("*").alias("n"))
 
 
-@query("j_bridge_chain", f"WITH RECURSIVE {EDGES}, s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), o AS (SELECT min(a) AS m FROM e), r(node, hops) AS (SELECT m, 0 FROM o UNION SELECT s.b, hops + 1 FROM r JOIN s ON s.a = r.node WHERE hops < 32) SELECT node, min(hops) AS hops FROM r GROUP BY 1")
+# chains of two and of four hops written out; a pair further apart would show as a missing chain
+@query("j_bridge_chain", f"""WITH {EDGES}, q AS (SELECT DISTINCT b AS source, b + 1 AS target FROM e WHERE (b - {PARTS}) % 50 = 0 AND b + 1 IN (SELECT b FROM e)),
+two AS (SELECT source, target, min(x.a) AS s FROM q JOIN e x ON x.b = source JOIN e y ON y.b = target AND y.a = x.a GROUP BY 1, 2),
+four AS (SELECT source, target, min((x.a, m.b, y.a)) AS p FROM q JOIN e x ON x.b = source JOIN e m ON m.a = x.a JOIN e z ON z.b = m.b JOIN e y ON y.a = z.a AND y.b = target WHERE (source, target) NOT IN (SELECT (source, target) FROM two) GROUP BY 1, 2)
+SELECT source, target, unnest([0, 1, 2]) AS hop, unnest([source, s, target]) AS node FROM two UNION ALL SELECT source, target, unnest([0, 1, 2, 3, 4]), unnest([source, p[1], p[2], p[3], target]) FROM four""")
 def _(t):
-    e = edges(t)
-    return C.chain_length(e, e.agg(F.min("a").alias("node")))
+    e = keep(edges(t), "edges")
+    parts = e.select(F.col("b").alias("source")).distinct()
+    pairs = parts.filter((F.col("source") - PARTS) % 50 == 0).withColumn("target", F.col("source") + 1)
+    pairs = pairs.join(parts.select(F.col("source").alias("target")), "target", "left_semi")
+    return C.shortest_chains(pairs, e)
 
 
 @query("j_exact_floor", f"""WITH {BY_YEAR}, m AS (SELECT year, avg(value) AS value, max(series) AS series FROM y GROUP BY 1), f AS (SELECT year, stddev_samp(value) AS spread FROM y WHERE year % 2 = 0 GROUP BY 1)

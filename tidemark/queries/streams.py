@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import hashing as H
 from tidemark.functions.shared import shared_path
 from tidemark.operators import batching as B
+from tidemark.queries.estimates import ledger_sql
 from tidemark.registry import SQL, query
 from tidemark.streaming import streams as Z
 
@@ -95,14 +96,20 @@ def _(t):
     return measurements(rows, ["l_orderkey"], ["loss", "mass"], "n", registry)
 
 
-@query("x_policy_plugin")
+LOTTERY = "moves AS (SELECT s AS state, unnest(CASE WHEN s % 10 = 0 THEN [{'n': s * 7 % 997, 'p': 0.6}] ELSE [{'n': (s * 7 + 1) % 997, 'p': 0.5}, {'n': (s * 3 + 2) % 997, 'p': 0.3}] END, recursive := true) FROM (SELECT DISTINCT unnest(range(0, 997)) AS s UNION SELECT l_suppkey FROM lineitem)), mv AS (SELECT state, n AS nxt, sum(p)::DOUBLE AS p FROM moves GROUP BY 1, 2)"
+
+
+@query("x_policy_plugin", f"WITH {LOTTERY}, f0 AS (SELECT l_suppkey AS state, count(*) / (SELECT count(*) FROM lineitem)::DOUBLE AS mass FROM lineitem GROUP BY 1), {ledger_sql('mv', None, 3, 0.001)}")
 def _(t):
-    from tidemark.operators.measures import walked
-    from tidemark.queries.estimates import transitions
+    from tidemark.operators.dimension import mass_ledger
+    from tidemark.operators.measures import played
+
+    def lottery(states):  # a policy of a batch of numbers: two ways on, one for every tenth, and a rest that stops
+        return [{s * 7 % 997: 0.6} if s % 10 == 0 else {(s * 7 + 1) % 997: 0.5, (s * 3 + 2) % 997: 0.3} for s in states]
 
-    tr = transitions(t)
-    follow = lambda frontier: frontier.join(tr, "state").select(F.col("next").alias("state"), (F.col("mass") * F.col("p")).alias("mass"))
-    return walked(tr.select("state").distinct().withColumn("mass", F.lit(1.0)), follow, 3).withColumn("mass", F.round("mass", 9))
+    lines = t.lineitem.groupBy(F.col("l_suppkey").alias("state")).agg(F.count("*").alias("n"))
+    start = lines.crossJoin(F.broadcast(t.lineitem.agg(F.count("*").alias("all")))).select("state", (F.col("n") / F.col("all")).alias("mass"))
+    return mass_ledger(start, played(lottery), 3, 0.001).select("kind", "state", F.round("mass", 9).alias("mass"))
 
 
 @query("x_quantity_plugin", "SELECT o_orderstatus AS side, count(*)::BIGINT AS games, round(avg(ln(o_totalprice)), 8) AS value FROM orders WHERE o_totalprice > 50000 GROUP BY 1")
