@@ -21,15 +21,19 @@ def with_status(text: Column, value: Column) -> Column:
 
 def flattened(value: Column, depth: int = 6, prefix: Column | None = None) -> Column:
     """Entries ``(key, value)`` of a JSON object with dotted keys for objects in it, down to ``depth`` levels; what lies
-    deeper stays as JSON text. Nulls have no entry, arrays are kept as JSON text."""
-    entries = F.map_entries(F.from_json(value, "map<string,string>"))
+    deeper stays as JSON text. Nulls have no entry, arrays are kept as JSON text. What is an object is told by its type,
+    so a text that looks like one is kept."""
+    texts, kinds = (F.from_json(value, f"map<string,{t}>") for t in ("string", "variant"))
+    none = F.array().cast("array<struct<key:string,value:string,inner:boolean>>")
+    inner = F.transform(F.map_values(kinds), lambda v: F.coalesce(F.startswith(F.schema_of_variant(v), F.lit("OBJECT<")), F.lit(False)))
+    entries = F.coalesce(F.transform(F.arrays_zip(F.map_keys(texts), F.map_values(texts), inner), lambda z: F.named_struct(F.lit("key"), z["0"], F.lit("value"), z["1"], F.lit("inner"), z["2"])), none)
 
     def one(e: Column) -> Column:
         name = e["key"] if prefix is None else F.concat(prefix, F.lit("."), e["key"])
         leaf = F.array(F.named_struct(F.lit("key"), name, F.lit("value"), e["value"]))
-        return F.when(F.startswith(e["value"], F.lit("{")), flattened(e["value"], depth - 1, name)).otherwise(leaf) if depth > 1 else leaf
+        return F.when(e["inner"], flattened(e["value"], depth - 1, name)).otherwise(leaf) if depth > 1 else leaf
 
-    return F.filter(F.flatten(F.transform(F.coalesce(entries, F.array().cast("array<struct<key:string,value:string>>")), one)), lambda e: e["value"].isNotNull())
+    return F.filter(F.flatten(F.transform(entries, one)), lambda e: e["value"].isNotNull())
 
 
 def optional_int(text: Column) -> Column:

@@ -132,6 +132,39 @@ def curve_levels(left: DataFrame, right: DataFrame, grid: DataFrame, axis: str,
     return facts.select(made).select("m.*").unionByName(per.select("kind", F.col("point").cast("double"), "value", "dispersion", "level", "flat"))
 
 
+def divergence_by_depth(rows: DataFrame, side: Column, depth: str, label: str) -> DataFrame:
+    """``(depth, distance)``: total variation between the labels that two sides (true, false) have in force at each depth."""
+    counted = rows.groupBy(F.col(depth).alias("depth"), F.col(label).alias("label")).agg(F.count_if(side).alias("a"), F.count_if(~side).alias("b"))
+    totals = counted.groupBy("depth").agg(F.sum("a").alias("_a"), F.sum("b").alias("_b"))
+    both = counted.join(F.broadcast(totals), "depth")  # a row for each depth
+    return both.groupBy("depth").agg((F.sum(F.abs(F.col("a") / F.col("_a") - F.col("b") / F.col("_b"))) / 2).alias("distance"))
+
+
+def settled_depth(rows: DataFrame, sequence: str, step: str, label: str) -> DataFrame:
+    """One row: the depth after which no sequence's label changes any more; nothing deeper can differ from it.
+
+    A sequence settles at the step after the last one whose label isn't its final one.
+    """
+    last = rows.groupBy(sequence).agg(F.max_by(label, step).alias("_final"))
+    met = rows.join(last, sequence).filter(~F.col(label).eqNullSafe(F.col("_final")))
+    moved = met.agg(F.max(step).alias("_m"))
+    return moved.select((F.coalesce("_m", F.lit(0)) + 1).alias("settled"))
+
+
+def half_divergence(points: DataFrame, floor: Column | None = None) -> DataFrame:
+    """One row, ``half``: the depth at which half of the deepest excess is reached, in proportion between two depths.
+
+    ``points(depth, excess)`` is a row for each depth. There is none for fewer than two depths, or where the deepest
+    excess is no more than ``floor`` (0 without one).
+    """
+    whole = W.orderBy("depth")  # as many rows as there are depths
+    ends = points.agg(F.max_by("excess", "depth").alias("_deep"), F.count("*").alias("_n"), (F.max(floor) if floor is not None else F.lit(0.0)).alias("_floor"))
+    rows = points.withColumns({"_e": F.lag("excess").over(whole), "_d": F.lag("depth").over(whole)}).crossJoin(F.broadcast(ends))
+    target = F.col("_deep") / 2
+    at = F.when(F.col("_e").isNull(), F.col("depth").cast("double")).otherwise(F.col("_d") + (target - F.col("_e")) / (F.col("excess") - F.col("_e")) * (F.col("depth") - F.col("_d")))
+    return rows.filter((F.col("_n") > 1) & (F.col("_deep") > F.col("_floor")) & (F.col("excess") >= target)).agg(F.min_by(at, "depth").alias("half"))
+
+
 def leave_one_out(observations: DataFrame, order: Sequence[str], value: str, candidates: Sequence[int]) -> DataFrame:
     """Squared error of predicting each value from its k neighbours on either side in order, for each k."""
     from tidemark.operators.batching import global_rank

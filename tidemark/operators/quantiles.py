@@ -26,6 +26,11 @@ def bin_of(v: Column, low: Column, high: Column) -> Column:
     return F.when(F.isnan(v), BINS + 2).when(v == float("inf"), BINS + 1).when(v == float("-inf"), -1).when(v >= high, BINS).when(v <= low, 0).otherwise(inside)
 
 
+def held(rows: DataFrame) -> DataFrame:
+    """``rows`` for every task if they are few, else as they are, so that a join with them deals both sides out."""
+    return F.broadcast(rows) if rows.limit(MOST_HELD + 1).count() <= MOST_HELD else rows
+
+
 def nth_values(rows: DataFrame, wanted: DataFrame, keys: Sequence[str], value: str, k: str, rounds: int = 256) -> DataFrame:
     """``(*keys, k, nth)`` for ``wanted(*keys, k)``: the value with ``k`` values before it in the order of its group.
 
@@ -42,9 +47,7 @@ def nth_values(rows: DataFrame, wanted: DataFrame, keys: Sequence[str], value: s
     open_ = keep(first.select(*state, "_want", "_lo", "_hi", F.lit(0).cast("long").alias("_below"), F.lit(True).alias("_first")), "brackets")
     done = None
     for _ in range(rounds):
-        brackets = open_.select(*state, "_lo", "_hi", "_first").distinct()
-        if brackets.limit(MOST_HELD + 1).count() <= MOST_HELD:
-            brackets = F.broadcast(brackets)
+        brackets = held(open_.select(*state, "_lo", "_hi", "_first").distinct())
         inside = F.col("_first") | F.col("_v").between(F.col("_lo"), F.col("_hi"))
         met = data.join(brackets, [*same(keys), inside]).withColumn("_bin", bin_of(F.col("_v"), F.col("_lo"), F.col("_hi")))
         counts = met.groupBy(*state, "_lo", "_hi", "_bin").agg(F.count("*").alias("_n"), F.min("_v").alias("_a"), F.max("_v").alias("_b"))

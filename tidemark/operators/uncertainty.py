@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from tidemark.functions import hashing
+from tidemark.functions.shared import keep
 
 #: Normal quantiles of a two-sided 5 % test and of 80 % power.
 Z_TEST, Z_POWER = 1.959963984540054, 0.8416212335729143
@@ -56,12 +57,17 @@ def bootstrap(totals: DataFrame, cluster: str, keys: Sequence[str], replicates:
 
 
 def stratified_bootstrap(rows: DataFrame, stratum: str, key: str, value: str, replicates: int, seed: str) -> DataFrame:
-    """Spread of the mean over strata when n - 1 of each stratum's n rows are drawn anew, scaled by n / (n - 1)."""
+    """Spread of the mean over strata when n - 1 of each stratum's n rows are drawn anew, scaled by n / (n - 1).
+
+    The i-th row of a stratum brings the i-th draw of every replicate with it, so draws are made where rows are and
+    meet what they drew by stratum and rank: a stratum of any size is spread over all tasks.
+    """
     from tidemark.operators.batching import rank_within
+    from tidemark.operators.quantiles import held
 
-    sizes = rows.groupBy(stratum).agg(F.count("*").alias("_n"))
-    ranked = rank_within(rows.select(stratum, key, value), [stratum], [F.col(key)], "_k").withColumn("_k", F.col("_k") - 1)
-    slots = sizes.filter("_n > 1").withColumn("_r", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("_s", F.explode(F.sequence(F.lit(1), (F.col("_n") - 1).cast("int"))))
+    ranked = keep(rank_within(rows.select(stratum, key, value), [stratum], [F.col(key)], "_k").withColumn("_k", F.col("_k") - 1), "strata")
+    sizes = ranked.groupBy(stratum).agg(F.count("*").alias("_n")).filter("_n > 1")
+    slots = ranked.filter("_k > 0").select(stratum, F.col("_k").alias("_s")).join(held(sizes), stratum).withColumn("_r", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
     drawn = F.floor(hashing.hash_fraction(seed, F.concat_ws(":", stratum, "_r", "_s")) * F.col("_n"))
     picks = slots.select(stratum, "_r", "_n", drawn.alias("_k")).join(ranked, [stratum, "_k"])
     return picks.groupBy("_r").agg((F.sum(F.col(value) * F.col("_n") / (F.col("_n") - 1)) / F.sum(F.col("_n") / (F.col("_n") - 1))).alias("_v")).agg(F.stddev_samp("_v").alias("dispersion"), F.count("_v").alias("replicates"))

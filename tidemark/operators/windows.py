@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from tidemark.functions.shared import keep
+
 
 def delta(value: Column, order, back: int = 2) -> Column:
     """Drop since the same side's last reading (``back`` steps before); the value itself where there is none."""
@@ -56,6 +58,22 @@ def changed(value: Column, order) -> Column:
     return F.coalesce(value.isNotNull() & last.isNotNull() & (value != last), F.lit(False))
 
 
+def seams(rows: DataFrame, series: Sequence[str], order: Sequence[str], key: str, **values: Column) -> DataFrame:
+    """``(key, starts, *values)``: whether a row is the first of its series, and whether each value differs from the one before.
+
+    Rows meet the row before them by series and rank, and ranks come from ranges, so a series of any length is spread
+    over all tasks. A null on either side is no difference.
+    """
+    from tidemark.operators.batching import rank_within
+
+    slim = rows.select(*dict.fromkeys([key, *series, *order]), *[v.alias(f"_v_{n}") for n, v in values.items()])
+    ranked = keep(rank_within(slim, series, [F.col(c) for c in order], "_at"), "series")
+    before = ranked.select(*[F.col(c).alias(f"_s{i}") for i, c in enumerate(series)], (F.col("_at") + 1).alias("_next"), *[F.col(f"_v_{n}").alias(f"_b_{n}") for n in values])
+    same = [F.col("_at") == F.col("_next"), *[F.col(c).eqNullSafe(F.col(f"_s{i}")) for i, c in enumerate(series)]]
+    met = ranked.join(before, same, "left")
+    return met.select(key, (F.col("_at") == 1).alias("starts"), *[F.coalesce(F.col(f"_v_{n}") != F.col(f"_b_{n}"), F.lit(False)).alias(n) for n in values])
+
+
 def latest(rows: DataFrame, keys: Sequence[str], columns: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Newest row of each key, by one aggregation and no sort."""
     best = F.max_by(F.struct(*columns), F.struct(*order)).alias("_r")

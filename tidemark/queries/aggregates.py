@@ -3,7 +3,8 @@
 from pyspark.sql import Window as W, functions as F
 
 from tidemark.functions import hashing as H, parsing as P
-from tidemark.operators import metrics as M, selection as X
+from tidemark.functions.shared import keep
+from tidemark.operators import metrics as M, quantiles as Q, selection as X
 from tidemark.queries.joins import PAIRS, pairs
 from tidemark.queries.scalars import SPLIT
 from tidemark.queries.selections import SCREEN, screened
@@ -220,9 +221,10 @@ def _(t):
 SELECT p_brand, m AS median, round(avg(v) FILTER (WHERE s <= m), 9) AS low, round(avg(v) FILTER (WHERE s > m), 9) AS high FROM x JOIN m USING (p_brand) GROUP BY 1, 2""")
 def _(t):
     rows = t.steps.join(t.part, F.col("p_partkey") == F.col("l_partkey")).select("p_brand", F.col("l_quantity").alias("s"), F.col("l_discount").alias("v"))
-    m = rows.groupBy("p_brand").agg(F.percentile("s", F.lit(0.5)).alias("median"))
+    rows = keep(rows, "halves")
+    m = Q.percentiles(rows, ["p_brand"], "s", {"median": 0.5})  # one row for each brand, and no more than there are brands
     low = F.col("s") <= F.col("median")
-    return rows.join(m, "p_brand").groupBy("p_brand", "median").agg(avg9(F.when(low, F.col("v"))).alias("low"), avg9(F.when(~low, F.col("v"))).alias("high"))
+    return rows.join(Q.held(m), "p_brand").groupBy("p_brand", "median").agg(avg9(F.when(low, F.col("v"))).alias("low"), avg9(F.when(~low, F.col("v"))).alias("high"))
 
 
 @query("a_termination_calibration", "WITH b AS (SELECT floor(l_quantity / 10)::BIGINT AS bucket, count(*) AS n, avg((l_returnflag = 'R')::INT) AS o, avg(l_tax + 0.0) AS p FROM lineitem GROUP BY 1) SELECT count(*)::BIGINT AS buckets, round(sum(n * abs(o - p)) / sum(n), 9) AS gap, round(sum(n * (p - o)) / sum(n), 9) AS bias FROM b")
@@ -271,8 +273,9 @@ def _(t):
 
 @query("a_latency_percentiles", "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, round(avg(value), 6) AS mean, min(value) AS least, max(value) AS most FROM events GROUP BY 1")
 def _(t):
-    out = t.events.groupBy("event_type").agg(F.percentile("value", F.array(*map(F.lit, (0.5, 0.95, 0.99)))).alias("p"), F.round(F.avg("value"), 6).alias("mean"), F.min("value").alias("least"), F.max("value").alias("most"))
-    return out.select("event_type", *[F.round(F.get("p", F.lit(i)), 6).alias(n) for i, n in enumerate(("p50", "p95", "p99"))], "mean", "least", "most")
+    shares = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    rest = t.events.groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"), F.min("value").alias("least"), F.max("value").alias("most"))
+    return Q.percentiles(t.events, ["event_type"], "value", shares).join(rest, "event_type").select("event_type", *[F.round(c, 6).alias(c) for c in shares], "mean", "least", "most")
 
 
 @query("a_interval_summary", """WITH i AS (SELECT user_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts) - 1) // 10 AS k, event_type, value FROM events)

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.shared import keep
 from tidemark.operators import curves as V, dimension as D, ladder as L, uncertainty as Y
-from tidemark.queries.joins import BY_YEAR, by_year, pairs
+from tidemark.queries.joins import BY_YEAR, PAIRS, by_year, pairs
 from tidemark.queries.scalars import SHARE
 from tidemark.registry import query
 
@@ -52,9 +52,26 @@ def _(t):
     return Y.stratified_bootstrap(t.part, "p_size", "p_partkey", "p_retailprice", 20, "strata").withColumn("dispersion", F.round("dispersion", 6))
 
 
-@query("a_bradley_terry")
+def rounds_sql(rounds):
+    """The rounds written out, more than it takes to settle; each is a table of its own."""
+    low, top = 10.0 ** (-1200 / L.SCALE), 10.0 ** (1200 / L.SCALE)
+    parts = [
+        "sides AS MATERIALIZED (SELECT seat, other, sum(g) AS g, sum(p) AS p FROM (SELECT a AS seat, b AS other, (wins + draws + losses)::DOUBLE AS g, points AS p FROM pairs UNION ALL SELECT b, a, (wins + draws + losses)::DOUBLE, wins + draws + losses - points FROM pairs) WHERE g > 0 GROUP BY 1, 2)",
+        "pts AS MATERIALIZED (SELECT seat, sum(p) AS points FROM sides GROUP BY 1)", "x0 AS MATERIALIZED (SELECT seat, 1.0::DOUBLE AS s FROM pts)",
+    ]
+    for i in range(rounds):
+        parts.append(f"y{i} AS MATERIALIZED (SELECT seat, least({top}, greatest({low}, CASE WHEN points > 0 THEN points / load ELSE {low} END)) AS s FROM pts JOIN (SELECT d.seat, sum(g / (u.s + v.s)) AS load FROM sides d JOIN x{i} u ON u.seat = d.seat JOIN x{i} v ON v.seat = d.other GROUP BY 1) USING (seat))")
+        parts.append(f"x{i + 1} AS MATERIALIZED (SELECT seat, least({top}, greatest({low}, s / (SELECT exp(avg(ln(s))) FROM y{i}))) AS s FROM y{i})")
+    return ", ".join(parts)
+
+
+BT_ROUNDS = 60
+
+
+@query("a_bradley_terry", f"WITH {PAIRS}, {rounds_sql(BT_ROUNDS)}, r AS (SELECT seat, 400 * log10(s) AS r FROM x{BT_ROUNDS}) SELECT seat, round(r - (SELECT avg(r) FROM r WHERE seat < 5) + 1500, 3) AS rating, abs(abs(r) - 1200) <= 1e-6 AS separated, true AS anchored, true AS settled FROM r")
 def _(t):
-    return L.bradley_terry(pairs(t), 25).withColumn("strength", F.round("strength", 9))
+    anchors = t.nation.filter("n_nationkey < 5").select(F.col("n_nationkey").alias("seat"))
+    return L.fitted_ratings(pairs(t), anchors, tolerance=1e-7).select("seat", F.round("rating", 3).alias("rating"), "separated", "anchored", "settled")
 
 
 @query("a_multinomial_refit")
@@ -161,15 +178,23 @@ def _(t):
     return out.select("k", F.round("error", 7).alias("error"))
 
 
-@query("a_depth_divergence", """WITH {STEPS}, x AS (SELECT l_orderkey % 2 AS side, step, l_returnflag || l_linestatus AS label, count(*) AS n FROM steps WHERE step <= 7 GROUP BY 1, 2, 3), s AS (SELECT *, n / sum(n) OVER (PARTITION BY side, step)::DOUBLE AS share FROM x)
-SELECT step AS depth, round(sum(abs(coalesce(a.share, 0) - coalesce(b.share, 0))) / 2, 9) AS distance FROM (FROM s WHERE side = 0) a FULL JOIN (FROM s WHERE side = 1) b USING (step, label) GROUP BY 1""")
+# the label in force after a step is the greatest one so far; depths go down to where no order's label moves
+@query("a_depth_divergence", """WITH {STEPS}, r AS (SELECT l_orderkey, step, max(l_returnflag || l_linestatus) OVER (PARTITION BY l_orderkey ORDER BY step) AS label FROM steps), fin AS (SELECT l_orderkey, max_by(label, step) AS f FROM r GROUP BY 1),
+z AS (SELECT coalesce(max(step), 0) + 1 AS settled FROM r JOIN fin USING (l_orderkey) WHERE label <> f), x AS (SELECT step AS depth, label, count(*) FILTER (WHERE l_orderkey % 2 = 0) AS a, count(*) FILTER (WHERE l_orderkey % 2 = 1) AS b FROM r, z WHERE step <= settled GROUP BY 1, 2),
+d AS (SELECT depth, sum(abs(a / sa::DOUBLE - b / sb::DOUBLE)) / 2 AS distance FROM (SELECT *, sum(a) OVER (PARTITION BY depth) AS sa, sum(b) OVER (PARTITION BY depth) AS sb FROM x) GROUP BY 1),
+n AS (SELECT *, lag(distance) OVER (ORDER BY depth) AS e, lag(depth) OVER (ORDER BY depth) AS before, (SELECT max_by(distance, depth) FROM d) / 2 AS target FROM d),
+h AS (SELECT min_by(CASE WHEN e IS NULL THEN depth::DOUBLE ELSE before + (target - e) / (distance - e) * (depth - before) END, depth) AS half FROM n WHERE distance >= target AND (SELECT count(*) FROM d) > 1 AND target > 0)
+SELECT depth, round(distance, 9) AS distance, settled::INT AS settled, round(half, 7) AS half FROM d, z, h""")
 def _(t):
     from pyspark.sql import Window as W
 
-    rows = t.steps.filter("step <= 7").groupBy((F.col("l_orderkey") % 2).alias("side"), F.col("step").alias("depth"), F.concat("l_returnflag", "l_linestatus").alias("label")).agg(F.count("*").alias("n"))
-    share = rows.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy("side", "depth")))
-    wide = share.groupBy("depth", "label").agg(*[F.coalesce(F.sum(F.when(F.col("side") == i, F.col("share"))), F.lit(0.0)).alias(f"s{i}") for i in (0, 1)])
-    return wide.groupBy("depth").agg(F.round(F.sum(F.abs(F.col("s0") - F.col("s1"))) / 2, 9).alias("distance"))
+    run = W.partitionBy("l_orderkey").orderBy("step").rowsBetween(W.unboundedPreceding, 0)
+    rows = keep(t.steps.select("l_orderkey", "step", F.max(F.concat("l_returnflag", "l_linestatus")).over(run).alias("label")), "labels")
+    settled = V.settled_depth(rows, "l_orderkey", "step", "label")
+    kept = rows.crossJoin(F.broadcast(settled)).filter("step <= settled")
+    points = keep(V.divergence_by_depth(kept, F.col("l_orderkey") % 2 == 0, "step", "label"), "depths")
+    half = V.half_divergence(points.withColumnRenamed("distance", "excess"))
+    return points.crossJoin(F.broadcast(settled)).crossJoin(F.broadcast(half)).select("depth", F.round("distance", 9).alias("distance"), "settled", F.round("half", 7).alias("half"))
 
 
 PLIES, THRESHOLD = 4, 0.004

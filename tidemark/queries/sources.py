@@ -4,7 +4,7 @@ from pyspark.sql import functions as F, types as T
 
 from tidemark.functions import hashing as H, parsing as P
 from tidemark.functions.checks import must
-from tidemark.functions.shared import shared_path
+from tidemark.functions.shared import keep, shared_path
 from tidemark.operators import dimension as D, selection as X, windows as O
 from tidemark.queries.scalars import RANK, SHARE
 from tidemark.registry import query
@@ -81,14 +81,22 @@ def _(t):
     return shards.agg(F.sum("rows").alias("n"), F.bool_and(F.col("rows") <= 400).alias("bounded"), F.min("first").alias("first"), F.max("last").alias("last"))
 
 
-@query("sink_append_archives", "SELECT extract('year' FROM o_orderdate)::INT AS archive, count(*)::BIGINT AS n FROM orders GROUP BY 1")
+@query("sink_append_archives", "SELECT extract('year' FROM o_orderdate)::INT AS archive, count(*)::BIGINT AS n, true AS refused FROM orders GROUP BY 1")
 def _(t):
-    path = place(t, "corpus")
-    rows = t.orders.select("o_orderkey", F.year("o_orderdate").alias("archive"))
-    S.append_archives(rows.filter("archive < 1995"), path, "archive")
-    S.append_archives(rows, path, "archive")
-    S.append_archives(rows, path, "archive")
-    return t.spark.read.parquet(path).groupBy("archive").agg(F.count("*").alias("n"))
+    from tidemark.sources.corpus import Corpus, Refused
+
+    rows = t.orders.select("o_orderkey", "o_totalprice", F.year("o_orderdate").alias("archive"))
+    corpus, selection = Corpus(t.spark, place(t, "corpus"), rows.schema), {"least": 0}
+    corpus.append(rows.filter("archive < 1995"), selection)
+    corpus.append(rows, selection)
+    corpus.append(rows, selection)  # adds nothing
+    refused = 0
+    for other, under in ((rows, {"least": 1}), (rows.withColumn("o_totalprice", F.col("o_totalprice") + (F.col("archive") == 1995).cast("int")), selection)):
+        try:
+            corpus.append(other, under)
+        except Refused:
+            refused += 1
+    return corpus.read().groupBy("archive").agg(F.count("*").alias("n")).withColumn("refused", F.lit(refused == 2))
 
 
 @query("sink_manifest", "WITH i AS (SELECT DISTINCT sha256(o_orderkey::VARCHAR) AS h FROM orders) SELECT (SELECT count(*)::BIGINT FROM orders) AS rows, (SELECT min(o_orderkey) FROM orders) AS first, (SELECT max(o_orderkey) FROM orders) AS last, (SELECT round(sum(o_totalprice::DECIMAL(18,2)), 2)::DOUBLE FROM orders) AS spent, sha256(concat_ws('|', count(*)::VARCHAR, "
@@ -283,14 +291,24 @@ def _(t):
     return load_pool(t.spark, path, "o_orderkey")
 
 
-@query("manifest_validate", "SELECT 'ok' AS state, 5 AS shards UNION ALL SELECT 'missing', 1")
+@query("manifest_validate", "SELECT 'ok' AS state, 4 AS shards UNION ALL SELECT 'changed', 1 UNION ALL SELECT 'missing', 1 UNION ALL SELECT 'unknown', 1")
 def _(t):
-    path = place(t, "validate")
+    from tidemark.sources.corpus import rows_digest
+
+    path, other = place(t, "validate"), place(t, "validate-other")
     rows = t.lineitem.select("l_orderkey", "l_partkey")
-    rows.repartitionByRange(5, "l_orderkey").write.parquet(path)
-    found = S.shard_records(t.spark.read.schema(rows.schema).parquet(path), "l_orderkey")
-    recorded = found.select("shard", "rows").union(t.region.limit(1).select(F.lit("part-lost"), F.lit(3).cast("long")))
-    return S.validate_shards(recorded, found).groupBy("state").agg(F.count("*").cast("int").alias("shards"))
+    record = lambda p: S.shard_records(t.spark.read.schema(rows.schema).parquet(p), "l_orderkey", rows_digest(*rows.columns).alias("digest"))
+    rows.repartitionByRange(6, "l_orderkey").write.parquet(path)
+    recorded = keep(record(path), "recorded")
+    files = sorted(r.shard for r in recorded.select("shard").collect())
+    at, fs = S.files_of(t.spark, path)
+    # one shard is rewritten in place with as many rows, one goes and one comes
+    t.spark.read.parquet(f"{path}/{files[0]}").withColumn("l_partkey", F.col("l_partkey") + 1).coalesce(1).write.parquet(other)
+    (made,) = [s.getPath() for s in fs.listStatus(at(other)) if s.getPath().getName().startswith("part-")]
+    fs.delete(at(f"{path}/{files[0]}"), False)
+    fs.rename(made, at(f"{path}/{files[0]}"))
+    fs.rename(at(f"{path}/{files[1]}"), at(f"{path}/part-new.parquet"))
+    return S.validate_shards(recorded, record(path)).groupBy("state").agg(F.count("*").cast("int").alias("shards"))
 
 
 @query("pool_slices", f"""WITH {{STEPS}}, held AS (SELECT o_orderkey, floor(o_totalprice / 1000 / 100)::BIGINT AS band FROM orders WHERE o_orderstatus <> 'P' AND o_totalprice >= 1000 AND {SHARE.format('split', 'o_orderkey')} < 0.3 AND {SHARE.format('pool', 'o_orderkey')} < 0.3 AND o_custkey % 10 <> 0),

@@ -89,9 +89,7 @@ def _(t):
 
 @query("w_history_seams", "WITH s AS (SELECT *, lag(user_id % 3) OVER w AS before, lag(user_id % 2) OVER w AS env FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)) SELECT event_id, before IS NULL AS starts, coalesce(before <> user_id % 3, false) AS bridged, coalesce(env <> user_id % 2, false) AS environment FROM s")
 def _(t):
-    order = W.partitionBy("event_type").orderBy("ts", "event_id")
-    series, env = F.col("user_id") % 3, F.col("user_id") % 2
-    return t.events.select("event_id", F.lag(series).over(order).isNull().alias("starts"), O.changed(series, order).alias("bridged"), O.changed(env, order).alias("environment"))
+    return O.seams(t.events, ["event_type"], ["ts", "event_id"], "event_id", bridged=F.col("user_id") % 3, environment=F.col("user_id") % 2)
 
 
 @query("w_clock_restart", "WITH s AS (SELECT *, lag(value) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events) SELECT event_id, user_id FROM s WHERE value < before AND value < 5")

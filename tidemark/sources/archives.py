@@ -2,35 +2,17 @@
 
 from __future__ import annotations
 
-import io
-import itertools
-from collections.abc import Iterator, Mapping
+from collections.abc import Mapping
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 TAG = r'\[([A-Za-z0-9_]+)\s+"((?:[^"\\]|\\.)*)"\]'
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of plain, ``.bz2``, ``.gz`` or ``.zst`` files, the codec by suffix, with the file they are from.
-
-    Spark reads the first three itself. Zstandard files cannot be split; each is unpacked as a stream by one task.
-    """
-    plain = spark.read.option("pathGlobFilter", "{*[!t],*[!s]t,*[!z]st,*[!.]zst}").text(path)  # all but *.zst
-    packed = spark.read.format("binaryFile").option("pathGlobFilter", "*.zst").load(path).select("content", F.col("_metadata.file_name").alias("archive"))
-    return plain.select("value", F.col("_metadata.file_name").alias("archive")).unionByName(packed.mapInArrow(unpacked, "value string, archive string"))
-
-
-def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import zstandard
-
-    for b in batches:
-        for content, archive in zip(b.column("content"), b.column("archive").to_pylist()):
-            with zstandard.ZstdDecompressor().stream_reader(pa.BufferReader(content.as_buffer()), read_across_frames=True) as raw:
-                lines = io.TextIOWrapper(raw, "utf-8", newline="\n")
-                while some := list(itertools.islice(lines, 4096)):
-                    yield pa.RecordBatch.from_arrays([pa.array([x.removesuffix("\n").removesuffix("\r") for x in some], pa.string()), pa.array([archive] * len(some), pa.string())], ["value", "archive"])
+    """Lines of plain, ``.bz2``, ``.gz`` or ``.zst`` files, the codec by suffix, with the file they are from. Each file is
+    read as a stream, of any size; plain and ``.bz2`` files split."""
+    return spark.read.text(path).select("value", F.col("_metadata.file_name").alias("archive"))
 
 
 def framed_records(spark: SparkSession, path: str, first_tag: str = "Event") -> DataFrame:

@@ -25,25 +25,15 @@ def write_bounded(rows: DataFrame, path: str, key: str, most: int, shards: int)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
-def shard_records(rows: DataFrame, key: str, *extra: Column) -> DataFrame:
-    """A row for each file: its rows, least and greatest key."""
-    return rows.groupBy(F.col("_metadata.file_name").alias("shard")).agg(F.count("*").alias("rows"), F.min(key).alias("first"), F.max(key).alias("last"), *extra)
+def files_of(spark: SparkSession, path: str):
+    """Hadoop's path type and the file system of a folder."""
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    return at, at(path).getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def append_archives(rows: DataFrame, path: str, archive: str) -> int:
-    """Append the archives that the corpus does not hold yet; returns how many. Running it again changes nothing."""
-    spark = rows.sparkSession
-    try:
-        held = spark.read.parquet(path).select(F.col(archive).cast("string").alias("_held")).distinct()
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER" not in str(e):
-            raise
-        held = spark.createDataFrame([], "_held string")
-    pending = rows.join(held, F.col(archive).cast("string") == F.col("_held"), "left_anti")
-    n = pending.select(archive).distinct().count()
-    if n:
-        pending.write.mode("append").partitionBy(archive).parquet(path)
-    return n
+def shard_records(rows: DataFrame, key: str, *extra: Column) -> DataFrame:
+    """A row for each file: its rows, least and greatest key; ``rows_digest(...).alias("digest")`` adds its content."""
+    return rows.groupBy(F.col("_metadata.file_name").alias("shard")).agg(F.count("*").alias("rows"), F.min(key).alias("first"), F.max(key).alias("last"), *extra)
 
 
 def manifest(rows: DataFrame, key: str, **coverage: Column) -> DataFrame:
@@ -69,9 +59,14 @@ def cached_summary(rows: DataFrame, key: str, path: str, make: Callable[[DataFra
 
 
 def validate_shards(recorded: DataFrame, found: DataFrame) -> DataFrame:
-    """Shards that differ from what a manifest says: missing, unknown, or with other rows."""
-    both = recorded.select("shard", F.col("rows").alias("want")).join(found.select("shard", "rows"), "shard", "full")
-    state = F.when(F.col("rows").isNull(), "missing").when(F.col("want").isNull(), "unknown").when(F.col("rows") != F.col("want"), "changed").otherwise("ok")
+    """``(shard, state)`` against a manifest ``(shard, rows, digest)``: missing, unknown, changed, or ok.
+
+    Where both sides have a ``digest`` it decides, so a file that was rewritten in place is changed though its rows
+    count the same; without one the numbers of rows do.
+    """
+    facts = ["rows", "digest"] if "digest" in recorded.columns and "digest" in found.columns else ["rows"]
+    both = recorded.select("shard", F.struct(*facts).alias("want")).join(found.select("shard", F.struct(*facts).alias("have")), "shard", "full")
+    state = F.when(F.col("have").isNull(), "missing").when(F.col("want").isNull(), "unknown").when(~F.col("have").eqNullSafe(F.col("want")), "changed").otherwise("ok")
     return both.select("shard", state.alias("state"))
 
 
