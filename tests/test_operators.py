@@ -237,16 +237,6 @@ def test_stream_goes_on_after_a_failure(spark, tmp_path):
     assert sorted((r.id, r.archive) for r in run().collect()) == [*want, (20, 2017)]
 
 
-def test_cursor_of_other_rows_fails(spark, tmp_path):
-    from tidemark.streaming import streams as Z
-
-    path = f"file://{tmp_path}/cursor"
-    Z.write_cursor(spark.range(10), "id", 4, path)
-    assert Z.read_cursor(spark.range(10).orderBy(F.desc("id")), "id", path).first().cursor == 4
-    with pytest.raises(Exception, match="other data"):
-        Z.read_cursor(spark.range(11), "id", path).collect()
-
-
 def test_leakage_under_a_recorded_recipe(spark, tmp_path):
     from tidemark.plans.pools import check_leakage, write_recipe
 

@@ -279,3 +279,39 @@ def test_curve_levels(spark, shape):
     assert (distance[0] > distance[2], moves[0] > moves[3]) == {"same": (False, True), "flat": (True, False), "mirrored": (True, True)}[shape]
 
 
+
+
+# depths and seams
+
+
+def test_half_divergence(spark):
+    from pyspark.sql import functions as F
+
+    half = lambda rows, floor=None: V.half_divergence(spark.createDataFrame(rows, "depth int, excess double, floor double"), floor).first().half
+    rows = [(1, 0.1, 0.0), (2, 0.2, 0.0), (3, 0.6, 0.0), (4, 0.8, 0.0)]
+    assert half(rows) == pytest.approx(2.5)
+    assert half([(1, 0.5, 0.0), (2, 0.1, 0.0), (3, 0.6, 0.0)]) == 1.0  # the first crossing counts
+    assert half([(1, 0.1, 0.0)]) is None and half([(1, 0.1, 0.0), (2, -0.2, 0.0)]) is None
+    assert half([(d, e, 0.9) for d, e, _ in rows], F.col("floor")) is None
+
+
+def test_settled_depth_and_divergence(spark):
+    rows = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("a", 3, "y"), ("b", 1, None), ("b", 2, "x"), ("b", 3, "z"), ("b", 4, "z"), ("c", 1, "x")], "s string, step int, label string")
+    assert V.settled_depth(rows, "s", "step", "label").first().settled == 3
+    assert V.settled_depth(rows.filter("s = 'c'"), "s", "step", "label").first().settled == 1
+    got = {r.depth: r.distance for r in V.divergence_by_depth(rows.filter("step <= 3"), F.col("s") == "a", "step", "label").collect()}
+    assert got == pytest.approx({1: 0.5, 2: 1.0, 3: 1.0})
+
+
+def test_seams_of_one_long_series(spark):
+    from tidemark.operators import windows as O
+
+    rng = random.Random(2)
+    rows = [(i, rng.choice(["hot", "hot", "hot", None, "b"]), rng.randrange(50), rng.choice([1, 1, 2, None])) for i in range(600)]
+    frame = spark.createDataFrame(rows, "id int, series string, at int, v int").repartition(5)
+    got = {r.id: (r.starts, r.moved) for r in O.seams(frame, ["series"], ["at", "id"], "id", moved=F.col("v")).collect()}
+    last, want = {}, {}
+    for i, s, at, v in sorted(rows, key=lambda r: (r[2], r[0])):
+        want[i] = (s not in last, s in last and None not in (v, last[s]) and v != last[s])
+        last[s] = v
+    assert got == want

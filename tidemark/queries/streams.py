@@ -2,10 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from tidemark.functions import hashing as H
 from tidemark.functions.shared import shared_path
-from tidemark.operators import batching as B
 from tidemark.queries.estimates import ledger_sql
+from tidemark.queries.windows import CONFIGURATION, epoch, epoch_sql
 from tidemark.registry import SQL, query
 from tidemark.streaming import streams as Z
 
@@ -47,8 +46,8 @@ def _(t):
 
 @query("s_dedup_append", "SELECT event_id, md5(event_type || event_id) AS digest FROM events")
 def _(t):
-    rows = t.events.select("event_id", F.md5(F.concat("event_type", "event_id")).alias("digest"))
-    return Z.append_once(dropped(t, rows.unionByName(rows), "event_id"), shared_path(t.spark, "once"), "event_id", "digest", place(t, "once-progress"))
+    rows = t.events.select("event_id", F.md5(F.concat("event_type", "event_id")).alias("digest"), F.col("ts").cast("timestamp").alias("ts"))
+    return Z.append_once(dropped(t, rows.unionByName(rows), "ts"), shared_path(t.spark, "once"), "event_id", "digest", "ts", place(t, "once-progress")).select("event_id", "digest")
 
 
 @query("s_interval_drain", "SELECT date_trunc('day', ts)::DATE AS day, count(*)::BIGINT AS n, round(sum(value), 4) AS total, max(value) AS most, max_by(value, ts) AS last FROM events GROUP BY 1")
@@ -67,12 +66,15 @@ def _(t):
     return folded.select("event_id", "state", "since")
 
 
-@query("s_resume_cursor", "WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY sha256('pass' || chr(0) || o_orderkey)) AS place FROM orders) SELECT o_orderkey, place FROM r WHERE place > 500")
+@query("s_resume_cursor", f"WITH {epoch_sql(1)} SELECT span, batch, slot, o_orderkey FROM p1 WHERE span > 1 OR (span = 1 AND batch >= 3)")
 def _(t):
-    ranked = B.global_rank(t.orders.select("o_orderkey"), [H.rank_key("pass", F.col("o_orderkey"))], "place")
-    path = place(t, "cursor")
-    Z.write_cursor(t.orders, "o_orderkey", 500, path)
-    return ranked.crossJoin(F.broadcast(Z.read_cursor(t.orders, "o_orderkey", path))).filter("place > cursor").select("o_orderkey", "place")
+    from tidemark.plans import epochs as E
+
+    plan, cursor = place(t, "plan"), place(t, "cursor")
+    for number in (0, 1):
+        E.write_plan(epoch(t, number), plan)
+    E.write_cursor(t.orders, "o_orderkey", cursor, CONFIGURATION, epoch=1, span=1, batch=3)
+    return E.resumed(t.spark, plan, E.read_cursor(t.orders, "o_orderkey", cursor, CONFIGURATION)).select(F.col("span").cast("long").alias("span"), "batch", "slot", "o_orderkey")
 
 
 @query("x_metric_registry", "SELECT event_type AS metric, CASE WHEN event_type IN ('click', 'view') THEN 'use' ELSE 'sale' END AS family, count(*)::BIGINT AS n FROM events WHERE event_type <> 'error' GROUP BY 1")

@@ -143,13 +143,27 @@ def _(t):
     return out.select("l_orderkey", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"), F.aggregate("mask", F.lit(0).cast("long"), lambda a, v: a + v).alias("n"))
 
 
-@query("w_epoch_order", f"""WITH g AS (SELECT o_orderkey, extract('year' FROM o_orderdate)::INT AS grp FROM orders), k AS (SELECT grp, row_number() OVER (ORDER BY sha256('1' || chr(0) || grp)) AS place FROM (SELECT DISTINCT grp FROM g)), s AS (SELECT o_orderkey, (place - 1) // 2 AS span FROM g JOIN k USING (grp))
-SELECT o_orderkey, span::BIGINT AS span, row_number() OVER (PARTITION BY span ORDER BY sha256('1' || chr(0) || o_orderkey)) AS place FROM s""")
+def epoch_sql(epoch, groups=2, size=16):
+    """One epoch's plan as CTEs ending in ``p{epoch}``."""
+    rank = lambda *parts: f"sha256('ep:{epoch}' || chr(0) || " + " || ':' || ".join(parts) + ")"
+    return f"""g{epoch} AS (SELECT grp, (row_number() OVER (ORDER BY {rank("'group'", 'grp::VARCHAR')}, grp) - 1) // {groups} AS span FROM (SELECT DISTINCT extract('year' FROM o_orderdate)::INT AS grp FROM orders)),
+ r{epoch} AS (SELECT o_orderkey, span, row_number() OVER (PARTITION BY span ORDER BY {rank("'row'", 'o_orderkey::VARCHAR')}, o_orderkey) - 1 AS place FROM orders JOIN g{epoch} ON grp = extract('year' FROM o_orderdate)::INT),
+ b{epoch} AS (SELECT span, cut, row_number() OVER (PARTITION BY span ORDER BY {rank("'batch'", 'members')}, cut) - 1 AS batch FROM (SELECT span, place // {size} AS cut, string_agg(o_orderkey::VARCHAR, ',' ORDER BY place) AS members FROM r{epoch} GROUP BY 1, 2)),
+ p{epoch} AS (SELECT {epoch} AS epoch, r.span, batch, (place % {size})::INT AS slot, o_orderkey FROM r{epoch} r JOIN b{epoch} b ON b.span = r.span AND b.cut = place // {size})"""
+
+
+CONFIGURATION = {"seed": "ep", "groups": 2, "size": 16}
+
+
+def epoch(t, number):
+    from tidemark.plans.epochs import epoch_plan
+
+    return epoch_plan(t.orders.select("o_orderkey", F.year("o_orderdate").alias("grp")), "o_orderkey", "grp", epoch=number, **CONFIGURATION)
+
+
+@query("w_epoch_order", f"WITH {epoch_sql(0)}, {epoch_sql(1)} FROM p0 UNION ALL FROM p1")
 def _(t):
-    rows = t.orders.select("o_orderkey", F.year("o_orderdate").alias("grp"))
-    groups = B.global_rank(rows.select("grp").distinct(), [H.rank_key("1", F.col("grp"))], "place").select("grp", F.floor((F.col("place") - 1) / 2).alias("span"))
-    placed = B.rank_within(rows.join(groups, "grp").select("o_orderkey", "span"), ["span"], [H.rank_key("1", F.col("o_orderkey"))], "place")
-    return placed.select("o_orderkey", "span", F.col("place").cast("long").alias("place"))
+    return epoch(t, 0).unionByName(epoch(t, 1))
 
 
 @query("w_rank_stripe", f"SELECT o_orderkey, ((row_number() OVER (ORDER BY {RANK.format('stripe', 'o_orderkey')}) - 1) % 4)::INT AS worker FROM orders")

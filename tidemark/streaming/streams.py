@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from tidemark.functions.checks import must
-from tidemark.operators.selection import identity_digest
 
 
 def drain(stream: DataFrame, handle, progress: str, mode: str = "append") -> None:
@@ -52,51 +51,119 @@ def last_of(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("_r")).select(*keys, "_r.*")
 
 
-def append_once(stream: DataFrame, path: str, key: str, digest: str, progress: str) -> DataFrame:
-    """Append by key, once; the same key with other content fails the batch and with it the stream."""
-    from tidemark.sources.stores import append_results
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-    spark, schema = stream.sparkSession, stream.schema
-    spark.createDataFrame([], schema).write.mode("append").parquet(path)
 
-    def write(rows: DataFrame, _: int) -> None:
-        append_results(rows.dropDuplicates([key, digest]), spark.read.schema(schema).parquet(path), key, digest).write.mode("append").parquet(path)
+@contextlib.contextmanager
+def state_store(spark: SparkSession) -> Iterator[None]:
+    """Streams started in here keep their state in RocksDB; a stream takes its settings when it starts."""
+    before = spark.conf.get(STORE, None)
+    spark.conf.set(STORE, ROCKS)
+    try:
+        yield
+    finally:
+        spark.conf.set(STORE, before) if before else spark.conf.unset(STORE)
 
-    drain(stream, write, progress)
-    return spark.read.schema(schema).parquet(path)
+
+def drain_stateful(stream: DataFrame, path: str, progress: str) -> DataFrame:
+    """Write each batch of a stateful stream to a folder of its own, so that one that runs again replaces it."""
+    with state_store(stream.sparkSession):
+        drain(stream, lambda rows, batch: rows.write.mode("overwrite").parquet(f"{path}/batch={batch:06d}"), progress)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/batch=*")
+
+
+class Once(StatefulProcessor):
+    """Remembers the digest of each key of a bucket until the watermark has passed it by ``horizon`` ms."""
+
+    def __init__(self, columns: Sequence[str], key: str, digest: str, horizon: int):
+        self.columns, self.key, self.digest, self.horizon = list(columns), key, digest, horizon
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getMapState("seen", "key string", "digest string, at long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        for some in rows:
+            new: dict[str, tuple[str, int]] = {}
+            kept = []
+            for k, d, at in zip(some[self.key].astype(str), some[self.digest], some["event_ms"]):
+                held = new.get(k) or self.seen.getValue((k,))
+                if held is not None and held[0] != d:
+                    raise ValueError(f"conflicting record: {k}")
+                kept.append(held is None)
+                if held is None:
+                    new[k] = d, int(at)
+            for k, v in new.items():
+                self.seen.updateValue((k,), v)
+            if new:
+                self.handle.registerTimer(max(at for _, at in new.values()) + self.horizon)
+            yield some.loc[kept, self.columns]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        past = timerValues.getCurrentWatermarkInMs() - self.horizon
+        for (k,), (_, at) in list(self.seen.iterator()):
+            if at <= past:
+                self.seen.removeKey((k,))
+        yield pd.DataFrame()
+
+    def close(self) -> None:
+        pass
+
+
+def append_once(stream: DataFrame, path: str, key: str, digest: str, at: str, progress: str, late: str = "1 day", horizon_days: int = 7, buckets: int = 64) -> DataFrame:
+    """Append by key, once; the same key with other content fails the batch and with it the stream.
+
+    What was seen is in keyed state and the store is never read, so a batch costs what it brings. A key is kept for
+    ``horizon_days`` after its event time ``at``, once the watermark (``late`` behind the newest row) is past that; rows
+    older than the watermark are dropped, so what has been forgotten can't come again.
+    """
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+    keyed = stream.withWatermark(at, late).withColumns({"key_bucket": bucket, "event_ms": F.unix_millis(at)})
+    once = keyed.groupBy("key_bucket").transformWithStateInPandas(Once(stream.columns, key, digest, horizon_days * 86_400_000), stream.schema, "Append", "EventTime")
+    return drain_stateful(once, path, progress)
 
 
 FOLDED = "user_id long, event_id long, state long, since long"
 
 
-def fold_sessions(stream: DataFrame, path: str, progress: str, reset: str) -> DataFrame:
-    """The state set by the last reset event of a session and the events since, for each event of a live log."""
+class Fold(StatefulProcessor):
+    """The event that set a session's state last, and the events since; both go when the session has been idle."""
+
+    def __init__(self, reset: str, idle: int):
+        self.reset, self.idle = reset, idle
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        at, since = state.get if state.exists else (None, -1)
-        rows = pd.concat(list(batches)).sort_values("ts")  # one session's events of one small batch
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("held", "at long, since long, timer long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        at, since, timer = self.held.get() if self.held.exists() else (None, -1, 0)
+        some = pd.concat(list(rows)).sort_values(["event_ms", "event_id"])  # one session's events of one small batch
         out = []
-        for event_id, kind in zip(rows.event_id.tolist(), rows.event_type.tolist()):
-            at, since = (event_id, 0) if kind == reset else (at, since + 1)
+        for event_id, kind in zip(some.event_id.tolist(), some.event_type.tolist()):
+            at, since = (event_id, 0) if kind == self.reset else (at, since + 1)
             out.append((key[0], event_id, at, since))
-        state.update((at, since))
+        if timer:
+            self.handle.deleteTimer(timer)
+        timer = int(some["event_ms"].iloc[-1]) + self.idle
+        self.handle.registerTimer(timer)
+        self.held.update((at, since, timer))
         yield pd.DataFrame(out, columns=["user_id", "event_id", "state", "since"]).astype({"state": "Int64"})
 
-    folded = stream.groupBy("user_id").applyInPandasWithState(step, FOLDED, "state long, since long", "append", GroupStateTimeout.NoTimeout)
-
-    def write(rows: DataFrame, batch: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{path}/batch={batch:06d}")
-
-    drain(folded, write, progress)
-    return stream.sparkSession.read.schema(FOLDED).parquet(f"{path}/batch=*")
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.held.clear()
+        yield pd.DataFrame()
 
+    def close(self) -> None:
+        pass
 
-def write_cursor(rows: DataFrame, key: str, cursor: int, path: str) -> None:
-    """How far a pass over these rows has come, with their identity."""
-    identity_digest(rows, key).select(F.to_json(F.struct("digest", F.lit(cursor).cast("long").alias("cursor"))).alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
+def fold_sessions(stream: DataFrame, path: str, progress: str, reset: str, late: str = "1 day", idle_days: int = 3650) -> DataFrame:
+    """The state set by the last reset event of a session and the events since, for each event of a live log.
 
-def read_cursor(rows: DataFrame, key: str, path: str) -> DataFrame:
-    """One row with the stored ``cursor``; the job fails if it was stored for other rows."""
-    stored = rows.sparkSession.read.text(path).select(F.from_json("value", "digest string, cursor long").alias("c")).select("c.*")
-    return stored.crossJoin(identity_digest(rows, key).select(F.col("digest").alias("now"))).filter(must(F.col("digest") == F.col("now"), "the cursor is of other data")).select("cursor")
+    A session without an event for ``idle_days`` leaves the state when the watermark passes; a later event of its name
+    starts anew, as one does in ``windows.fold_log`` where a session has a name of its own.
+    """
+    folded = stream.withWatermark("ts", late).withColumn("event_ms", F.unix_millis("ts")).groupBy("user_id").transformWithStateInPandas(Fold(reset, idle_days * 86_400_000), FOLDED, "Append", "EventTime")
+    return drain_stateful(folded, path, progress)
