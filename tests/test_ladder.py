@@ -64,3 +64,18 @@ def test_separated_seats_and_rounds_that_run_out(spark):
     assert got[50].rating < min(got[i].rating for i in range(5)) and got[51].rating > max(got[i].rating for i in range(5))
     few = L.fitted_ratings(spark.createDataFrame(rows, SCHEMA), None, tolerance=1e-12, most_rounds=3).collect()
     assert not any(r.settled for r in few) and few[0].rounds == 3
+
+
+def test_games_are_redrawn_by_hashes(spark):
+    import hashlib
+
+    rows = [(1, 2, 5, 2, 3, 6.0), (1, 3, 0, 4, 0, 2.0), (2, 3, 0, 0, 0, 0.0)]
+    got = {(r.rep, r.a, r.b): (r.wins, r.draws, r.losses, r.points) for r in L.redrawn(spark.createDataFrame(rows, SCHEMA), 6, "s").collect()}
+    want = {}
+    for a, b, w, d, x, _ in rows:
+        n = w + d + x
+        for rep in range(1, 7) if n else ():
+            u = [int(hashlib.sha256(f"s\0{a}:{b}:{rep}:{g}".encode()).hexdigest()[:16], 16) / 2**64 * n for g in range(1, n + 1)]
+            wins, draws = sum(v < w for v in u), sum(w <= v < w + d for v in u)
+            want[rep, a, b] = (wins, draws, n - wins - draws, wins + draws / 2)
+    assert got == want
