@@ -8,7 +8,7 @@ def split(text):
     out = []
     sentence, piece = sentences.patterns()
     for s in re.findall(sentence, text):
-        out += [s] if len(s) <= 200 and sum(c in " \t\n\r" for c in s) <= 15 else re.findall(piece, s)
+        out += [s] if len(s) <= 100 else re.findall(piece, s)
     assert "".join(out) == text
     return out
 

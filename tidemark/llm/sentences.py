@@ -1,7 +1,7 @@
 """Substring dedup by sliding spans of sentences.
 
-A text falls into sentences (up to marks or line ends, with the white space after them). One of more than ``most_words``
-blanks or 200 characters falls into pieces, so that a long passage without marks has spans too: it is cut where its
+A text falls into sentences (up to marks or line ends, with the white space after them). One of more than 100
+characters falls into pieces, so that a long passage without marks has spans too: it is cut where its
 content says, after words that end with certain letters, or after certain characters of scripts without spaces, and
 after ``most_words`` words or 40 characters without such a place. So two texts that share a passage cut it alike from
 the first such place on, wherever it lies in them. Every run of ``span`` sentences is hashed,
@@ -26,7 +26,7 @@ from tidemark.functions.shared import keep
 
 SPAN, MOST_WORDS = 3, 15
 #: Longer sentences are cut, whatever their words.
-MOST_CHARS, MOST_UNSPACED = 200, 40
+MOST_CHARS, MOST_UNSPACED = 100, 40
 BLANK = " \t\n\r"
 #: Marks that end a sentence, beside the line end.
 MARKS = ".!?\u3002\uff01\uff1f\uff61\u061f\u06d4\u0964\u0965"
@@ -62,8 +62,7 @@ def patterns(most_words: int = MOST_WORDS, wide: bool = True) -> tuple[str, str]
 
 def sentences(text: Column, most_words: int = MOST_WORDS) -> Column:
     """Pieces that give the text when put together."""
-    blanks = lambda s: F.char_length(s) - F.char_length(F.translate(s, BLANK, ""))
-    short = lambda s: (F.char_length(s) <= MOST_CHARS) & (blanks(s) <= most_words)
+    short = lambda s: F.char_length(s) <= MOST_CHARS
 
     def cut(wide: bool) -> Column:
         sentence, piece = (F.lit(p) for p in patterns(most_words, wide))
@@ -123,7 +122,7 @@ OP8_SQL = r"""
 WITH parts AS (
   SELECT doc_id, coalesce(text, '') AS text,
     flatten(list_transform(regexp_extract_all(coalesce(text, ''), '<sentence>'),
-      lambda s: CASE WHEN length(s) <= 200 AND length(s) - length(translate(s, chr(32) || chr(9) || chr(10) || chr(13), '')) <= 15 THEN [s] ELSE regexp_extract_all(s, '<piece>') END)) AS parts
+      lambda s: CASE WHEN length(s) <= 100 THEN [s] ELSE regexp_extract_all(s, '<piece>') END)) AS parts
   FROM documents),
 placed AS (SELECT doc_id, unnest(range(1, len(parts) - 1)) AS pos, parts FROM parts WHERE len(parts) >= 3),
 spans AS (SELECT doc_id, pos, list_transform(parts[pos:pos + 2], lambda s: trim(s, chr(32) || chr(9) || chr(10) || chr(13))) AS run FROM placed),
