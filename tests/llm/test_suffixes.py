@@ -38,6 +38,36 @@ def test_lyndon_groups():
     assert [[bytes(text[i : i + length[i]]) for i in g] for g in groups] == [[b"a"], [b"an", b"an"], [b"b"], [b"n", b"n"]]
 
 
+def test_repeated_wholes():
+    rng = random.Random(3)
+    for _ in range(200):
+        sequences = [[rng.randrange(3) for _ in range(rng.randrange(1, 7))] for _ in range(rng.randrange(0, 9))]
+        sequences += rng.sample(sequences, len(sequences) // 3)
+        inside = lambda x, y: sum(y[i : i + len(x)] == x for i in range(len(y)))
+        assert suffixes.repeated_wholes(sequences) == [sum(inside(x, y) for y in sequences) > 1 for x in sequences]
+
+
+def test_arrays_decide_and_not_hashes():
+    """Places with one hash whose bytes differ are not taken for repeats, by either kind of array."""
+    same, other = (b"left of it", b"right of it"), (b"left of iT", b"right of it")
+    assert suffixes.confirmed([(1, 7, *same), (1, 7, *same), (1, 8, *same), (1, 8, *other)], SMALL) == [(1, 7)]
+    assert suffixes.confirmed([(1, 7, *same)] * 3, SMALL) == [(1, 7)]
+    assert suffixes.confirmed([], SMALL) == [] and suffixes.compare([], SMALL) == []
+
+
+@pytest.mark.parametrize("size, removed", [(300, 0), (399, 0), (400, 400), (401, 401), (500, 500), (800, 800)])
+def test_planted_passages(spark, size, removed):
+    """A passage in two documents goes whole from 400 bytes on, at any offset, and nothing else goes."""
+    rng = random.Random(size)
+    make = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    docs = []
+    for k in range(12):
+        passage = "<" + make(size - 2) + ">"
+        docs += [(2 * k + i, make(rng.randrange(900)) + "AB"[i] + passage + "CD"[i] + make(rng.randrange(900))) for i in range(2)]
+    cut = suffixes.without_repeats(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert [r.n_removed for r in cut.collect()] == [removed] * 24
+
+
 def corpus(seed):
     rng = random.Random(seed)
     letters = "ab é" if seed % 2 else "the of and ion wh é"

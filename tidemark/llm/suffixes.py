@@ -7,11 +7,12 @@ whole window with a neighbour in the array. Arrays over a whole corpus don't fit
 * Each window has an anchor, the least hashed byte gram in its first part (the rightmost on a tie), which its content
   alone fixes. Windows in a row with one anchor are a run; a run's bytes are its stretch. Equal windows lie in runs with
   equal seeds (the bytes behind the anchor that all its windows hold), so only stretches with one seed need comparing.
-* Stretches that occur more than once are repeated as a whole and enter an array once, as one text with copies.
-  A seed with one stretch only has nothing to compare.
-* The others with one seed meet in a task. There the bytes that all windows of a block share become one symbol, so a
-  window is a few symbols; blocks whose shared bytes no other has are done, and one suffix array is built over
-  the rest.
+* Stretches that seem to occur more than once (their hashes are equal) enter an array from two of their places, each
+  cut into symbols of a block of bytes: the stretch is repeated as a whole, if the suffix at its start agrees with a
+  neighbour over all of it. The places of one hash have one text, so what the array says of two holds for all.
+* Those that occur once meet, in a task for each seed, all other stretches with it. There the bytes that all windows of
+  a block share become one symbol, so a window is a few symbols; blocks whose shared bytes no other has are done, and
+  one suffix array is built over the rest, in which pieces of text that several stretches hold stand twice.
 
 The array is built by linear grouping: suffixes with one Lyndon prefix form a group; groups are taken in descending
 order, and each suffix in the group lengthens the prefix of its previous smaller one, which splits the groups below.
@@ -149,6 +150,22 @@ def repeated_windows(text: list[int], size: int) -> np.ndarray:
     return order[np.r_[same, False] | np.r_[False, same]]
 
 
+def repeated_wholes(sequences: list[list[int]]) -> list[bool]:
+    """Whether each sequence of symbols from 0 on occurs elsewhere in the sequences too."""
+    text: list[int] = []
+    starts, mark = [], 1 + max(map(max, sequences), default=0)
+    for k, x in enumerate(sequences):
+        starts.append(len(text))
+        text += x
+        text.append(mark + k)  # unique, so that nothing agrees across it
+    order = suffix_array(text)
+    place = [0] * len(text)
+    for r, i in enumerate(order):
+        place[i] = r
+    near = ((x, order[max(0, place[i] - 1) : place[i]] + order[place[i] + 1 : place[i] + 2]) for i, x in zip(starts, sequences))
+    return [any(text[j : j + len(x)] == x for j in found) for x, found in near]
+
+
 # runs of windows
 
 
@@ -221,7 +238,26 @@ def runs_table(docs: DataFrame, plan: Plan) -> DataFrame:
     return bounded(keyed(docs)).mapInArrow(scan, RUN)
 
 
-# stretches with one seed
+# stretches that may be repeated
+
+
+def confirmed(entries: list[tuple[int, int, bytes, bytes]], plan: Plan) -> list[tuple[int, int]]:
+    """Of ``(seed, stretch, bytes before the anchor, bytes behind the seed)``, two places or more of each stretch: the
+    ``(seed, stretch)`` that the suffix array finds in two of them."""
+    found: dict[tuple[int, int], list[tuple[bytes, bytes]]] = {}
+    for seed, stretch, left, right in entries:
+        places = found.setdefault((seed, stretch), [])
+        if len(places) < 2:  # rows that are repeated as a whole bring more
+            places.append((left, right))
+    names: dict[int | bytes, int] = {}
+    sequences = []
+    for (seed, _), places in found.items():
+        for left, right in places:
+            parts = [x[i : i + plan.block] for x in (left, right) for i in range(0, len(x), plan.block)]
+            parts.insert(-(-len(left) // plan.block), seed)
+            sequences.append([names.setdefault(x, len(names)) for x in parts])
+    repeated = iter(repeated_wholes(sequences))
+    return [k for k, places in found.items() if all([next(repeated) for _ in places])]
 
 
 def compare(entries: list[tuple[int, int, bytes, bytes, int]], plan: Plan) -> list[tuple[int, int, int]]:
@@ -230,8 +266,8 @@ def compare(entries: list[tuple[int, int, bytes, bytes, int]], plan: Plan) -> li
     An entry is a distinct stretch: its seed, the way from its first window to the anchor, the bytes before the anchor,
     the bytes behind the seed, and how often it occurs. Those that occur more than once are only compared with.
     """
-    out, digest, size = [], xxhash.xxh3_128_digest, plan.block
-    cores: dict[bytes, list[tuple[int, int, int, int, bytes, bytes]]] = {}
+    digest, size = xxhash.xxh3_128_digest, plan.block
+    cores: dict[bytes, list[tuple[int, int, bytes, bytes]]] = {}
     for e, (seed, _, left, right, _) in enumerate(entries):
         nearest = plan.window - 1 - len(right)  # of a window's start to the anchor, in bytes
         head = seed.to_bytes(8, "little", signed=True)
@@ -241,36 +277,34 @@ def compare(entries: list[tuple[int, int, bytes, bytes, int]], plan: Plan) -> li
             if near <= far and shared <= len(right):
                 before, behind = left[len(left) - far : len(left) - size * t], right[shared : shared + plan.window - 1 - near - shared]
                 core = digest(b"".join((head, t.to_bytes(2, "little"), left[len(left) - size * t :] if t else b"", right[:shared])))
-                cores.setdefault(core, []).append((e, t, near, far, before, behind))
+                cores.setdefault(core, []).append((e, t, before, behind))
     text: list[int] = []
-    where: list[tuple[int, int, int, int]] = []  # entry, block, start of its piece in the text, bytes before the core
+    where: list[tuple[list[int], int, int, int]] = []  # entries, block, start of their piece in the text, bytes before the core
     symbol = 256
     for found in cores.values():
-        if len(found) < 2:
+        if len(found) < 2 or all(entries[e][4] > 1 for e, *_ in found):
             continue
-        kinds: dict[tuple[bytes, bytes], list[tuple[int, int, int, int]]] = {}
-        for e, t, near, far, before, behind in found:
-            kinds.setdefault((before, behind), []).append((e, t, near, far))
+        kinds: dict[tuple[bytes, bytes], list[int]] = {}
+        for e, _, before, behind in found:
+            kinds.setdefault((before, behind), []).append(e)
         for (before, behind), same in kinds.items():
-            if len(same) > 1 or entries[same[0][0]][4] > 1:  # one piece of text with copies
-                out += [(e, near, far) for e, _, near, far in same if entries[e][4] == 1]
-        if len(kinds) > 1:
-            for (before, behind), same in kinds.items():
-                e, t, _, _ = same[0]
-                where.append((e if len(same) == 1 and entries[e][4] == 1 else -1, t, len(text), len(before)))
+            once = [e for e in same if entries[e][4] == 1]
+            for owners in (once, []) if len(same) > 1 or not once else (once,):  # in the text twice where several hold it
+                where.append((owners, found[0][1], len(text), len(before)))
                 text += before
                 text.append(symbol)
                 text += behind
                 text.append(-1)
-            symbol += 1
+        symbol += 1
     marks = iter(range(symbol, symbol + len(where) + 1))
     text = [next(marks) if c < 0 else c for c in text]  # unique, so that nothing agrees across them
     hits = np.sort(repeated_windows(text, size))
-    starts = np.array([w[2] for w in where], np.int64)
-    for at, k in zip(hits.tolist(), (np.searchsorted(starts, hits, "right") - 1).tolist()):
-        e, t, start, before = where[k]
-        if e >= 0 and at - start <= before:
-            out.append((e, o := size * t + before - (at - start), o))
+    piece = np.searchsorted(np.array([w[2] for w in where], np.int64), hits, "right") - 1
+    new = np.flatnonzero(np.r_[True, (np.diff(hits) > 1) | (np.diff(piece) > 0)]) if len(hits) else hits
+    out = []
+    for first, last, k in zip(hits[new].tolist(), hits[np.r_[new[1:], len(hits)] - 1].tolist() if len(hits) else [], piece[new].tolist()):
+        owners, t, start, before = where[k]
+        out += [(e, size * t + before - (last - start), size * t + before - (first - start)) for e in owners]
     return out
 
 
@@ -286,50 +320,58 @@ def intervals(docs: DataFrame, plan: Plan) -> DataFrame:
     runs = keep(runs_table(docs, plan), "suffix-runs")
     stretches = runs.groupBy("seed", "stretch").agg(F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("doc_id", "tie", "run")])
     stretches = keep(stretches, "suffix-stretches")
-    whole = stretches.filter("copies > 1").select("seed", "stretch")
-    settled = runs.join(whole, ["seed", "stretch"], "left_semi").select(
-        "doc_id", "tie", F.shiftright("run", 24).alias("start"), (F.shiftright("run", 24) + F.shiftright("run", 12).bitwiseAND(F.lit(4095)) + F.lit(plan.length)).alias("end")
-    )
+    several = keep(runs.join(stretches.filter("copies > 1").select("seed", "stretch"), ["seed", "stretch"], "left_semi"), "suffix-several")
+    drawn = F.xxhash64("doc_id", "tie", "run")
+    first, last = (F.struct(*[by(c, drawn).alias(c) for c in ("doc_id", "tie", "run")]) for by in (F.min_by, F.max_by))
+    places = several.groupBy("seed", "stretch").agg(first.alias("first"), last.alias("last"))
+    # whole stretches may be dealt by themselves; those that occur once meet all of their seed
+    places = places.select("seed", "stretch", F.explode(F.array("first", "last")).alias("place")).select("seed", "stretch", "place.*", F.lit(2).cast("long").alias("copies"), F.lit(True).alias("whole"))
     varied = stretches.groupBy("seed").agg(F.count("*").alias("kinds"), F.min("copies").alias("least")).filter("kinds > 1 and least = 1").select("seed")
-    opened = stretches.join(varied, "seed", "left_semi").groupBy("doc_id", "tie").agg(F.collect_list(F.struct("seed", "run", "copies")).alias("runs"))
+    opened = stretches.join(varied, "seed", "left_semi").withColumn("whole", F.lit(False)).unionByName(places)
+    opened = opened.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("seed", "stretch", "run", "copies", "whole")).alias("runs"))
     cut_from = keyed(docs).alias("d").join(opened.alias("o"), F.expr("d.doc_id <=> o.doc_id and d.tie = o.tie")).select("d.doc_id", "d.tie", "d.text", "o.runs")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-        names = ["doc_id", "tie", "seed", "run", "copies", "before", "behind"]
+        kinds = (*[pa.int64()] * 6, pa.bool_(), pa.binary(), pa.binary())
+        names = ["doc_id", "tie", "seed", "stretch", "run", "copies", "whole", "before", "behind"]
         for b in pieces(batches, 64):
             out = []
             for doc_id, tie, text, found in zip(*(b.column(c).to_pylist() for c in ("doc_id", "tie", "text", "runs"))):
                 data = text.encode("utf-8", "surrogatepass")
                 for r in found:
                     first, last, anchor = unpacked(r["run"])
-                    out.append((doc_id, tie, r["seed"], r["run"], r["copies"], data[first:anchor], data[anchor + plan.seed : last + plan.length]))
+                    out.append((doc_id, tie, r["seed"], r["stretch"], r["run"], r["copies"], r["whole"], data[first:anchor], data[anchor + plan.seed : last + plan.length]))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
         def done() -> pa.RecordBatch:
-            out = []
-            entries = [(r[2], 0, r[5], r[6], r[4]) for r in held]
-            for e, least, most in compare(entries, plan):
-                doc_id, tie, _, run, *_ = held[e]
+            once = [r for r in held if not r[6]]
+            out = [(None, None, None, None, *k) for k in confirmed([(r[2], r[3], r[7], r[8]) for r in held if r[6]], plan)]
+            for e, least, most in compare([(r[2], 0, r[7], r[8], r[5]) for r in once], plan):
+                doc_id, tie, _, _, run, *_ = once[e]
                 anchor = unpacked(run)[2]
-                out.append((doc_id, tie, anchor - most, anchor - least + plan.length))
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(4)], ["doc_id", "tie", "start", "end"])
+                out.append((doc_id, tie, anchor - most, anchor - least + plan.length, None, None))
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(6)], ["doc_id", "tie", "start", "end", "seed", "stretch"])
 
-        for b in batches:  # in order of the seed; whole seeds are compared together, some thousand stretches at a time
-            for r in zip(*(b.column(c).to_pylist() for c in range(7))):
-                if len(held) >= 4096 and held[-1][2] != r[2]:
+        for b in batches:  # in order of the key; all rows of a key are compared together, some thousand at a time
+            for *r, key in zip(*(b.column(c).to_pylist() for c in range(10))):
+                if len(held) >= 4096 and before != key:
                     yield done()
                     held = []
                 held.append(r)
+                before = key
         yield done()
 
-    cut_out = bounded(cut_from).mapInArrow(cut, "doc_id long, tie long, seed long, run long, copies long, before binary, behind binary")
-    partial = cut_out.repartition("seed").sortWithinPartitions("seed").mapInArrow(search, INTERVALS)
+    cut_out = bounded(cut_from).mapInArrow(cut, "doc_id long, tie long, seed long, stretch long, run long, copies long, whole boolean, before binary, behind binary")
+    dealt = cut_out.withColumn("key", F.when(F.col("whole"), F.xxhash64("seed", "stretch")).otherwise(F.col("seed"))).repartition("key").sortWithinPartitions("key")
+    found = keep(dealt.mapInArrow(search, f"{INTERVALS}, seed long, stretch long"), "suffix-found")
+    settled = several.join(found.filter("start is null").select("seed", "stretch"), ["seed", "stretch"], "left_semi").select(
+        "doc_id", "tie", F.shiftright("run", 24).alias("start"), (F.shiftright("run", 24) + F.shiftright("run", 12).bitwiseAND(F.lit(4095)) + F.lit(plan.length)).alias("end")
+    )
     # a stretch that occurs once lies in one row, but rows may be repeated: then all of theirs occur more than once
-    return settled.unionByName(partial)
+    return settled.unionByName(found.filter("start is not null").select("doc_id", "tie", "start", "end"))
 
 
 def without_repeats(docs: DataFrame, plan: Plan = Plan(), columns: Sequence[str] | None = None) -> DataFrame:
