@@ -273,3 +273,40 @@ def test_rank_within_a_hot_group(spark):
     rows = [(1 if i < 90 else i % 3, (i * 37) % 100) for i in range(100)] + [(None, 5), (None, 1)]
     got = {(r.g, r.k): r.n for r in rank_within(spark.createDataFrame(rows, "g int, k int"), ["g"], [F.col("k")], "n").collect()}
     assert got == {(g, k): sorted(x for h, x in rows if h == g).index(k) + 1 for g, k in rows}
+
+
+def test_planning_windows_against_a_reader(spark):
+    lengths = [(i, None if i % 13 == 0 else (i * 37) % 50) for i in range(97)]
+    rows = spark.createDataFrame(lengths, "id long, n int").repartition(5)
+    windows = B.planning_windows(rows, [F.col("id")], 20)
+    for drop_last in (False, True):
+        want = set()
+        for w in range(0, 97, 20):
+            buckets, batches = {}, []
+            for i, n in lengths[w : w + 20]:
+                held = buckets.setdefault(-1 if n is None else n // 10, [])
+                held.append(i)
+                if len(held) == 3:
+                    batches.append(held[:])
+                    held.clear()
+            batches += [buckets[k] for k in sorted(buckets) if buckets[k] and not drop_last]
+            want |= {(i, w // 20, b, s) for b, batch in enumerate(batches) for s, i in enumerate(batch)}
+        got = B.window_batches(windows, F.floor(F.col("n") / 10), 3, drop_last=drop_last)
+        assert {(r.id, r.window, r.batch, r.slot) for r in got.collect()} == want
+        want = set()
+        for w in range(0, 97, 20):
+            laid = [(i, s) for i, n in lengths[w : w + 20] for s in range(n or 0)]
+            cut = [laid[at : at + 16] for at in range(0, len(laid), 16)]
+            want |= {(i, w // 20, b, s) for b, batch in enumerate(cut) if len(batch) == 16 or not drop_last for i, s in batch}
+        got = B.window_packed(windows, "n", 16, drop_last=drop_last).collect()
+        assert {(r.id, r.window, r.batch, s) for r in got for s in range(r.from_step, r.to_step)} == want
+        assert sum(r.to_step - r.from_step for r in got) == len(want)
+    assert B.window_batches(B.planning_windows(rows.limit(0), [F.col("id")], 20), F.col("n"), 3).count() == 0
+
+
+def test_first_and_more(spark):
+    rows = spark.range(30).repartition(4)
+    for n, more in ((29, True), (30, False), (31, False)):
+        got = X.first_and_more(rows, "id", n).collect()
+        assert [tuple(r) for r in got] == [(i, more) for i in range(min(n, 30))]
+    assert X.first_and_more(rows.limit(0), "id", 3).count() == 0

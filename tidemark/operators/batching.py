@@ -65,6 +65,44 @@ def bucket_batches(rows: DataFrame, length: Column, width: int, order: Sequence[
     return rank_within(rows, ["bucket"], order, "_n").withColumn("batch", F.floor((F.col("_n") - 1) / size)).drop("_n")
 
 
+def planning_windows(rows: DataFrame, order: Sequence[Column], size: int) -> DataFrame:
+    """``window`` and ``at``, both from 0: the rows in their order, cut into windows of ``size`` rows.
+
+    A window is what a reader plans at once, so what is grouped by window is at most ``size`` rows, whatever the data."""
+    ranked = global_rank(rows, order, "at").withColumn("at", F.col("at") - 1)
+    return ranked.withColumn("window", F.floor(F.col("at") / size))
+
+
+def window_batches(windows: DataFrame, bucket: Column, size: int, *, drop_last: bool = False) -> DataFrame:
+    """``batch`` and ``slot`` of each row of planning windows: rows of one bucket fill batches of ``size`` in order.
+
+    Batches of a window stand as a reader gets them: full ones by the row that filled them, then what each bucket had
+    left, by bucket (null first). ``drop_last`` leaves the short ones out; no batch holds rows of two windows.
+    """
+    inside = windows.withColumn("_bucket", bucket).repartition("window")  # the one shuffle: buckets and batches lie within
+    filled = W.partitionBy("window", "_bucket").orderBy("at")
+    inside = inside.withColumn("_n", F.row_number().over(filled) - 1).withColumn("_cut", F.floor(F.col("_n") / size))
+    batch = W.partitionBy("window", "_bucket", "_cut")
+    inside = inside.withColumns({"_short": F.count("*").over(batch) < size, "_filled": F.max("at").over(batch)})
+    inside = inside.filter(~F.col("_short")) if drop_last else inside
+    place = [F.col("_short"), F.when(~F.col("_short"), F.col("_filled")), F.col("_bucket")]
+    inside = inside.withColumn("batch", F.dense_rank().over(W.partitionBy("window").orderBy(*place)).cast("long") - 1)
+    return inside.withColumn("slot", (F.col("_n") % size).cast("int")).drop("_bucket", "_n", "_cut", "_short", "_filled")
+
+
+def window_packed(windows: DataFrame, length: str, width: int, *, drop_last: bool = False) -> DataFrame:
+    """The sequences of each planning window laid end to end and cut into batches of ``width``: ``batch``, and the part
+    ``from_step`` to ``to_step`` of the sequence in it. Only a window's last batch may be short; ``drop_last`` leaves it out,
+    and with it the end of a sequence that reaches into it. Sequences without steps have no part."""
+    laid = windows.filter(F.col(length) > 0)
+    laid = laid.withColumn("_end", F.sum(length).over(W.partitionBy("window").orderBy("at").rowsBetween(W.unboundedPreceding, 0)))
+    laid = laid.withColumns({"_start": F.col("_end") - F.col(length), "_all": F.sum(length).over(W.partitionBy("window"))})
+    cut = laid.withColumn("batch", F.explode(F.sequence(F.floor(F.col("_start") / width), F.floor((F.col("_end") - 1) / width))))
+    cut = cut.filter((F.col("batch") + 1) * width <= F.col("_all")) if drop_last else cut
+    low, high = F.greatest(F.col("_start"), F.col("batch") * width), F.least(F.col("_end"), (F.col("batch") + 1) * width)
+    return cut.withColumns({"from_step": low - F.col("_start"), "to_step": high - F.col("_start")}).drop("_start", "_end", "_all")
+
+
 def padded(sequences: DataFrame, batch: str, values: str, pad: Column) -> DataFrame:
     """Arrays filled up to the longest of their batch, with a mask."""
     width = sequences.groupBy(batch).agg(F.max(F.size(values)).alias("_w"))

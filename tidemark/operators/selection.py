@@ -76,3 +76,10 @@ def identity_digest(ids: DataFrame, column: str) -> DataFrame:
     part = lambda i: F.conv(F.substring("h", 8 * i + 1, 8), 16, 10).cast("decimal(20,0)")
     sums = one.agg(F.count("*").alias("n"), *[F.coalesce(F.sum(part(i)), F.lit(0).cast("decimal(30,0)")).alias(f"_s{i}") for i in range(8)])
     return sums.select(F.sha2(F.concat_ws("|", F.col("n").cast("string"), *[F.col(f"_s{i}").cast("string") for i in range(8)]), 256).alias("digest"), "n")
+
+
+def first_and_more(rows: DataFrame, key: str, n: int) -> DataFrame:
+    """The first ``n`` rows by ``key``, and ``more``: whether there are others. One pass that keeps n + 1 rows; ties in no fixed order."""
+    first = rows.orderBy(key).limit(n + 1)
+    place = F.row_number().over(W.orderBy(key))  # over n + 1 rows
+    return first.withColumn("_place", place).withColumn("more", F.count("*").over(W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)) > n).filter(F.col("_place") <= n).drop("_place")

@@ -122,9 +122,7 @@ def _(t):
 
 @query("o_first_accepted", f"WITH {SCREEN} SELECT o_orderkey, (SELECT count(*) FROM screened WHERE reason IS NULL) > 100 AS more FROM screened WHERE reason IS NULL ORDER BY o_orderkey LIMIT 100")
 def _(t):
-    accepted = screened(t).filter("reason is null").select("o_orderkey")
-    total = accepted.agg((F.count("*") > 100).alias("more"))
-    return accepted.orderBy("o_orderkey").limit(100).crossJoin(total)
+    return X.first_and_more(screened(t).filter("reason is null").select("o_orderkey"), "o_orderkey", 100)
 
 
 @query("o_priority_queue", "SELECT user_id, count(*)::BIGINT AS games FROM events GROUP BY 1 ORDER BY user_id % 5 = 0 DESC, games DESC, user_id LIMIT 12")

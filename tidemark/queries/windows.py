@@ -127,6 +127,28 @@ def _(t):
     return B.bucket_batches(t.documents, F.col("n_chars"), 1000, [H.rank_key("batch", F.col("doc_id"))], 16).select("doc_id", "bucket", "batch")
 
 
+PLANNED = f"planned AS (SELECT doc_id, n_chars, row_number() OVER (ORDER BY {RANK.format('window', 'doc_id')}, doc_id) - 1 AS pos FROM documents), cut AS (SELECT *, pos // 64 AS w, (n_chars - 1) // 1000 AS bucket FROM planned)"
+
+
+def planned(t):
+    return B.planning_windows(t.documents.select("doc_id", "n_chars"), [H.rank_key("window", F.col("doc_id")), F.col("doc_id")], 64)
+
+
+@query("w_planning_windows", f"""WITH {PLANNED}, f AS (SELECT *, row_number() OVER (PARTITION BY w, bucket ORDER BY pos) - 1 AS n FROM cut),
+b AS (SELECT *, count(*) OVER c < 8 AS short, max(pos) OVER c AS filled FROM f WINDOW c AS (PARTITION BY w, bucket, n // 8))
+SELECT doc_id, w::BIGINT AS "window", (dense_rank() OVER (PARTITION BY w ORDER BY short, CASE WHEN short THEN bucket ELSE filled END) - 1)::BIGINT AS batch, (n % 8)::INT AS slot FROM b""")
+def _(t):
+    return B.window_batches(planned(t), F.floor((F.col("n_chars") - 1) / 1000), 8).select("doc_id", "window", "batch", "slot")
+
+
+@query("w_window_pack", f"""WITH {PLANNED}, l AS (SELECT *, sum(n_chars) OVER (PARTITION BY w ORDER BY pos) AS stop, sum(n_chars) OVER (PARTITION BY w) AS total FROM cut WHERE n_chars > 0),
+p AS (SELECT *, stop - n_chars AS start FROM l)
+SELECT doc_id, w::BIGINT AS "window", b::BIGINT AS batch, (greatest(start, b * 4096) - start)::BIGINT AS from_step, (least(stop, (b + 1) * 4096) - start)::BIGINT AS to_step
+FROM p, unnest(range((start // 4096)::BIGINT, ((stop - 1) // 4096)::BIGINT + 1)) u(b) WHERE (b + 1) * 4096 <= total""")
+def _(t):
+    return B.window_packed(planned(t), "n_chars", 4096, drop_last=True).select("doc_id", "window", "batch", "from_step", "to_step")
+
+
 @query("w_pack", """WITH p AS (SELECT doc_id, n_chars, sum(n_chars) OVER (ORDER BY doc_id) AS stop FROM documents WHERE n_chars > 0), q AS (SELECT *, stop - n_chars AS start FROM p)
 SELECT doc_id, b::BIGINT AS batch, (greatest(start, b * 4096) - start)::BIGINT AS from_step, (least(stop, (b + 1) * 4096) - start)::BIGINT AS to_step FROM q, unnest(range((start // 4096)::BIGINT, ((stop - 1) // 4096)::BIGINT + 1)) u(b)""")
 def _(t):
