@@ -80,6 +80,34 @@ def test_reads_by_offset_alone(spark, tmp_path):
         tokens.read_records(spark, path).collect()
 
 
+def test_bytes_read_are_those_of_the_records(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(i, f"text {i} " * 50) for i in range(3000)], "doc_id long, text string").coalesce(1)
+    path = tokens.write_tokens(docs, f"file://{tmp_path}/t", PATH, by_word=True)
+    (file,) = (tmp_path / "t" / "records").rglob("part-*")
+    index = spark.read.parquet(f"{path}/index").sort("offset").collect()
+    chosen = [index[i] for i in (2999, 5, 1500)]
+
+    class Counted:
+        bytes = 0
+
+        def read_at(self, n, offset):
+            self.bytes += n
+            with open(file, "rb") as f:
+                f.seek(offset)
+                return f.read(n)
+
+    handle = Counted()
+    got = list(tokens.records_at(handle, [{"position": k, "offset": r.offset, "length": r.length} for k, r in enumerate(chosen)]))
+    assert [(k, i) for k, i, _ in got] == [(1, 5), (2, 1500), (0, 2999)]
+    assert handle.bytes == sum(r.length for r in chosen) < file.stat().st_size / 500
+
+    wanted = spark.createDataFrame([(k, r.shard, r.file, r.offset, r.length) for k, r in enumerate(chosen)], "position long, shard int, file int, offset long, length long")
+    sought = sorted(tokens.read_at(spark, path, wanted).collect())
+    assert [r.doc_id for r in sought] == [2999, 5, 1500]
+    monkeypatch.setattr(tokens, "opener", lambda path: None)  # a store that only Spark's readers can open
+    assert sorted(tokens.read_at(spark, path, wanted).collect()) == sought
+
+
 def test_part_of_a_seeded_order(spark, tmp_path):
     docs = spark.createDataFrame([(i, f"text {i}") for i in range(60)], "doc_id long, text string")
     path = tokens.write_tokens(docs, f"file://{tmp_path}/t", PATH, by_word=True)

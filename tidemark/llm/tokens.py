@@ -29,6 +29,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from tidemark.functions.shared import keep, shared_path
@@ -320,11 +321,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 1,
 PLACE = (r"/file=(\d+)/part-(\d+)", 2, 1)  # of a path: its shard and its file within the shard
 
 
-def contents(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """``(shard, file, content)`` of record files."""
+def contents(spark: SparkSession, paths: str, what: str = "content") -> DataFrame:
+    """``(shard, file, content)`` of record files; with ``what="path"`` their paths, and no file is opened."""
     pattern, shard, file = PLACE
     files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(paths).filter(F.col("length") > 0)
-    return files.select(F.regexp_extract("path", pattern, shard).cast("int").alias("shard"), F.regexp_extract("path", pattern, file).cast("int").alias("file"), "content")
+    return files.select(F.regexp_extract("path", pattern, shard).cast("int").alias("shard"), F.regexp_extract("path", pattern, file).cast("int").alias("file"), what)
 
 
 def batch_of(out: list[tuple], schema: str) -> pa.RecordBatch:
@@ -354,36 +355,54 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return bounded(contents(spark, f"{path}/records")).mapInArrow(parse, schema)
 
 
+def opener(path: str) -> tuple[fs.FileSystem, str] | None:
+    """The file system of a path as tasks open it, and the path in it; None where only Spark's readers can."""
+    if path.startswith(("/", "file:")):
+        return fs.LocalFileSystem(), re.sub("^file:/+", "/", path)
+    try:
+        return fs.FileSystem.from_uri(path)
+    except (pa.ArrowException, OSError, ImportError):
+        return None
+
+
+def records_at(handle: pa.NativeFile, found: list[dict]) -> Iterator[tuple[int, int | None, np.ndarray]]:
+    """``(position, doc_id, ids)`` of records; only their own bytes are read, in order of their offsets."""
+    for x in sorted(found, key=lambda x: x["offset"]):
+        ((_, _, doc_id, ids),) = records(handle.read_at(x["length"], x["offset"]))
+        yield x["position"], doc_id, ids
+
+
 def read_at(spark: SparkSession, path: str, wanted: DataFrame, most_broadcast: int = 200_000) -> DataFrame:
     """``(position, doc_id, ids)`` of the records of ``wanted(position, shard, file, offset, length)``.
 
-    Only the files that hold any are read, and of them only the bytes from each offset on; what lies between is not
-    parsed. Up to ``most_broadcast`` records (some 40 bytes each) go to the tasks that read files; more are joined.
+    A task opens the files that hold any and reads the bytes of the records, nothing between them; the list of files
+    is a table and never on the driver. Where tasks can't open the store themselves, Spark's reader gives them whole
+    files. Up to ``most_broadcast`` records (some 40 bytes each) go to the tasks that read files; more are joined.
     """
     wanted = keep(wanted.select("position", "shard", "file", "offset", "length"), "wanted-records")
     places = wanted.groupBy("shard", "file").agg(F.collect_list(F.struct("position", "offset", "length")).alias("found"))
-    pattern, shard, file = PLACE
-    held = {(r["shard"], r["file"]) for r in places.select("shard", "file").collect()}  # a row for each file, as in any listing
-    listed = spark.read.format("binaryFile").load(f"{path}/records").select("path").collect()
-    paths = [r["path"] for r in listed if (m := re.search(pattern, r["path"])) and (int(m[shard]), int(m[file])) in held]
-    schema = "position long, doc_id long, ids array<int>"
-    if not paths:
-        return spark.createDataFrame([], schema)
     small = wanted.limit(most_broadcast + 1).count() <= most_broadcast
-    met = contents(spark, paths).join(F.broadcast(places) if small else places, ["shard", "file"])
+    direct = opener(path) is not None
+    met = contents(spark, f"{path}/records", "path" if direct else "content").join(F.broadcast(places) if small else places, ["shard", "file"])
+    schema = "position long, doc_id long, ids array<int>"
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, 1):
-            content, out = memoryview(b.column("content")[0].as_buffer()), []
-            for x in b.column("found")[0].as_py():
-                ((_, _, doc_id, ids),) = records(content[x["offset"] : x["offset"] + x["length"]])
-                out.append((x["position"], doc_id, ids.astype(np.int32)))
-                if len(out) == 2048:
-                    yield batch_of(out, schema)
-                    out = []
-            yield batch_of(out, schema)
-
-    return bounded(met.select("content", "found")).mapInArrow(fetch, schema)
+            if direct:
+                store, at = opener(b.column("path")[0].as_py())
+                handle = store.open_input_file(at)
+            else:
+                handle = pa.BufferReader(b.column("content")[0].as_buffer())
+            with handle:
+                out = []
+                for position, doc_id, ids in records_at(handle, b.column("found")[0].as_py()):
+                    out.append((position, doc_id, ids.astype(np.int32)))
+                    if len(out) == 2048:
+                        yield batch_of(out, schema)
+                        out = []
+                yield batch_of(out, schema)
+
+    return bounded(met.select("path" if direct else "content", "found")).mapInArrow(fetch, schema)
 
 
 def starts(index: DataFrame) -> DataFrame:
