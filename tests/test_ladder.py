@@ -79,3 +79,15 @@ def test_games_are_redrawn_by_hashes(spark):
             wins, draws = sum(v < w for v in u), sum(w <= v < w + d for v in u)
             want[rep, a, b] = (wins, draws, n - wins - draws, wins + draws / 2)
     assert got == want
+
+
+def test_games_of_one_pair_are_dealt_to_several_tasks(spark):
+    from pyspark.sql import functions as F
+
+    frame = spark.createDataFrame([(1, 2, 30_000, 15_000, 10_001, 37_500.0)], SCHEMA)
+    games = L.dealt_games(frame, 2).groupBy("rep", F.spark_partition_id().alias("task")).agg(F.count("*").alias("n"), F.countDistinct("game").alias("games"), F.max("game").alias("last")).collect()
+    for rep in (1, 2):
+        mine = [g for g in games if g.rep == rep]
+        assert sum(g.n for g in mine) == sum(g.games for g in mine) == 55_001 == max(g.last for g in mine)
+        assert len(mine) > 1 and max(g.n for g in mine) < 55_001
+    assert {r.rep: r.wins + r.draws + r.losses for r in L.redrawn(frame, 2, "s").collect()} == {1: 55_001, 2: 55_001}

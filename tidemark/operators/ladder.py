@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidemark.functions import hashing
 from tidemark.functions.scores import expected_score
-from tidemark.functions.shared import checkpointed
+from tidemark.functions.shared import checkpointed, keep
 from tidemark.operators.metrics import seat_totals
 
 
@@ -22,7 +22,7 @@ def bradley_terry(pairs: DataFrame, rounds: int, keys: tuple[str, ...] = (), mos
     """
     k = list(keys)
     n = F.col("wins") + F.col("draws") + F.col("losses")
-    rows = pairs.select(*k, "a", "b", n.cast("double").alias("g"), F.col("points").cast("double").alias("p")).filter("g > 0")
+    rows = keep(pairs.select(*k, "a", "b", n.cast("double").alias("g"), F.col("points").cast("double").alias("p")).filter("g > 0"), "results")  # read more than once
     largest = rows.groupBy(*k).count().agg(F.max("count")).first()[0] or 0
     return fitted_apart(rows, rounds, k) if largest <= most_pairs else fitted_by_joins(rows, rounds, k)
 
@@ -151,10 +151,27 @@ def fitted_ratings(pairs: DataFrame, anchors: DataFrame | None = None, anchor_ra
     return out.crossJoin(F.broadcast(level)).select("seat", shifted.alias("rating"), "separated", F.col("_a").isNotNull().alias("anchored"), F.lit(rounds).alias("rounds"), F.lit(settled).alias("settled"))
 
 
+GAMES_DRAWN = 10_000  # drawn by one row
+
+
+def dealt_games(pairs: DataFrame, replicates: int) -> DataFrame:
+    """A row for each game of each pair and replicate.
+
+    Pairs may be few and their games very many, so games are dealt to all tasks in runs of ``GAMES_DRAWN``; a number of
+    partitions is named, as so few rows would be put into one task otherwise.
+    """
+    spark = pairs.sparkSession
+    n = F.col("wins") + F.col("draws") + F.col("losses")
+    runs = pairs.withColumn("n", n).filter("n > 0").withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    runs = runs.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / GAMES_DRAWN))))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    first = F.col("run") * GAMES_DRAWN + 1
+    return runs.repartition(tasks, "a", "b", "rep", "run").withColumn("game", F.explode(F.sequence(first, F.least(first + (GAMES_DRAWN - 1), F.col("n")))))
+
+
 def redrawn(pairs: DataFrame, replicates: int, seed: str) -> DataFrame:
     """Each pair's games drawn anew from its own shares of wins, draws and losses, by a hash for each game."""
-    n = F.col("wins") + F.col("draws") + F.col("losses")
-    rows = pairs.withColumn("n", n).filter("n > 0").withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("game", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+    rows = dealt_games(pairs, replicates)
     u = hashing.hash_fraction(seed, F.concat_ws(":", "a", "b", "rep", "game")) * F.col("n")
     drawn = rows.withColumn("s", F.when(u < F.col("wins"), 1.0).when(u < F.col("wins") + F.col("draws"), 0.5).otherwise(0.0))
     return drawn.groupBy("rep", "a", "b").agg(F.count_if(F.col("s") == 1).alias("wins"), F.count_if(F.col("s") == 0.5).alias("draws"), F.count_if(F.col("s") == 0).alias("losses"), F.sum("s").alias("points"))
