@@ -180,6 +180,23 @@ def test_shortest_chains(spark, seed):
     assert {k: [v[i] for i in range(len(v))] for k, v in got.items()} == {k: v for k, v in want.items() if v}
 
 
+@pytest.mark.parametrize("peeked", [1, 64])
+def test_chains_are_found_without_the_widest_levels(spark, monkeypatch, peeked):
+    # ends with 3 neighbours each, those with 150 more: chains of four hops, of three, and (past 64 ways) of more
+    edges = [(0, i) for i in (1, 2, 3)] + [(9, i) for i in (4, 5, 6)] + [(i, 100 + m) for i in (1, 2, 3) for m in range(150)] + [(i, 100 + m) for i in (5, 6) for m in range(40, 100)]
+    edges += [(20, 21), (21, 22), (22, 23)] + [(30, 31), (31, 300)] + [(31, 301 + m) for m in range(80)] + [(380, 32), (32, 33)]
+    kept, real = [], C.keep
+    monkeypatch.setattr(C, "PEEKED", peeked)
+    monkeypatch.setattr(C, "keep", lambda d, name: kept.append((name, real(d, name))) or kept[-1][1])
+    pairs = [(0, 9), (20, 23), (30, 33)]
+    got = {}
+    for r in C.shortest_chains(spark.createDataFrame(pairs[:2] if peeked == 64 else pairs, "source long, target long"), spark.createDataFrame(edges, "a long, b long")).collect():
+        got.setdefault((r.source, r.target), {})[r.hop] = r.node
+    assert {k: [v[i] for i in range(len(v))] for k, v in got.items()} == {(s, t): brute_chain(edges, s, t) for s, t in pairs if (s, t) in got} and len(got) == (2 if peeked == 64 else 3)
+    if peeked == 64:
+        assert max(d.count() for name, d in kept if name == "front") <= 4  # the levels of 150 nodes are not made
+
+
 # curves
 
 
