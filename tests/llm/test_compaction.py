@@ -81,3 +81,21 @@ def test_one_key_for_all_rows_fills_several_files(spark, store):
         store.append(batch(spark, k * 1000, 600).withColumn("doc_id", F.lit(1).cast("long")))
     store.compact(whole=True)
     assert max(s.bytes / s.files for s in store.shards()) < 60_000 and store.read().count() == 1800
+
+
+def test_large_arrivals_in_many_small_files_are_compacted_too(spark, store):
+    want = None
+    for k in range(3):
+        rows = batch(spark, k * 5000, 2000)
+        store.append(rows.repartition(40))
+        want = rows if want is None else want.union(rows)
+    before = store.shards()
+    assert all(s.bytes >= store.target and s.files == 40 for s in before)  # each alone is over the target, its files are tiny
+    store.append(batch(spark, 90_000, 2000).repartition(40))
+    (alone,) = [g for g in store.full_tiers([s for s in store.shards() if s.id not in {b.id for b in before}])]
+    assert len(alone) == 1  # one such shard is a reason by itself
+    store.compact(whole=True)
+    after = store.shards()
+    assert sum(s.files for s in after) <= sum(s.bytes for s in before) * 4 / 3 / store.target * 2
+    assert not store.full_tiers(after) and not any(s.bytes / s.files < store.target / 4 for s in after)
+    assert store.read().exceptAll(want.union(batch(spark, 90_000, 2000))).count() == 0 and store.read().count() == 8000

@@ -1,10 +1,11 @@
 """Size-tiered compaction of arriving shards under a versioned manifest.
 
 A store is a folder of immutable shards (``shards/<id>``, Parquet) and of manifests (``manifest/v00000001.json`` and so
-on), each a list of the live shards with their tier, rows and bytes. Arrivals are appended as small shards. A
-compaction takes the shards that have not reached the target size, puts sizes within a factor of ``fanout`` in one
-tier, and merges each tier with at least ``fanout`` shards into files of the target size, sorted by key; it repeats
-until no tier is full. Every change writes new shards first and then one new manifest: the manifest is written under a
+on), each a list of the live shards with their rows, bytes and files. Arrivals are appended as small shards. A
+compaction takes the shards whose files are under half of the target size (an arrival of any size comes in as many
+files as tasks wrote it), puts sizes within a factor of ``fanout`` in one tier, and merges each tier with at least
+``fanout`` shards into files of the target size, sorted by key, as it does a shard over the target with ``fanout`` times
+the files it needs; it repeats until there are none. Every change writes new shards first and then one new manifest: the manifest is written under a
 name of its own and renamed, which fails if the version is there already, so of two writers one wins and the other
 can try again. Readers see whole versions only; files of no version are garbage and harm nothing.
 
@@ -129,12 +130,21 @@ class Store:
     def tier(self, shard: Shard) -> int:
         return int(math.log(max(1.0, shard.bytes / self.smallest), self.fanout))
 
+    def small(self, shard: Shard) -> bool:
+        """Whether its files are small, however many and whatever they hold in all."""
+        return shard.bytes / max(1, shard.files) < self.target / 2
+
+    def scattered(self, shard: Shard) -> bool:
+        """Whether it has ``fanout`` times the files it needs or more: it is merged by itself."""
+        return shard.files >= self.fanout * max(1, math.ceil(shard.bytes / self.target))
+
     def full_tiers(self, live: list[Shard]) -> list[list[Shard]]:
         tiers: dict[int, list[Shard]] = {}
-        for s in live:
-            if s.bytes / max(1, s.files) < self.target / 2 and s.bytes < self.target:
-                tiers.setdefault(self.tier(s), []).append(s)
-        return [t for _, t in sorted(tiers.items()) if len(t) >= self.fanout]
+        for s in filter(self.small, live):
+            tiers.setdefault(self.tier(s), []).append(s)
+        full = {i for i, t in tiers.items() if len(t) >= self.fanout}
+        alone = [[s] for i, t in sorted(tiers.items()) if i not in full for s in t if s.bytes >= self.target and self.scattered(s)]
+        return [tiers[i] for i in sorted(full)] + alone
 
     def merge(self, group: list[Shard]) -> list[Shard]:
         files = max(1, math.ceil(sum(s.bytes for s in group) / self.target))
@@ -155,8 +165,8 @@ class Store:
             live = self.shards()
             groups = self.full_tiers(live)
             if not groups and whole and not last:
-                rest, last = [s for s in live if s.bytes < self.target], True
-                groups = [rest] if len(rest) > 1 else []
+                rest, last = [s for s in live if self.small(s)], True
+                groups = [rest] if sum(max(1, s.files) for s in rest) > max(1, math.ceil(sum(s.bytes for s in rest) / self.target)) else []
             if not groups:
                 return self.version()
             done = [(g, self.merge(g)) for g in groups]
