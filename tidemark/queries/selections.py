@@ -187,10 +187,10 @@ def _(t):
 @query("u_silent_options", "SELECT v AS option FROM (VALUES ('F'), ('O'), ('P'), ('X')) x(v) EXCEPT SELECT o_orderstatus FROM orders")
 def _(t):
     enabled = t.spark.createDataFrame([("F",), ("O",), ("P",), ("X",)], "option string")
-    return enabled.subtract(t.orders.select("o_orderstatus"))
+    return enabled.subtract(t.orders.select("o_orderstatus").distinct())  # few values: made distinct before they meet in tasks
 
 
 @query("u_unreachable", "SELECT DISTINCT p_type FROM part JOIN lineitem ON l_partkey = p_partkey WHERE l_quantity < 2 EXCEPT SELECT p_type FROM part JOIN lineitem ON l_partkey = p_partkey WHERE l_quantity > 49 AND p_size > 48")
 def _(t):
     rows = t.part.join(t.lineitem, F.col("l_partkey") == F.col("p_partkey"))
-    return rows.filter("l_quantity < 2").select("p_type").subtract(rows.filter("l_quantity > 49 and p_size > 48").select("p_type"))
+    return rows.filter("l_quantity < 2").select("p_type").subtract(rows.filter("l_quantity > 49 and p_size > 48").select("p_type").distinct())
