@@ -15,6 +15,11 @@ def destination(label: Column, reachable: Column) -> Column:
     return F.when(reachable == 1, label)
 
 
+def choices(least: Column, greatest: Column) -> Column:
+    """Whether no label is reachable (0), one (1) or several (2), of the least and the greatest: no set of labels is kept."""
+    return F.when(least.isNull(), 0).when(least == greatest, 1).otherwise(2)
+
+
 def theory_share(depth: Column, available: Column) -> Column:
     """Depth used of the depth there is; 0 for what has no name."""
     return F.when(F.coalesce(available, F.lit(0)) == 0, 0.0).otherwise(F.coalesce(depth, F.lit(0)).cast("double") / available)

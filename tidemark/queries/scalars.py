@@ -234,10 +234,11 @@ def _(t):
 @query("f_waypoint_share", """WITH {STEPS}, path AS (SELECT l_orderkey, max(step) FILTER (WHERE p_size <= 10) AS depth, count(*) AS available, count(DISTINCT p_brand) FILTER (WHERE p_size <= 10) AS reachable, min(p_brand) FILTER (WHERE p_size <= 10) AS label FROM steps JOIN part ON p_partkey = l_partkey GROUP BY 1)
 SELECT l_orderkey, CASE WHEN reachable = 1 THEN label END AS destination, coalesce(depth, 0)::DOUBLE / available AS share FROM path""")
 def _(t):
-    from tidemark.operators.dimension import destination, theory_share
+    from tidemark.operators.dimension import choices, destination, theory_share
 
     named = F.col("p_size") <= 10
+    brand = F.when(named, F.col("p_brand"))
     path = t.steps.join(t.part, F.col("p_partkey") == F.col("l_partkey")).groupBy("l_orderkey").agg(
-        F.max(F.when(named, F.col("step"))).alias("depth"), F.count("*").alias("available"), F.countDistinct(F.when(named, F.col("p_brand"))).alias("reachable"), F.min(F.when(named, F.col("p_brand"))).alias("label")
-    )
+        F.max(F.when(named, F.col("step"))).alias("depth"), F.count("*").alias("available"), F.min(brand).alias("label"), F.max(brand).alias("last")
+    ).withColumn("reachable", choices(F.col("label"), F.col("last")))
     return path.select("l_orderkey", destination(F.col("label"), F.col("reachable")).alias("destination"), theory_share(F.col("depth"), F.col("available")).alias("share"))
