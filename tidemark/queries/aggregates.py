@@ -4,7 +4,7 @@ from pyspark.sql import Window as W, functions as F
 
 from tidemark.functions import hashing as H, parsing as P
 from tidemark.functions.shared import keep
-from tidemark.operators import metrics as M, quantiles as Q, selection as X
+from tidemark.operators import dimension as D, metrics as M, quantiles as Q, selection as X
 from tidemark.queries.joins import PAIRS, pairs
 from tidemark.queries.scalars import SPLIT
 from tidemark.queries.selections import SCREEN, screened
@@ -115,8 +115,9 @@ def _(t):
 @query("a_label_distribution", "WITH {STEPS}, l AS (SELECT l_orderkey, max_by(p_brand, step) FILTER (WHERE p_size <= 15) AS label, count(DISTINCT p_brand) FILTER (WHERE p_size <= 15) AS reachable FROM steps JOIN part ON p_partkey = l_partkey GROUP BY 1) SELECT coalesce(label, 'unclassified') AS label, count(*)::BIGINT AS n, count(*) FILTER (WHERE reachable = 1)::BIGINT AS destinations FROM l GROUP BY 1")
 def _(t):
     named = F.col("p_size") <= 15
+    brand = F.when(named, F.col("p_brand"))
     rows = t.steps.join(t.part, F.col("p_partkey") == F.col("l_partkey"))
-    per = rows.groupBy("l_orderkey").agg(F.max_by("p_brand", F.when(named, F.col("step"))).alias("label"), F.countDistinct(F.when(named, F.col("p_brand"))).alias("reachable"))
+    per = rows.groupBy("l_orderkey").agg(F.max_by("p_brand", F.when(named, F.col("step"))).alias("label"), F.min(brand).alias("first"), F.max(brand).alias("last")).withColumn("reachable", D.choices(F.col("first"), F.col("last")))
     return per.groupBy(F.coalesce("label", F.lit("unclassified")).alias("label")).agg(F.count("*").alias("n"), F.count_if(F.col("reachable") == 1).alias("destinations"))
 
 
