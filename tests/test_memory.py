@@ -26,3 +26,16 @@ def test_no_set_of_labels_is_kept(spark, name):
     rows = spark.createDataFrame([(1, None), (2, "a"), (2, "a"), (2, None), (3, "a"), (3, "b")], "k int, v string")
     got = rows.groupBy("k").agg(D.choices(F.min("v"), F.max("v")).alias("n"), F.countDistinct("v").alias("all")).collect()
     assert {r.k: (r.n, r["all"]) for r in got} == {1: (0, 0), 2: (1, 1), 3: (2, 2)}
+
+
+def test_orders_are_counted_without_repeating_rows(spark):
+    text = plan(spark, "a_adjudication")
+    assert "Expand" not in text and "distinct" not in text
+
+
+def test_tasks_grow_in_number_with_the_input(spark):
+    from tidemark.functions.shared import parted
+
+    rows = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").select("l_orderkey", "l_tax")
+    few, many = (parted(rows, "l_orderkey", size=size) for size in (1 << 30, 1000))
+    assert few.rdd.getNumPartitions() == 4 < many.rdd.getNumPartitions() and many.exceptAll(rows).count() == 0
