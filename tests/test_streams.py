@@ -53,3 +53,50 @@ def test_settings_of_the_session_stay(spark):
     with Z.state_store(spark):
         assert spark.conf.get(Z.STORE) == Z.ROCKS
     assert spark.conf.get(Z.STORE, None) == before
+
+
+class State:
+    """A map state and its handle, counting what is asked of them."""
+
+    def __init__(self):
+        self.held, self.looked, self.walked, self.timers = {}, 0, 0, []
+
+    def getMapState(self, *_):  # noqa: N802
+        return self
+
+    def registerTimer(self, at):  # noqa: N802
+        self.timers.append(at)
+
+    def exists(self):
+        return bool(self.held)
+
+    def getValue(self, k):  # noqa: N802
+        self.looked += 1
+        return self.held.get(k)
+
+    def updateValue(self, k, v):  # noqa: N802
+        self.held[k] = v
+
+    def removeKey(self, k):  # noqa: N802
+        del self.held[k]
+
+    def iterator(self):
+        self.walked += 1
+        return iter(list(self.held.items()))
+
+
+def test_a_bucket_has_few_timers_and_is_walked_once_for_those_that_pass_together():
+    import pandas as pd
+
+    state, once = State(), Z.Once(["k", "d"], "k", "d", 7 * Z.DAY_MS)
+    once.init(state)
+    chunks = [pd.DataFrame({"k": range(i, i + 10), "d": ["x"] * 10, "event_ms": range(i, i + 10)}) for i in range(0, 50, 5)]
+    assert sum(len(f) for f in once.handleInputRows((0,), iter(chunks), None)) == 55
+    assert state.timers == [8 * Z.DAY_MS] and state.looked < 100  # the first chunk met an empty state
+
+    class Times:
+        getCurrentWatermarkInMs = staticmethod(lambda: 9 * Z.DAY_MS)  # noqa: N815
+
+    for _ in range(3):
+        list(once.handleExpiredTimer((0,), Times, None))
+    assert state.walked == 1 and not state.held
