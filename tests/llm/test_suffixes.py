@@ -117,3 +117,15 @@ def test_query_and_long_texts(spark, tmp_path, monkeypatch):
 
 def test_empty_table(spark):
     assert suffixes.without_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_disk_texts_are_squeezed_and_tables_go(spark, tmp_path, monkeypatch):
+    """What shuffles hold of a text is smaller than it, and tables of runs go as soon as nothing reads them."""
+    for t in ("", "a", "ß\x00" * 300, "\ud800"):
+        assert suffixes.opened_up(suffixes.squeezed(t)) == t.encode("utf-8", "surrogatepass")
+    assert len(suffixes.squeezed("some words and more " * 50)) < 200
+    monkeypatch.setattr("tidemark.functions.shared.shared_dir", lambda _: str(tmp_path))
+    texts = corpus(1)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sum(r.n_removed for r in suffixes.without_repeats(frame, SMALL).collect()) == sum(w[1] for w in brute([t.encode() for t in texts], 40))
+    assert {p.name.rsplit("-", 1)[0] for p in (tmp_path / "tidemark").iterdir()} == {"suffix-several", "suffix-found"}
