@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from tidemark.functions import hashing
 from tidemark.functions.shared import keep
 from tidemark.operators.compare import radii, within, within_radius
+from tidemark.operators.quantiles import held
 from tidemark.operators.uncertainty import poisson_weight
 
 
@@ -80,15 +81,28 @@ def dealt_curve(near: DataFrame, observations: DataFrame, key: str, value: str,
     """``(point, _r, value)``: the curve when the values of all observations are dealt anew over the axis.
 
     In a replicate the value of the i-th observation in the order of a hash goes to the place of the i-th one in the
-    order of keys. Ranks come from ranges, and values meet places by rank, so nothing is held as a whole.
+    order of keys. Only the values dealt to the places of ``near`` are looked for: a first pass counts each replicate's
+    hashes by their first digits, a second one orders the rows of those bins alone that hold a wanted rank.
     """
-    from tidemark.operators.batching import global_rank, rank_within
+    from tidemark.operators.batching import global_rank
 
-    places = global_rank(observations.select(F.col(key).alias("_key")), [F.col("_key")], "_i")
+    n = observations.count()
+    ranked = global_rank(observations.select(F.col(key).alias("_key")), [F.col("_key")], "_i")
+    places = keep(near.select("point", "_w", F.col(key).alias("_key")).join(ranked, "_key").select("point", "_w", "_i"), "places")
+    digits = next(d for d in range(2, 65) if n <= 1024 * 16**d)
     rows = observations.select(F.col(key).alias("_key"), F.col(value).alias("_v")).withColumn("_r", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    dealt = rank_within(rows, ["_r"], [hashing.rank_key(seed, F.concat_ws(":", "_key", "_r")), F.col("_key")], "_i").select("_r", "_i", "_v")
-    met = near.select("point", "_w", F.col(key).alias("_key")).join(places, "_key").join(dealt, "_i")
-    return local_means(met, "_v", "point", "_r").select("point", "_r", "value")
+    rows = rows.withColumn("_h", hashing.rank_key(seed, F.concat_ws(":", "_key", "_r"))).withColumn("_bin", F.substring("_h", 1, digits))
+    upto = F.sum("_n").over(W.partitionBy("_r").orderBy("_bin").rowsBetween(W.unboundedPreceding, 0))  # a row for each bin
+    bins = rows.groupBy("_r", "_bin").agg(F.count("*").alias("_n")).withColumn("_upto", upto).withColumn("_before", F.col("_upto") - F.col("_n"))
+    size = n // 16**digits + 1  # ranks and bins meet by blocks of ranks
+    block = lambda c: F.floor(c / size)
+    bins = bins.withColumn("_block", F.explode(F.sequence(block(F.col("_before") + 1), block(F.col("_upto")))))
+    wanted = places.select("_i", block(F.col("_i")).alias("_block")).distinct()
+    here = bins.join(wanted, "_block").filter((F.col("_i") > F.col("_before")) & (F.col("_i") <= F.col("_upto")))
+    here = keep(here.select("_r", "_bin", "_before").distinct(), "bins")
+    place = F.col("_before") + F.row_number().over(W.partitionBy("_r", "_bin").orderBy("_h", "_key"))
+    dealt = rows.join(held(here), ["_r", "_bin"]).withColumn("_i", place).select("_r", "_i", "_v")
+    return local_means(places.join(dealt, "_i"), "_v", "point", "_r").select("point", "_r", "value")
 
 
 def curve_levels(left: DataFrame, right: DataFrame, grid: DataFrame, axis: str, value: str, stream: str, key: str, k: int, replicates: int, seed: str, coverage: float = 2.0, least: float = 0.0) -> DataFrame:
