@@ -40,7 +40,7 @@ def archive(t):
 SELECT o_orderkey::VARCHAR AS key, md5('[Event "' || o_orderpriority || '"]' || chr(10) || '[Site "https://x.org/' || o_orderkey || '"]' || CASE WHEN o_custkey % 2 = 0 THEN chr(10) || '[Result "' || o_orderstatus || '"]' ELSE '' END || chr(10) || chr(10) || body) AS digest FROM orders JOIN b ON l_orderkey = o_orderkey""")
 def _(t):
     record = F.regexp_replace("record", r"\n+$", "")
-    return archive(t).select(P.source_key(A.headers(F.col("record"), {})["Site"]).alias("key"), F.md5(record).alias("digest"))
+    return archive(t).select(A.header(F.col("record"), "Site").alias("site"), F.md5(record).alias("digest")).select(P.source_key(F.col("site")).alias("key"), "digest")
 
 
 @query("src_tag_headers", "SELECT o_orderkey::VARCHAR AS key, o_orderpriority AS event, CASE WHEN o_custkey % 2 = 0 THEN o_orderstatus ELSE '*' END AS result, '?' AS date FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)")
@@ -51,7 +51,9 @@ def _(t):
 
 @query("src_inline_annotations", "WITH {STEPS} SELECT l_orderkey::VARCHAR AS key, step, l_quantity::INT::BIGINT * 60000 AS clock FROM steps")
 def _(t):
-    rows = archive(t).select(P.source_key(A.headers(F.col("record"), {})["Site"]).alias("key"), F.posexplode(A.annotations(F.col("record"), "clk")).alias("at", "c"))
+    # tags are read once for a record, before its steps become rows
+    found = archive(t).select(A.header(F.col("record"), "Site").alias("site"), A.annotations(F.col("record"), "clk").alias("clocks"))
+    rows = found.select(P.source_key(F.col("site")).alias("key"), "clocks").select("key", F.posexplode("clocks").alias("at", "c"))
     return rows.select("key", (F.col("at") + 1).alias("step"), P.clock_ms(F.col("c")).alias("clock"))
 
 

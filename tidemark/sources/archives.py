@@ -32,6 +32,13 @@ def headers(record: Column, defaults: Mapping[str, str]) -> Column:
     return F.aggregate(given, base, lambda m, z: F.map_concat(F.map_filter(m, lambda k, _: k != z["k"]), F.create_map(z["k"], z["v"])))
 
 
+def header(record: Column, name: str) -> Column:
+    """The value of one tag as in ``headers``, null where it is absent."""
+    block = F.substring_index(record, "\n\n", 1)
+    tags = F.arrays_zip(*[F.regexp_extract_all(block, F.lit(TAG), F.lit(i)).alias(n) for i, n in ((1, "k"), (2, "v"))])
+    return F.try_element_at(F.filter(tags, lambda z: z["k"] == name), F.lit(-1))["v"]
+
+
 def annotations(record: Column, name: str) -> Column:
     """Values of ``[%name value]`` in order, one for each step that has it."""
     return F.regexp_extract_all(record, F.lit(rf"\[%{name}\s+([^\]\s]+)\]"), F.lit(1))
