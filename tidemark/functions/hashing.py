@@ -52,6 +52,16 @@ def parity_side(seed: str, key: Column) -> Column:
     return F.conv(F.substring(rank_key(seed, key), 1, 2), 16, 10).cast("int") % 2
 
 
+def part_sums(hex_digest: Column) -> list[Column]:
+    """Aggregates: the sums of the eight 32-bit parts of a 256-bit hex digest, as ``decimal(30,0)``.
+
+    Two parts are read as one signed number; halves of parts are summed as longs, which 2**47 rows don't overflow."""
+    pair = lambda i: F.conv(F.substring(hex_digest, 16 * i + 1, 16), 16, -10).cast("long")
+    half = lambda i, j: F.sum(F.shiftrightunsigned(pair(i), 48 - 16 * j).bitwiseAND(F.lit(0xFFFF)))
+    whole = lambda i: half(i // 2, i % 2 * 2).cast("decimal(20,0)") * F.lit(1 << 16) + half(i // 2, i % 2 * 2 + 1)
+    return [whole(i).cast("decimal(30,0)") for i in range(8)]
+
+
 def content_digest(*columns: Column) -> Column:
     """Digest of values in the order given; a null is apart from any text."""
     return F.sha2(F.concat_ws("\x1f", *[F.coalesce(c.cast("string"), F.lit("\x00")) for c in columns]), 256)

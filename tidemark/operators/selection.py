@@ -72,9 +72,8 @@ def identity_digest(ids: DataFrame, column: str) -> DataFrame:
 
     Sums combine in every task, so what is shuffled after the ids are made distinct is a row for each task.
     """
-    one = ids.select(F.sha2(F.col(column).cast("string"), 256).alias("h")).filter(F.col("h").isNotNull()).distinct()
-    part = lambda i: F.conv(F.substring("h", 8 * i + 1, 8), 16, 10).cast("decimal(20,0)")
-    sums = one.agg(F.count("*").alias("n"), *[F.coalesce(F.sum(part(i)), F.lit(0).cast("decimal(30,0)")).alias(f"_s{i}") for i in range(8)])
+    one = ids.select(F.col(column).cast("string").alias("id")).filter(F.col("id").isNotNull()).distinct().select(F.sha2("id", 256).alias("h"))
+    sums = one.agg(F.count("*").alias("n"), *[F.coalesce(s, F.lit(0).cast("decimal(30,0)")).alias(f"_s{i}") for i, s in enumerate(hashing.part_sums(F.col("h")))])
     return sums.select(F.sha2(F.concat_ws("|", F.col("n").cast("string"), *[F.col(f"_s{i}").cast("string") for i in range(8)]), 256).alias("digest"), "n")
 
 

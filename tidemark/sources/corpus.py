@@ -15,6 +15,8 @@ from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from tidemark.functions.hashing import part_sums
+
 
 class Refused(ValueError):
     """The corpus can't take these archives; nothing of it was changed."""
@@ -27,8 +29,7 @@ class Conflict(RuntimeError):
 def rows_digest(*columns: str) -> Column:
     """An aggregate: the digest of a multiset of rows, whatever their order, from sums of eight parts of row hashes."""
     row = F.sha2(F.to_json(F.struct(*sorted(columns))), 256)
-    part = lambda i: F.sum(F.conv(F.substring(row, 8 * i + 1, 8), 16, 10).cast("decimal(20,0)"))
-    return F.sha2(F.concat_ws("|", F.count("*").cast("string"), *[part(i).cast("string") for i in range(8)]), 256)
+    return F.sha2(F.concat_ws("|", F.count("*").cast("string"), *[p.cast("string") for p in part_sums(row)]), 256)
 
 
 def selection_digest(selection: Mapping[str, object]) -> str:
