@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidemark.functions.checks import must
-from tidemark.functions.shared import keep
+from tidemark.functions.shared import keep, parted
 
 
 def destination(label: Column, reachable: Column) -> Column:
@@ -46,9 +46,14 @@ def progression(steps: DataFrame, sequence: str, step: str, label: str) -> DataF
 
 def continuations(paths: DataFrame, path: str, key: str, depth: str, levels: list[str]) -> DataFrame:
     """For each key: the depth of the deepest path through it, and how many labels of each level are reachable from it."""
-    reach = paths.groupBy(path).agg(F.max(depth).alias("_deep"), *[F.max_by(c, depth).alias(c) for c in levels])
-    seen = paths.select(path, key).distinct().join(reach, path)
-    return seen.groupBy(key).agg(F.max("_deep").alias("available"), *[F.countDistinct(c).alias(f"n_{c}") for c in levels])
+    dealt = parted(paths.select(path, key, depth, *levels), path)
+    reach = dealt.groupBy(path).agg(F.max(depth).alias("_deep"), F.max_by(F.struct(*levels), depth).alias("_e"))
+    seen = dealt.select(path, key).distinct().join(reach, path).select(key, "_deep", "_e.*")
+    # a row for each level, with its label alone; they are made distinct in tasks that the input's size sets
+    one = lambda i: F.struct(F.lit(i).alias("_level"), *[(F.col(c) if i == j else F.lit(None).cast(seen.schema[c].dataType)).alias(c) for j, c in enumerate(levels)])
+    rows = seen.select(key, "_deep", F.explode(F.array(*[one(i) for i in range(len(levels))])).alias("_e")).select(key, "_deep", "_e.*")
+    labels = parted(rows, key, "_level", *levels).groupBy(key, "_level", *levels).agg(F.max("_deep").alias("_deep"))
+    return labels.groupBy(key).agg(F.max("_deep").alias("available"), *[F.count(c).alias(f"n_{c}") for c in levels])
 
 
 #: How far above 1 the shares of one state's continuations may sum.

@@ -3,7 +3,7 @@
 from pyspark.sql import Window as W, functions as F
 
 from tidemark.functions import hashing as H
-from tidemark.functions.shared import keep, shared_path
+from tidemark.functions.shared import keep, parted, shared_path
 from tidemark.operators import compare as C, dimension as D, selection as X
 from tidemark.queries.scalars import RANK, SHARE, SPLIT
 from tidemark.registry import query
@@ -65,7 +65,8 @@ def _(t):
 @query("j_continuations", """WITH {STEPS}, d AS (SELECT l_orderkey, max(step) AS deep, max_by(p_brand, step) AS brand, max_by(p_type, step) AS type, max_by(p_name, step) AS name FROM steps JOIN part ON p_partkey = l_partkey GROUP BY 1)
 SELECT l_partkey, max(deep) AS available, count(DISTINCT brand)::BIGINT AS n_brand, count(DISTINCT type)::BIGINT AS n_type, count(DISTINCT name)::BIGINT AS n_name FROM (SELECT DISTINCT l_orderkey, l_partkey FROM steps) JOIN d USING (l_orderkey) GROUP BY 1""")
 def _(t):
-    paths = t.steps.join(t.part, F.col("p_partkey") == F.col("l_partkey")).select("l_orderkey", "step", "l_partkey", F.col("p_brand").alias("brand"), F.col("p_type").alias("type"), F.col("p_name").alias("name"))
+    steps = t.as_steps(parted(t.lineitem, "l_orderkey"))
+    paths = steps.join(t.part, F.col("p_partkey") == F.col("l_partkey")).select("l_orderkey", "step", "l_partkey", F.col("p_brand").alias("brand"), F.col("p_type").alias("type"), F.col("p_name").alias("name"))
     return D.continuations(paths, "l_orderkey", "l_partkey", "step", ["brand", "type", "name"])
 
 
