@@ -55,6 +55,23 @@ def test_arrays_decide_and_not_hashes():
     assert suffixes.confirmed([], SMALL) == [] and suffixes.compare([], SMALL) == []
 
 
+def test_arrays_stay_small(monkeypatch):
+    """op9's CPU seconds: whole stretches entered in symbols of 16 bytes, and arrays of 4,096 of them left the cache."""
+    rng, sizes, built = random.Random(8), [], suffixes.suffix_array
+    monkeypatch.setattr(suffixes, "suffix_array", lambda text: sizes.append(len(text)) or built(text))
+    entries = [(k, k, rng.randbytes(300), rng.randbytes(300)) for k in range(50)]
+    assert suffixes.confirmed(entries + entries, suffixes.Plan()) == [(k, k) for k in range(50)]
+    assert sizes == [100 * (5 + 1 + 5 + 1)] and suffixes.HELD <= 256
+
+
+def test_groups_whose_suffixes_all_move_stay_one():
+    """Suffixes that lengthen alike are no new group, and who takes more copies still stands above."""
+    rng = random.Random(9)
+    for _ in range(300):
+        text = [rng.randrange(rng.choice([2, 3, 4])) for _ in range(rng.randrange(30))] * rng.choice([1, 2, 3])
+        assert suffixes.suffix_array(text) == sorted(range(len(text)), key=lambda i: text[i:])
+
+
 @pytest.mark.parametrize("size, removed", [(300, 0), (399, 0), (400, 400), (401, 401), (500, 500), (800, 800)])
 def test_planted_passages(spark, size, removed):
     """A passage in two documents goes whole from 400 bytes on, at any offset, and nothing else goes."""
