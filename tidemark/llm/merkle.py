@@ -186,10 +186,10 @@ def manifest(rows: DataFrame, by: Column, key: Column, leaf: Column, altered: Co
     tree = F.coalesce(F.concat(F.lit("="), by.cast("string")), F.lit(""))
     other = (altered if altered is not None else F.lit(None)).cast("string")
     flat = rows.select(tree.alias("tree"), key.alias("key"), key.cast("string").alias("id"), leaf.alias("digest"), other.alias("altered"))
-    ranked = rank_within(flat, ["tree"], [F.col("key").asc_nulls_first(), F.col("digest")], "at")
+    ranked = rank_within(flat, ["tree"], ["key", "digest"], "at")
     sources = rounds(ranked.withColumn("at", F.col("at") - 1), "log")
     roots = sources[-1].select("tree", F.element_at("nodes", -1).alias("subroot")).withColumn("all", F.lit(""))
-    trees = keep(rank_within(roots, ["all"], [F.col("tree")], "at").select("tree", (F.col("at") - 1).alias("at"), "subroot"), "trees")
+    trees = keep(rank_within(roots, ["all"], ["tree"], "at").select("tree", (F.col("at") - 1).alias("at"), "subroot"), "trees")
     none = F.lit(None).cast("string")
     top = rounds(trees.select(F.lit("").alias("tree"), "at", F.col("subroot").alias("digest"), none.alias("id"), none.alias("altered")), "top")
     last = top[-1].select(F.element_at("nodes", -1).alias("root")).first()

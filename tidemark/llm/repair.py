@@ -162,7 +162,7 @@ def damaged(rows: DataFrame) -> DataFrame:
 
 def placed(rows: DataFrame) -> DataFrame:
     """The rows with their ``place`` in the conversation, from 1."""
-    return rank_within(rows.select("conv_id", "turn", "role", "text"), ["conv_id"], [F.col("turn").asc_nulls_first(), F.xxhash64("role", "text")], "place")
+    return rank_within(rows.select("conv_id", "turn", "role", "text"), ["conv_id"], ["turn", F.xxhash64("role", "text")], "place")
 
 
 def coded(rows: DataFrame) -> DataFrame:

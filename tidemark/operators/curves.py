@@ -87,7 +87,7 @@ def dealt_curve(near: DataFrame, observations: DataFrame, key: str, value: str,
     from tidemark.operators.batching import global_rank
 
     n = observations.count()
-    ranked = global_rank(observations.select(F.col(key).alias("_key")), [F.col("_key")], "_i")
+    ranked = global_rank(observations.select(F.col(key).alias("_key")), ["_key"], "_i")
     places = keep(near.select("point", "_w", F.col(key).alias("_key")).join(ranked, "_key").select("point", "_w", "_i"), "places")
     digits = next(d for d in range(2, 65) if n <= 1024 * 16**d)
     rows = observations.select(F.col(key).alias("_key"), F.col(value).alias("_v")).withColumn("_r", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
@@ -183,7 +183,7 @@ def leave_one_out(observations: DataFrame, order: Sequence[str], value: str, can
     """Squared error of predicting each value from its k neighbours on either side in order, for each k."""
     from tidemark.operators.batching import global_rank
 
-    ranked = global_rank(observations, [F.col(c) for c in order], "_n").withColumn("_b", F.floor(F.col("_n") / 4096))
+    ranked = global_rank(observations, order, "_n").withColumn("_b", F.floor(F.col("_n") / 4096))
     most = max(candidates)
     # each range of ranks brings the neighbours of its ends along, so no window spans all rows
     spread = ranked.withColumn("_h", F.explode(F.array_distinct(F.array(F.floor((F.col("_n") - most) / 4096), F.col("_b"), F.floor((F.col("_n") + most) / 4096)))))

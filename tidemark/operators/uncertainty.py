@@ -65,7 +65,7 @@ def stratified_bootstrap(rows: DataFrame, stratum: str, key: str, value: str, re
     from tidemark.operators.batching import rank_within
     from tidemark.operators.quantiles import held
 
-    ranked = keep(rank_within(rows.select(stratum, key, value), [stratum], [F.col(key)], "_k").withColumn("_k", F.col("_k") - 1), "strata")
+    ranked = keep(rank_within(rows.select(stratum, key, value), [stratum], [key], "_k").withColumn("_k", F.col("_k") - 1), "strata")
     sizes = ranked.groupBy(stratum).agg(F.count("*").alias("_n")).filter("_n > 1")
     slots = ranked.filter("_k > 0").select(stratum, F.col("_k").alias("_s")).join(held(sizes), stratum).withColumn("_r", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
     drawn = F.floor(hashing.hash_fraction(seed, F.concat_ws(":", stratum, "_r", "_s")) * F.col("_n"))

@@ -67,7 +67,7 @@ def seams(rows: DataFrame, series: Sequence[str], order: Sequence[str], key: str
     from tidemark.operators.batching import rank_within
 
     slim = rows.select(*dict.fromkeys([key, *series, *order]), *[v.alias(f"_v_{n}") for n, v in values.items()])
-    ranked = keep(rank_within(slim, series, [F.col(c) for c in order], "_at"), "series")
+    ranked = keep(rank_within(slim, series, order, "_at"), "series")
     before = ranked.select(*[F.col(c).alias(f"_s{i}") for i, c in enumerate(series)], (F.col("_at") + 1).alias("_next"), *[F.col(f"_v_{n}").alias(f"_b_{n}") for n in values])
     same = [F.col("_at") == F.col("_next"), *[F.col(c).eqNullSafe(F.col(f"_s{i}")) for i, c in enumerate(series)]]
     met = ranked.join(before, same, "left")

@@ -33,16 +33,16 @@ def epoch_plan(rows: DataFrame, key: str, group: str, *, seed: str, epoch: int,
     """
     drawn = lambda *c: hashing.rank_key(f"{seed}:{epoch}", F.concat_ws(":", *c))
     slim = rows.select(key, group)
-    order = global_rank(slim.select(group).distinct(), [drawn(F.lit("group"), F.col(group).cast("string")), F.col(group)], "_place")
+    order = global_rank(slim.select(group).distinct(), [drawn(F.lit("group"), F.col(group).cast("string")), group], "_place")
     spans = order.select(F.col(group).alias("_group"), F.floor((F.col("_place") - 1) / groups).alias("span"))
     placed = slim.join(held(spans), F.col(group).eqNullSafe(F.col("_group"))).select(key, "span")
-    placed = rank_within(placed, ["span"], [drawn(F.lit("row"), F.col(key).cast("string")), F.col(key)], "_at")
+    placed = rank_within(placed, ["span"], [drawn(F.lit("row"), F.col(key).cast("string")), key], "_at")
     placed = keep(placed.select(key, "span", F.floor((F.col("_at") - 1) / size).alias("_cut"), ((F.col("_at") - 1) % size).cast("int").alias("slot")), "placed")
     members = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("slot", F.col(key).cast("string").alias("k")))), lambda s: s["k"]), ",")
     batches = placed.groupBy("span", "_cut").agg(members.alias("_members"), F.count("*").alias("_n"))
     if drop_last:
         batches = batches.filter(F.col("_n") == size)
-    ordered = rank_within(batches.select("span", "_cut", drawn(F.lit("batch"), F.col("_members")).alias("_drawn")), ["span"], [F.col("_drawn"), F.col("_cut")], "_b")
+    ordered = rank_within(batches.select("span", "_cut", drawn(F.lit("batch"), F.col("_members")).alias("_drawn")), ["span"], ["_drawn", "_cut"], "_b")
     ordered = ordered.select("span", "_cut", (F.col("_b") - 1).alias("batch"))
     return placed.join(ordered, ["span", "_cut"]).select(F.lit(epoch).alias("epoch"), F.col("span").cast("long").alias("span"), F.col("batch").cast("long").alias("batch"), "slot", key)
 

@@ -143,7 +143,7 @@ def _(t):
 def _(t):
     from tidemark.operators.batching import global_rank
 
-    return global_rank(t.orders.filter("o_orderstatus = 'P'").select("o_orderkey"), [F.col("o_orderkey")], "place")
+    return global_rank(t.orders.filter("o_orderstatus = 'P'").select("o_orderkey"), ["o_orderkey"], "place")
 
 
 YEAR = "extract('year' FROM o_orderdate)::INT"
